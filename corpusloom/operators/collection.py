@@ -25,12 +25,9 @@ SOURCE_TYPES = "criticism academic programme festival".split()
 SLUG = "^[a-z0-9][a-z0-9._-]{2,159}$"
 
 
-def allowed(url, hosts, prefixes) -> Column:
-    """Whether the canonical URL is on a family host and below one of its path prefixes."""
-    address = canonical_url(url)
-    return F.coalesce(
-        address.isNotNull() & host_in(host(address), hosts) & path_in(path(address), prefixes), F.lit(False)
-    )
+def allowed(canonical, hosts, prefixes) -> Column:
+    """Whether a canonical URL is on a family host and below one of its path prefixes."""
+    return F.coalesce(host_in(host(canonical), hosts) & path_in(path(canonical), prefixes), F.lit(False))
 
 
 def first_claims(claims: DataFrame) -> DataFrame:
@@ -76,8 +73,8 @@ def plan_collection(targets: DataFrame, families: DataFrame, published: DataFram
             "gate",
             F.when(F.col("canonical").isNull() | F.col("canonical_fetch").isNull(), "invalid_target").when(
                 F.col("hosts").isNull()
-                | ~allowed("url", "hosts", "prefixes")
-                | ~allowed(fetch, "hosts", "prefixes"),
+                | ~allowed("canonical", "hosts", "prefixes")
+                | ~allowed("canonical_fetch", "hosts", "prefixes"),
                 "policy_rejected",
             ),
         )
