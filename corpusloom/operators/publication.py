@@ -44,12 +44,12 @@ def publication_violations(batch: DataFrame, existing: DataFrame, report: DataFr
 
     report(status, published_candidates, requested) must be validated and count the batch exactly.
     """
-    size = batch.agg(F.count("*").alias("rows"))
-    counts = report.join(F.broadcast(size)).where(
+    rows = batch.agg(F.count("*")).scalar()
+    counts = report.where(
         (F.col("status") != "validated")
-        | (F.col("published_candidates") != F.col("rows"))
-        | (F.col("requested") != F.col("rows"))
-        | (F.col("rows") == 0)
+        | (F.col("published_candidates") != rows)
+        | (F.col("requested") != rows)
+        | (rows == 0)
     )
     parts = [
         counts.select(F.lit("report").alias("rule"), F.lit(None).cast("string").alias("subject")),

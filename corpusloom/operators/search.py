@@ -23,7 +23,8 @@ def search_entities(queries: DataFrame, entities: DataFrame, limit: int = RESULT
     hay = reduced.select(F.col("text").alias("hay_id"), F.col("text").alias("hay")).distinct()
     hits = containment(needles, hay).join(reduced.withColumnRenamed("text", "hay_id"), "hay_id").select("needle_id", "entity_id")
     everything = entities.select("entity_id").orderBy("entity_id").limit(limit)
-    blank = asked.where("needle = ''").select("query").join(F.broadcast(everything))
+    first = everything.agg(F.sort_array(F.collect_list("entity_id"))).scalar()
+    blank = asked.where("needle = ''").select("query", F.explode(first).alias("entity_id"))
     matched = asked.join(hits, F.col("needle") == F.col("needle_id")).select("query", "entity_id")
     place = F.row_number().over(W.partitionBy("query").orderBy("entity_id"))
     return matched.unionByName(blank).withColumn("place", place).where(F.col("place") <= limit)
