@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one module per block of operators."""
 
-from . import collection, corpus, identity, texts  # noqa: F401
+from . import collection, corpus, identity, texts, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

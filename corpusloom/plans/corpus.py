@@ -8,7 +8,7 @@ from ..functions.keys import embedding_input, entity_key, input_hash, version_id
 from ..functions.text import word_list
 from ..operators.admission import admit, fresh_evidence, servable
 from ..operators.versions import corpus_digest, current_versions, deactivate_missing, foreign_key_errors, membership, zero_filled
-from ..session import load, scratch_path, spread
+from ..session import cut, load, scratch_path, spread
 from ..sources.store import append_versions, read_store, version_tables
 from .registry import query
 
@@ -18,8 +18,8 @@ LANGUAGES = ["de", "en", "es", "fr", "it", "ko"]
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """Each labelled or unlabelled document as a nested source record.
 
-    The quotation is the first line of the text, so long first lines break the 25-word rule; toxic
-    documents come as academic abstracts and low quality ones without a licence link.
+    The quotation is the first line and the summary the whole text, so long ones break the word rules;
+    toxic documents come as academic abstracts and low quality ones without a licence link.
     """
     docs = spread(load(spark, folder, "documents")).join(load(spark, folder, "labels"), "doc_id", "left")
     words = word_list("text")
@@ -34,7 +34,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     )
     observation = F.struct(
         F.lit("o1").alias("id"),
-        F.array_join(F.slice(words, 1, 150), " ").alias("summary"),
+        F.col("text").alias("summary"),
         F.lit(None).cast("string").alias("summaryKo"),
         F.lit("one document").alias("boundary"),
         F.array(F.concat(F.lit("film-"), "source")).alias("filmKeys"),
@@ -77,7 +77,8 @@ _RULES = """
   r AS (SELECT *, list_filter([
       CASE WHEN toxic = 1 THEN 'academic_without_full_text' END, CASE WHEN quality = 0 THEN 'license_missing' END,
       CASE WHEN 1860 + words % 100 < 1870 THEN 'film_year' END, CASE WHEN first_words = 0 THEN 'passage_text' END,
-      CASE WHEN first_words > 25 THEN 'quote_words' END, CASE WHEN words = 0 THEN 'observation_text' END], lambda x: x IS NOT NULL) AS errors FROM w)"""
+      CASE WHEN first_words > 25 THEN 'quote_words' END, CASE WHEN words = 0 THEN 'observation_text' END,
+      CASE WHEN words + 2 > 160 THEN 'prose_words' END], lambda x: x IS NOT NULL) AS errors FROM w)"""
 
 
 @query(
@@ -103,7 +104,7 @@ def document_admission(spark: SparkSession, folder: str) -> DataFrame:
 )
 def version_store(spark: SparkSession, folder: str) -> DataFrame:
     """Admitted records written to the nine tables, twice; the second append must add nothing."""
-    good = admit(records(spark, folder), 2024).where("admitted")
+    good = cut(admit(records(spark, folder), 2024).where("admitted"))
     resolved = load(spark, folder, "documents", "source").distinct().select(
         F.concat(F.lit("film-"), "source").alias("source_key"),
         entity_key(F.concat(F.lit("Title "), "source"), F.lit(0), F.lit("")).alias("key"),
