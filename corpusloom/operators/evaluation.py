@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 # Blind salt, conditions, gate thresholds, latency target.
-BLIND_SALT = "strada-quality-v2"
+BLIND_SALT = "quality-v2"
 CONDITIONS = ["baseline", "candidate"]
 Z = 1.96
 GATE = dict(reviewers=3, cases=40, score=0.6, lower=0.5, usefulness=4.0, worthwhile=8.0, errors=0)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import word_list
 from ..operators.contract import pick, slot_verdicts, withdraw_evidence
 from ..operators.evaluation import (
-    GATE, attribution_counts, blind_order, case_scores, estimate_cost, listwise, pairwise_scores, quality_gate, run_summary,
+    attribution_counts, blind_order, case_scores, estimate_cost, listwise, pairwise_scores, quality_gate, run_summary,
     unblind, usage_totals, wilson,
 )
 from ..operators.ranking import excluded
@@ -53,7 +54,7 @@ def wilson_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _VOTES = """
-  c AS (SELECT doc_id, source, quality, toxic, n_chars, sha256('strada-quality-v2:' || source || ':' || doc_id || ':baseline') <= sha256('strada-quality-v2:' || source || ':' || doc_id || ':candidate') AS base_first
+  c AS (SELECT doc_id, source, quality, toxic, n_chars, sha256('quality-v2:' || source || ':' || doc_id || ':baseline') <= sha256('quality-v2:' || source || ':' || doc_id || ':candidate') AS base_first
     FROM documents JOIN labels USING (doc_id)),
   v AS (SELECT doc_id, source, base_first, CASE WHEN quality = 1 THEN 'A' ELSE 'B' END AS p FROM c
     UNION ALL SELECT doc_id, source, base_first, CASE WHEN toxic = 0 THEN 'A' ELSE 'tie' END FROM c
@@ -62,10 +63,10 @@ _VOTES = """
   s AS (SELECT doc_id, source, CASE WHEN count(*) FILTER (vote = 'candidate') >= 2 THEN 1.0 WHEN count(*) FILTER (vote = 'baseline') >= 2 THEN 0.0 ELSE 0.5 END AS score FROM w GROUP BY ALL)"""
 
 
-def case_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents as comparisons of their source, judged by three reviewers."""
-    rated = load(spark, folder, "documents", "doc_id", "source", "n_chars").join(load(spark, folder, "labels"), "doc_id")
-    order = blind_order(rated.select(F.col("source").alias("case_id"), F.col("doc_id").alias("repetition"), F.col("doc_id").alias("comparison_id")))
+def case_table(spark: SparkSession, folder: str, case) -> DataFrame:
+    """Labelled documents as comparisons of their case, judged by three reviewers."""
+    rated = load(spark, folder, "documents", "doc_id", "source", "lang", "n_chars").join(load(spark, folder, "labels"), "doc_id")
+    order = blind_order(rated.select(case.alias("case_id"), F.col("doc_id").alias("repetition"), F.col("doc_id").alias("comparison_id")))
     preferred = F.array(
         F.when(F.col("quality") == 1, "A").otherwise("B"),
         F.when(F.col("toxic") == 0, "A").otherwise("tie"),
@@ -77,24 +78,21 @@ def case_table(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("pairwise_majority", f"WITH {_VOTES} SELECT source AS case_id, round(avg(score), 6) AS score, count(*) AS comparisons FROM s GROUP BY source")
 def pairwise_majority(spark: SparkSession, folder: str) -> DataFrame:
-    return case_table(spark, folder).withColumn("score", F.round("score", 6))
+    return case_table(spark, folder, F.col("source")).withColumn("score", F.round("score", 6))
 
 
 @query(
     "quality_gate",
-    f"""WITH {_VOTES}, k AS (SELECT source, avg(score) AS score FROM s GROUP BY source),
+    f"""WITH {_VOTES.replace("doc_id, source, quality", "doc_id, source || '/' || lang AS source, quality").replace("source || ':' || doc_id", "source || '/' || lang || ':' || doc_id")}, k AS (SELECT source, avg(score) AS score FROM s GROUP BY source),
       t AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(score) AS good, avg(score) AS mean FROM k),
       b AS (SELECT n, mean, {_wilson_sql('good', 'n')} FROM t),
       l AS (SELECT avg(1 + 4 * quality) AS usefulness, avg(CASE WHEN n_chars > 1000 THEN 12 ELSE 6 END) AS worthwhile, sum(toxic) AS errors FROM documents JOIN labels USING (doc_id))
     SELECT CAST(n AS BIGINT) AS cases, round(mean, 6) AS score, low AS lower_bound, round(usefulness, 6) AS usefulness, round(worthwhile, 6) AS worthwhile,
-      CAST(errors AS BIGINT) AS errors, CASE WHEN n < 15 THEN 'incomplete' WHEN mean >= 0.6 AND low > 0.5 AND usefulness >= 4 AND worthwhile >= 8 AND errors = 0 THEN 'pass' ELSE 'fail' END AS status FROM b, l""",
+      CAST(errors AS BIGINT) AS errors, CASE WHEN n < 40 THEN 'incomplete' WHEN mean >= 0.6 AND low > 0.5 AND usefulness >= 4 AND worthwhile >= 8 AND errors = 0 THEN 'pass' ELSE 'fail' END AS status FROM b, l""",
 )
 def gate(spark: SparkSession, folder: str) -> DataFrame:
-    """All sources as cases; the twenty sources of the table count as the forty the gate asks for."""
+    """Sources and languages as cases, three reviewers, the labels as list ratings."""
     low, _ = wilson("good", "cases")
-    cases = case_table(spark, folder).agg(
-        F.count("*").alias("cases"), F.sum("score").alias("good"), F.avg("score").alias("score")
-    ).withColumn("lower", F.round(low, 6))
     rated = load(spark, folder, "documents", "doc_id", "n_chars").join(load(spark, folder, "labels"), "doc_id")
     lists = rated.select(
         F.lit("candidate").alias("condition"),
@@ -102,12 +100,19 @@ def gate(spark: SparkSession, folder: str) -> DataFrame:
         F.array_repeat(F.lit("useful"), F.when(F.col("n_chars") > 1000, 12).otherwise(6)).alias("verdicts"),
         F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")).alias("critical_errors"),
     )
-    measured = listwise(lists, []).select("usefulness", "worthwhile", F.col("critical_errors").alias("errors"))
-    keyed = cases.withColumn("one", F.lit(1)).join(measured.withColumn("one", F.lit(1)), "one")
-    scale = GATE["cases"] / 15
-    judged = quality_gate(keyed.withColumn("found", F.col("cases")).withColumn("cases", F.col("cases") * scale).withColumn("reviewers", F.lit(3)))
+    measured = listwise(lists, []).agg(F.first(F.struct("usefulness", "worthwhile", "critical_errors"))).scalar()
+    cases = (
+        case_table(spark, folder, F.concat_ws("/", "source", "lang"))
+        .agg(F.count("*").alias("cases"), F.sum("score").alias("good"), F.avg("score").alias("score"))
+        .withColumn("m", measured)
+        .select(
+            F.lit(3).alias("reviewers"), "cases", "score", F.round(low, 6).alias("lower"),
+            "m.usefulness", "m.worthwhile", F.col("m.critical_errors").alias("errors"),
+        )
+    )
+    judged = quality_gate(cases)
     return judged.select(
-        F.col("found").alias("cases"), F.round("score", 6).alias("score"), F.col("lower").alias("lower_bound"),
+        "cases", F.round("score", 6).alias("score"), F.col("lower").alias("lower_bound"),
         F.round("usefulness", 6).alias("usefulness"), F.round("worthwhile", 6).alias("worthwhile"), "errors", "status",
     )
 
@@ -154,7 +159,7 @@ def attribution_pivot(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "slot_verdicts",
-    """WITH x AS (SELECT l_orderkey AS o, l_linenumber AS slot, l_partkey AS part, CASE WHEN l_quantity >= 49 THEN NULL ELSE l_partkey % 20 END AS film, l_returnflag FROM lineitem),
+    """WITH x AS (SELECT l_orderkey AS o, l_linenumber AS slot, l_partkey AS part, CASE WHEN l_quantity >= 49 THEN NULL ELSE l_suppkey END AS film, l_returnflag FROM lineitem),
       b AS (SELECT DISTINCT o, film FROM x WHERE l_returnflag = 'R' AND film IS NOT NULL),
       m AS (SELECT x.*, b.film IS NOT NULL AS banned FROM x LEFT JOIN b ON b.o = x.o AND b.film = x.film),
       f AS (SELECT *, min(slot) FILTER (film IS NOT NULL AND NOT banned) OVER (PARTITION BY o, film) AS first FROM m)
@@ -162,9 +167,9 @@ def attribution_pivot(spark: SparkSession, folder: str) -> DataFrame:
     FROM f GROUP BY ALL""",
 )
 def verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as slots: films are part families, large quantities unresolved, returned ones excluded."""
-    film = F.when(F.col("l_quantity") < 49, F.col("l_partkey") % 20)
-    lines = load(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag").select(
+    """Order lines as slots: films are suppliers, large quantities unresolved, returned ones excluded."""
+    film = F.when(F.col("l_quantity") < 49, F.col("l_suppkey"))
+    lines = load(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").select(
         F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("slot"), F.col("l_partkey").alias("part"), film.alias("film_id"), "l_returnflag"
     )
     returned = lines.where("l_returnflag = 'R' AND film_id IS NOT NULL").select("request_id", "film_id")
@@ -190,24 +195,15 @@ def best_choice(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "index_choice",
-    """WITH o AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS parts, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS idx FROM lineitem GROUP BY l_orderkey)
-    SELECT l_orderkey, CAST(list_sum(list_filter(list_transform(idx, lambda i: parts[i + 2]), lambda x: x IS NOT NULL)) AS BIGINT) AS part_sum,
-      CAST(len(list_filter(list_transform(idx, lambda i: parts[i + 2]), lambda x: x IS NOT NULL)) AS BIGINT) AS found FROM o WHERE len(parts) <= 64""",
+    """WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ws FROM documents),
+      p AS (SELECT doc_id, list_filter(list_transform(ws, lambda w: ws[length(w) + 1]), lambda x: x IS NOT NULL) AS p FROM w)
+    SELECT doc_id, CAST(len(p) AS BIGINT) AS found, sha256(array_to_string(p, ' ')) AS picked_sha FROM p""",
 )
 def index_choice(spark: SparkSession, folder: str) -> DataFrame:
-    """Line numbers as positions into the order's own part list; positions past its end are dropped.
-
-    An order is one model output, whose arrays the contract bounds; longer ones break it and are out.
-    """
-    lines = load(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
-    fits = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n <= 64").select("l_orderkey")
-    rows = lines.join(fits, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
-    chosen = rows.select("l_orderkey", pick(F.col("l.l_partkey"), F.transform("l.l_linenumber", lambda i: i + 1)).alias("p"))
-    return chosen.select(
-        "l_orderkey",
-        F.when(F.size("p") > 0, F.aggregate("p", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("part_sum"),
-        F.size("p").cast("bigint").alias("found"),
-    )
+    """Word lengths as positions into the document's own words; positions past the end are dropped."""
+    words = load(spark, folder, "documents", "doc_id", "text").select("doc_id", word_list("text").alias("ws"))
+    chosen = words.select("doc_id", pick("ws", F.transform("ws", lambda w: F.length(w))).alias("p"))
+    return chosen.select("doc_id", F.size("p").cast("bigint").alias("found"), F.sha2(F.array_join("p", " "), 256).alias("picked_sha"))
 
 
 @query(
