@@ -15,12 +15,15 @@ from .registry import query
 from .texts import CHUNK_LIMIT, CHUNK_OVERLAP
 
 
+SEEDS = 4
+
+
 @query("context_selection")
 def context_selection(spark: SparkSession, folder: str) -> DataFrame:
-    """Budgeted context per language of the benchmark's words: chunks of documents as passages.
+    """Budgeted context for requests of four benchmark items each; chunks of documents are the passages.
 
-    Benchmark items are anchors; items that start with the same character form one request. Chunks
-    that hold an item whole are its direct hits, lexical hits are related context.
+    Items are the anchors. A chunk with nine tenths of an item's rare terms is its direct hit, the
+    other lexical hits are related context.
     """
     docs = spread(load(spark, folder, "documents", "doc_id", "text"))
     pieces = docs.select("doc_id", F.inline(chunks("text", CHUNK_LIMIT, CHUNK_OVERLAP)))
@@ -30,10 +33,10 @@ def context_selection(spark: SparkSession, folder: str) -> DataFrame:
             "doc_id", "text", search_terms("text").alias("terms"),
         )
     )
-    items = load(spark, folder, "benchmark").withColumn("request_id", F.substring("text", 1, 1))
+    items = load(spark, folder, "benchmark").withColumn("request_id", F.floor(F.col("item_id") / SEEDS))
     asked = items.select(F.col("item_id").alias("request_id"), search_terms("text").alias("terms"))
     related = lexical_hits(asked, passages.select("passage_id", "terms")).select(
-        F.col("request_id").alias("anchor"), "passage_id", "score", F.col("matched").alias("matched")
+        F.col("request_id").alias("anchor"), "passage_id", "score", "matched"
     )
     terms = asked.select(F.col("request_id").alias("anchor"), F.size("terms").alias("asked"))
     hits = related.join(terms, "anchor").join(items.select(F.col("item_id").alias("anchor"), "request_id"), "anchor")
