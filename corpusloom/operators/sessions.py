@@ -16,9 +16,9 @@ MAX_SNAPSHOTS = 64
 MAX_SEEN = 5_000
 MAX_CHARS = 1_500_000
 
-# Every (length, cursor) a path can be in when a segment starts.
-_LENGTHS = np.concatenate([np.full(n, n) for n in range(1, MAX_SNAPSHOTS + 1)])
-_CURSORS = np.concatenate([np.arange(n) for n in range(1, MAX_SNAPSHOTS + 1)])
+# Every (length, cursor) a path can be in when a segment starts; the empty path (0, -1) comes last.
+_LENGTHS = np.concatenate([np.full(n, n) for n in range(1, MAX_SNAPSHOTS + 1)] + [[0]])
+_CURSORS = np.concatenate([np.arange(n) for n in range(1, MAX_SNAPSHOTS + 1)] + [[-1]])
 
 
 def _first_segment(restore: np.ndarray) -> tuple[list[int], int, int]:
@@ -137,7 +137,7 @@ def reduce_sessions(events: DataFrame) -> DataFrame:
         cursor, refused = -1, 0
         for which, flat in zip(*[frame.sort_values("segment")[c] for c in ("which", "table")]):
             table = np.asarray(flat).reshape(-1, MAX_SNAPSHOTS + 3)
-            state = len(stack) * (len(stack) - 1) // 2 + cursor if len(which) > 1 else 0
+            state = len(stack) * (len(stack) - 1) // 2 + cursor if stack else -1
             row = table[which[state]]
             size, cursor, refused = int(row[0]), int(row[1]), refused + int(row[2])
             stack = [int(s) if s >= 0 else stack[-1 - int(s)] for s in row[3 : 3 + size]]
