@@ -10,7 +10,7 @@ from ..operators.contract import apply_repairs, connections, decode_wire, output
 from ..operators.entities import canonicalize, match_by_authority
 from ..operators.projections import entity_films, provider_films
 from ..session import cut, load, scratch_path, spread
-from ..sources.model_io import batch_lines, read_model_results, write_batch_requests
+from ..sources.model_io import batch_lines, read_model_results
 from .registry import query
 
 
@@ -187,13 +187,13 @@ def canonical_entities(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "language_choice",
     """SELECT item_id, array_to_string(list_slice(regexp_extract_all(text, '\\S+'), 1, 55), ' ') AS summary,
-      left(text, 187) AS share, CAST(least(55, len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS words, CASE WHEN length(text) % 2 = 0 THEN '2024-05' END AS published FROM benchmark""",
+      left(text, 187) AS share, CAST(least(55, len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS words, CASE WHEN text LIKE '%.' THEN '2024-05' END AS published FROM benchmark""",
 )
 def language_choice(spark: SparkSession, folder: str) -> DataFrame:
     """Summary of 55 words, an eighth of the overview allowance and a partial date, per item."""
     items = load(spark, folder, "benchmark")
     chosen = items.withColumn("text", pick_language(F.lit("ko"), F.lit(""), "text")).withColumn("films", F.lit(8))
-    dated = F.when(F.length("text") % 2 == 0, "2024-05").otherwise("May 2024")
+    dated = F.when(F.col("text").endswith("."), "2024-05").otherwise("May 2024")
     return chosen.select(
         "item_id",
         trim_words("text", 55).alias("summary"),
@@ -203,13 +203,8 @@ def language_choice(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_WIRE = """
-  o AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders),
-  x AS (SELECT l_orderkey AS o, l_linenumber AS slot, max(l_partkey) AS part, max(l_suppkey) AS supp, max(l_returnflag) AS flag, max(l_quantity) AS q FROM lineitem GROUP BY ALL)"""
-
-
 def wire(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as wire outputs of seven slots, one per line number.
+    """Orders as wire outputs, one slot per line number and so seven at most.
 
     A slot cites passage 0 when its line was not returned; open orders label it explicit, others
     as an interpretation, and returned lines as a proposal that wrongly cites passage 1.

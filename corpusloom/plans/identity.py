@@ -9,12 +9,8 @@ from ..operators.containment import containment
 from ..operators.entities import band_neighbours, cascade, credit_matches, merge_entities, resolve_mentions, union_last_wins
 from ..operators.search import search_entities as search
 from ..session import load
-from . import sql
 from .registry import query
 
-_PERSON = sql.person("{0}")
-
-
 @query(
     "person_key_match",
     """WITH n AS (SELECT n_nationkey, n_name FROM nation),

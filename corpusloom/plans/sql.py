@@ -23,14 +23,3 @@ def quote(text: str) -> str:
     out = f"regexp_replace({out}, '[“”„‟]', '\"', 'g')"
     out = f"regexp_replace({out}, '[‐‑‒–—−]', '-', 'g')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
-
-
-def identity(text: str) -> str:
-    return f"regexp_replace(lower(strip_accents({text})), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
-
-
-def person(text: str) -> str:
-    return (
-        f"array_to_string(list_sort(regexp_extract_all(lower(strip_accents({text})), "
-        "'[\\p{L}\\p{N}]+')), ' ')"
-    )
