@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import text_hash, version_id
 from ..functions.text import normalize_casefold
+from ..session import cut
 
 TABLES = (
     "sources versions entities aliases document_films passages observations participants evidence_links"
 ).split()
 
+# Tables that versions share, with the columns that make a row known.
+SHARED_KEYS = {
+    "sources": ["source_id", "current_version"],
+    "entities": ["key"],
+    "aliases": ["key", "alias_type", "alias_normalized", "year", "director_normalized"],
+}
+
 
 def version_tables(records: DataFrame, resolved: DataFrame) -> dict[str, DataFrame]:
     """The nine tables of admitted records.
@@ -87,18 +95,18 @@ def append_versions(tables: dict[str, DataFrame], root: str) -> DataFrame:
     """
     spark = tables["versions"].sparkSession
     known = read_table(spark, root, "versions", tables["versions"]).select("version_id")
-    new = tables["versions"].join(known, "version_id", "left_anti").select("version_id").distinct()
+    new = cut(tables["versions"].select("version_id").distinct().join(known, "version_id", "left_anti"))
     fresh = new.withColumnRenamed("version_id", "new_version")
 
     def of_new(df: DataFrame) -> DataFrame:
-        version = "version_id" if "version_id" in df.columns else None
-        owner = F.col(version) if version else F.regexp_extract("observation_id", "^(.*)/[^/]*$", 1)
+        owner = F.col("version_id") if "version_id" in df.columns else F.regexp_extract("observation_id", "^(.*)/[^/]*$", 1)
         return df.join(fresh, owner == F.col("new_version"), "left_semi")
 
     for name in ("document_films", "passages", "observations", "participants", "evidence_links"):
         of_new(tables[name]).write.mode("append").parquet(os.path.join(root, name))
-    for name in ("sources", "entities", "aliases"):
-        tables[name].write.mode("append").parquet(os.path.join(root, name))
+    for name, keys in SHARED_KEYS.items():
+        held = read_table(spark, root, name, tables[name]).select(*keys)
+        tables[name].join(held, keys, "left_anti").write.mode("append").parquet(os.path.join(root, name))
     of_new(tables["versions"]).write.mode("append").parquet(os.path.join(root, "versions"))
     return new
 
