@@ -60,3 +60,17 @@ def features_of(lowered: Column) -> Column:
         F.filter(grams, lambda g: F.trim(g) != ""), lambda g: F.concat(F.lit("c:"), g)
     )
     return F.concat(singles, pairs, trigrams)
+
+
+@arrow_udf(T.ArrayType(T.StructType().add("feature", T.StringType()).add("tf", T.LongType())))
+def tally(values: pa.Array) -> pa.Array:
+    """Distinct values of each row's list with their counts, counted for the whole batch at once."""
+    flat = values.flatten()
+    codes = flat.dictionary_encode()
+    sizes = np.diff(values.offsets.to_numpy())
+    row = np.repeat(np.arange(len(values), dtype=np.int64), sizes)
+    keys, counts = np.unique(row * max(1, len(codes.dictionary)) + codes.indices.to_numpy(), return_counts=True)
+    owner, code = np.divmod(keys, max(1, len(codes.dictionary)))
+    entries = pa.StructArray.from_arrays([codes.dictionary.take(pa.array(code)), pa.array(counts)], ["feature", "tf"])
+    offsets = np.searchsorted(owner, np.arange(len(values) + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)

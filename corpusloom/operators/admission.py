@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import normalize_quote, valid_iso, word_count
 from ..functions.urls import public_http
+from ..session import join_back
 from ..schemas import ACCESS, KINDS, RELATIONAL, RIGHTS, SOURCE_TYPES
 
 QUOTE_WORDS = 25
@@ -109,7 +110,7 @@ def ingestion_status(admitted: DataFrame, commercial_only: bool = False) -> Data
         .when(F.lit(commercial_only) & ~licensed, "no_open_license")
     )
     return (
-        admitted.join(first, "id", "left")
+        join_back(admitted, first, ["id"], "left")
         .withColumn("reason", reason)
         .withColumn(
             "status",
@@ -220,8 +221,8 @@ def fresh_evidence(packets: DataFrame, current: DataFrame, now) -> DataFrame:
     version is the active one of current(document_id, version_id).
     """
     moment = F.lit(now)
-    joined = packets.join(
-        current.select("document_id", F.col("version_id").alias("active")), "document_id", "left"
+    joined = join_back(
+        packets, current.select("document_id", F.col("version_id").alias("active")), ["document_id"], "left"
     )
     in_time = F.col("issued").between(moment - F.expr("interval 30 days"), moment + F.expr("interval 60 seconds"))
     full = (F.col("source_type") != "academic") | F.col("access").isin("full_page", "full_text")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import SPACE
 from ..functions.urls import canonical_url, host, host_in, path, path_in, target_id
-from ..session import cut, if_small
+from ..session import cut, if_small, join_back
 
 # Page limits, challenge wording, statuses that need no further work.
 MAX_BYTES = 32_000_000
@@ -44,7 +44,7 @@ def first_claims(claims: DataFrame) -> DataFrame:
     while True:
         first = still.groupBy("url").agg(F.min("ordinal").alias("first"))
         winners = cut(
-            still.join(first, "url")
+            join_back(still, first, ["url"])
             .groupBy("ordinal")
             .agg(F.bool_and(F.col("ordinal") == F.col("first")).alias("wins"))
             .where("wins")
@@ -52,7 +52,7 @@ def first_claims(claims: DataFrame) -> DataFrame:
         )
         won.append(winners)
         taken = still.join(winners, "ordinal", "left_semi").select("url").distinct()
-        touched = still.join(taken, "url", "left_semi").select("ordinal").distinct()
+        touched = join_back(still, taken, ["url"], "left_semi").select("ordinal").distinct()
         still = cut(still.join(touched, "ordinal", "left_anti"))
         if still.isEmpty():
             return reduce(DataFrame.unionByName, won)
@@ -83,7 +83,7 @@ def plan_collection(targets: DataFrame, families: DataFrame, published: DataFram
         "ordinal", F.explode(F.array_distinct(F.array("canonical", "canonical_fetch"))).alias("url")
     )
     known = published.select(canonical_url("url").alias("url")).where("url IS NOT NULL").distinct()
-    seen = urls.join(known, "url", "left_semi").select("ordinal").distinct().withColumn("published", F.lit(True))
+    seen = join_back(urls, known, ["url"], "left_semi").select("ordinal").distinct().withColumn("published", F.lit(True))
     fresh = urls.join(seen, "ordinal", "left_anti")
     accepted = first_claims(fresh).withColumn("accepted", F.lit(True))
     return (
@@ -119,7 +119,7 @@ def page_status(text, content_type, http_status, size) -> Column:
 def first_content(pages: DataFrame) -> DataFrame:
     """pages(ordinal, text_hash) with the first ordinal of the same text, and a status."""
     first = pages.groupBy("text_hash").agg(F.min("ordinal").alias("first_ordinal"))
-    return pages.join(first, "text_hash").withColumn(
+    return join_back(pages, first, ["text_hash"]).withColumn(
         "status",
         F.when(F.col("ordinal") == F.col("first_ordinal"), "fetched").otherwise("duplicate_content"),
     )
@@ -226,7 +226,7 @@ def _repeats(df: DataFrame, key: str) -> DataFrame:
 def validate_families(families: DataFrame) -> DataFrame:
     """Families with their broken rules; a registry is valid when every list is empty."""
     return (
-        families.join(_repeats(families, "id"), "id")
+        join_back(families, _repeats(families, "id"), ["id"])
         .withColumn("errors", F.concat(family_errors(), F.when(F.col("repeated"), F.array(F.lit("repeated"))).otherwise(F.array().cast("array<string>"))))
         .drop("repeated")
     )
@@ -244,4 +244,4 @@ def validate_targets(targets: DataFrame) -> DataFrame:
             F.when(F.exists("tags", lambda t: t.isNull() | (F.trim(t) == "")), "tags"),
         )
     )
-    return targets.join(_repeats(targets, "id"), "id").withColumn("errors", rules).drop("repeated")
+    return join_back(targets, _repeats(targets, "id"), ["id"]).withColumn("errors", rules).drop("repeated")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import identity_text
 from ..functions.urls import https_url
+from ..session import join_back
 
 # List length and the one-letter attribution codes of the wire form.
 SLOTS = 12
@@ -104,10 +105,10 @@ def slot_verdicts(slots: DataFrame, excluded: DataFrame) -> DataFrame:
     is reduced before it is moved, rather than by ordering a request's slots.
     """
     banned = excluded.select("request_id", "film_id").distinct().withColumn("banned", F.lit(True))
-    marked = slots.join(banned, ["request_id", "film_id"], "left")
+    marked = join_back(slots, banned, ["request_id", "film_id"], "left")
     open_slots = marked.where(F.col("film_id").isNotNull() & F.col("banned").isNull())
     first = open_slots.groupBy("request_id", "film_id").agg(F.min("slot").alias("first_slot"))
-    return marked.join(first, ["request_id", "film_id"], "left").withColumn(
+    return join_back(marked, first, ["request_id", "film_id"], "left").withColumn(
         "verdict",
         F.when(F.col("film_id").isNull(), "unresolved")
         .when(F.col("banned"), "excluded")

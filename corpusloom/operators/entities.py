@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import entity_key
 from ..functions.text import credit_names, fold, identity_text, normalize_casefold, person_key, person_tokens, words
-from ..session import cut
+from ..session import cut, join_back
 
 MAX_ROUNDS = 60
 
@@ -159,7 +159,7 @@ def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
         "hi",
     )
     extremes = band.groupBy(*keys, "year").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return left.join(extremes, [*keys, "year"]).select(
+    return join_back(left, extremes, [*keys, "year"]).select(
         left_id, F.explode(F.array_distinct(F.array("lo", "hi"))).alias(right_id)
     )
 
@@ -175,14 +175,15 @@ def band_neighbours(rows: DataFrame, id_column: str, key: str, at: str, width: i
         .groupBy(key, at)
         .agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
     )
-    return rows.join(band, [key, at]).select(
+    return join_back(rows, band, [key, at]).select(
         id_column,
         (F.col("n") - 1).alias("others"),
         F.when(F.col("n") == 2, F.col("ids") - F.col(id_column)).alias("only_other"),
     )
 
 
-def _credit_keys(side: str, id_column: str, credits: DataFrame) -> DataFrame:
+def _credit_keys(credits: DataFrame, id_column: str, left: bool) -> DataFrame:
+    """(id, whole, match_key): a left and a right credit agree when they share a match key."""
     keyed = (
         credits.withColumn("whole", person_key("credit"))
         .where("whole != ''")
@@ -192,35 +193,32 @@ def _credit_keys(side: str, id_column: str, credits: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_set("name")).alias("names"))
     )
     single = F.size("names") == 1
-    all_names = F.concat(F.lit("all:"), F.array_join("names", "|"))
-    if side == "left":
-        keys = F.when(single, F.transform("names", lambda n: F.concat(F.lit("holds:"), n))).otherwise(
-            F.concat(F.array(all_names), F.transform("names", lambda n: F.concat(F.lit("is:"), n)))
-        )
+    every = F.array(F.concat(F.lit("all:"), F.array_join("names", "|")))
+    holds = F.transform("names", lambda n: F.concat(F.lit("holds:"), n))
+    equals = F.transform("names", lambda n: F.concat(F.lit("is:"), n))
+    if left:
+        keys = F.when(single, holds).otherwise(F.concat(every, equals))
     else:
-        keys = F.concat(
-            F.transform("names", lambda n: F.concat(F.lit("holds:"), n)),
-            F.when(single, F.transform("names", lambda n: F.concat(F.lit("is:"), n))).otherwise(F.array(all_names)),
-        )
-    keys = F.concat(F.array(F.concat(F.lit("whole:"), F.col("whole"))), keys)
-    return keyed.select(id_column, "whole", F.explode(keys).alias("match_key"))
+        keys = F.concat(holds, F.when(single, equals).otherwise(every))
+    whole = F.array(F.concat(F.lit("whole:"), "whole"))
+    return keyed.select(id_column, "whole", F.explode(F.concat(whole, keys)).alias("match_key"))
 
 
 def credit_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """left(left_id, credit): number and smallest id of the agreeing right(right_id, credit) rows.
 
     Credits agree when their whole keys are equal, a single name is among the other's names, or two
-    lists name the same people. Every agreement is one shared match key, and the right side is
-    counted per key before the join, so no pairs are made.
+    lists name the same people. The right side is counted per match key, and rows of an equal whole
+    key, which agree twice, are counted off again; so no pairs are ever made.
     """
-    rights = _credit_keys("right", "right_id", right).groupBy("match_key", "whole").agg(
-        F.count("*").alias("n"), F.min("right_id").alias("first")
-    )
-    lefts = _credit_keys("left", "left_id", left).withColumnRenamed("whole", "left_whole")
-    agreed = lefts.join(rights, "match_key").where(
-        F.col("match_key").startswith("whole:") | (F.col("left_whole") != F.col("whole"))
+    rights = _credit_keys(right, "right_id", False)
+    per_key = rights.groupBy("match_key").agg(F.count("*").alias("n"), F.min("right_id").alias("first"))
+    twice = rights.where(~F.col("match_key").startswith("whole:")).groupBy("match_key", "whole").agg(F.count("*").alias("again"))
+    lefts = _credit_keys(left, "left_id", True)
+    agreed = join_back(join_back(lefts, per_key, ["match_key"]), twice, ["match_key", "whole"], "left")
+    return agreed.groupBy("left_id").agg(
+        F.sum(F.col("n") - F.coalesce("again", F.lit(0))).alias("matches"), F.min("first").alias("first_match")
     )
-    return agreed.groupBy("left_id").agg(F.sum("n").alias("matches"), F.min("first").alias("first_match"))
 
 
 def person_keys(credit) -> Column:
@@ -265,7 +263,7 @@ def canonicalize(rows: DataFrame, local: DataFrame) -> DataFrame:
     """rows(id, authority_id, ...) take the id of the local(id, authority_id) entity; then one per id."""
     first = local.where("authority_id IS NOT NULL").groupBy("authority_id").agg(F.min("id").alias("local_id"))
     return (
-        rows.join(first, "authority_id", "left")
+        join_back(rows, first, ["authority_id"], "left")
         .withColumn("id", F.coalesce("local_id", "id"))
         .drop("local_id")
         .dropDuplicates(["id"])
@@ -297,24 +295,25 @@ def components(edges: DataFrame) -> DataFrame:
     Labels pass from nodes to hubs and back, and each label is replaced by its own label, which halves
     the distance left. Hubs are reduced before they are joined, so a crowded hub moves one row.
     """
-    labelled = cut(edges.select("node", "hub").distinct().withColumn("label", F.col("node")))
+    links = cut(edges.select("node", "hub").distinct())
+    labels = links.select("node").distinct().withColumn("label", F.col("node"))
     for _ in range(MAX_ROUNDS):
+        labelled = links.join(labels, "node")
         lowest = labelled.groupBy("hub").agg(F.min("label").alias("hub_label"))
         step = (
-            labelled.join(lowest, "hub")
+            join_back(labelled, lowest, ["hub"])
             .groupBy("node")
             .agg(F.min("label").alias("old"), F.min("hub_label").alias("label"))
         )
-        step = cut(step)
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = cut(
-            step.join(jump, "label", "left").select(
+            join_back(step, jump, ["label"], "left").select(
                 "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")
             )
         )
+        labels = moved.select("node", "label")
         if moved.where("label < old").limit(1).count() == 0:
-            return moved.select("node", "label")
-        labelled = cut(labelled.drop("label").join(moved.select("node", "label"), "node"))
+            return labels
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
@@ -336,8 +335,7 @@ def merge_entities(mentions: DataFrame, registry: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("keys"), F.substring(F.min("node"), 2, 1_000_000).alias("owner"))
     )
     return (
-        same.join(labels, "node")
-        .join(owners, "label", "left")
+        join_back(same.join(labels, "node"), owners, ["label"], "left")
         .select(
             "mention_id",
             F.col("label").alias("component"),

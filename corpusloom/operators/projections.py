@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clean_text, plot_excerpt
 from ..functions.urls import poster_url
+from ..session import cut
 
 # Entity classes that are films, alias count, image size, default year.
 FILM_TYPES = [
@@ -46,7 +47,8 @@ def _first(values: Column) -> Column:
 
 def entity_films(raw: DataFrame) -> DataFrame:
     """raw(body) JSON entities as films; directors and countries take the labels of the same dump."""
-    parsed = raw.select(F.from_json("body", ENTITY).alias("e")).select("e.*").where("id IS NOT NULL")
+    # Parsed once; the films and both label joins read the parsed rows.
+    parsed = cut(raw.select(F.from_json("body", ENTITY).alias("e")).select("e.*").where("id IS NOT NULL"))
     stated = F.transform(_claims("P577", "time"), lambda t: F.substring(t, 2, 4).try_cast("int"))
     years = F.filter(stated, lambda y: y.isNotNull() & (y > 1850) & (y < 2200))
     korean = _label("ko")

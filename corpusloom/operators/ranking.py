@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import keyed
+
 # Edge qualities, list length, sources per row, similarity shares and penalties.
 DIRECT, GROUNDED, OTHER = 1.0, 0.78, 0.6
 LIST = 12
@@ -56,29 +58,32 @@ def topped_up(evidence, own) -> Column:
     return F.concat(cited, F.slice(spare, 1, F.greatest(F.lit(0), F.lit(MIN_SOURCES) - F.size(cited))))
 
 
-def _rerank(frame: pd.DataFrame) -> pd.DataFrame:
-    rows = frame.sort_values("candidate").reset_index(drop=True)
-    top = max(rows.relevance.max(), 0.0001)
+def _rerank(group: pa.Table) -> pa.Table:
+    rows = group.sort_by("candidate").to_pylist()
+    top = max(max(r["relevance"] for r in rows), 0.0001)
+
+    def similarity(x: dict, y: dict) -> float:
+        score = SAME_DIRECTOR if x["director"] and x["director"] == y["director"] else 0.0
+        score += SAME_COUNTRY if x["country"] and x["country"] == y["country"] else 0.0
+        score += SAME_DECADE if x["year"] // 10 == y["year"] // 10 else 0.0
+        return score + (SHARED_GENRE if set(x["genres"] or ()) & set(y["genres"] or ()) else 0.0)
 
-    def similarity(a: int, b: int) -> float:
-        x, y = rows.loc[a], rows.loc[b]
-        score = SAME_DIRECTOR if x.director and x.director == y.director else 0.0
-        score += SAME_COUNTRY if x.country and x.country == y.country else 0.0
-        score += SAME_DECADE if x.year // 10 == y.year // 10 else 0.0
-        shared = x.genres is not None and y.genres is not None and set(x.genres) & set(y.genres)
-        return score + (SHARED_GENRE if shared else 0.0)
+    chosen: list[dict] = []
+    while rows and len(chosen) < LIST:
 
-    chosen: list[int] = []
-    left = list(rows.index)
-    while left and len(chosen) < LIST:
-        def value(at: int) -> float:
-            near = max((similarity(at, c) for c in chosen), default=0.0)
-            return rows.relevance[at] / top * (1 - REDUNDANCY * near) - (SEEN if rows.seen[at] else 0.0)
+        def value(row: dict) -> float:
+            near = max((similarity(row, c) for c in chosen), default=0.0)
+            return round(row["relevance"] / top * (1 - REDUNDANCY * near) - (SEEN if row["seen"] else 0.0), 12)
 
-        best = min(left, key=lambda at: (-round(value(at), 12), rows.candidate[at]))
-        left.remove(best)
+        best = min(rows, key=lambda row: (-value(row), row["candidate"]))
+        rows.remove(best)
         chosen.append(best)
-    return pd.DataFrame({"request_id": rows.request_id[chosen].to_numpy(), "candidate": rows.candidate[chosen].to_numpy(), "position": range(1, len(chosen) + 1)})
+    columns = group.select(["request_id", "candidate"]).schema
+    return pa.table(
+        {"request_id": pa.array([r["request_id"] for r in chosen], columns.field(0).type),
+         "candidate": pa.array([r["candidate"] for r in chosen], columns.field(1).type),
+         "position": pa.array(range(1, len(chosen) + 1), pa.int32())}
+    )
 
 
 def diversity_rerank(rows: DataFrame) -> DataFrame:
@@ -89,7 +94,7 @@ def diversity_rerank(rows: DataFrame) -> DataFrame:
     """
     kinds = dict(rows.dtypes)
     schema = f"request_id {kinds['request_id']}, candidate {kinds['candidate']}, position int"
-    return rows.groupBy("request_id").applyInPandas(_rerank, schema)
+    return keyed(rows, "request_id").groupBy("request_id").applyInArrow(_rerank, schema)
 
 
 def excluded(intents: DataFrame, shown: DataFrame) -> DataFrame:

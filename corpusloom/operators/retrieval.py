@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import keyed
+
 # Hit weights, graph floor and the context budget.
 DIRECT_SCORE = 20.0
 NEIGHBOUR_WEIGHT = 6.0
@@ -101,7 +103,7 @@ def select_context(pool: DataFrame) -> DataFrame:
         f"score double, size {kinds['size']}, position int"
     )
     needed = ["request_id", "passage_id", "doc_id", "score", "value", "anchors", "guaranteed", "place", "size"]
-    return pool.select(*needed).groupBy("request_id").applyInPandas(_choose, schema)
+    return keyed(pool.select(*needed), "request_id").groupBy("request_id").applyInPandas(_choose, schema)
 
 
 def context_coverage(selected: DataFrame, passages: DataFrame) -> DataFrame:

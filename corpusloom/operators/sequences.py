@@ -11,12 +11,11 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-from ..session import cut
+from ..session import cut, keyed
 
 SEGMENT_ROWS = 4_096
 
@@ -61,53 +60,55 @@ def pack(items: DataFrame, shard: str, ordinal: str, chars: str, max_items: int,
     ahead = segmented.where((F.col("position") % length < max_items) & (F.col("segment") > 0))
     with_halo = segmented.unionByName(ahead.withColumn("segment", F.col("segment") - 1))
 
-    def describe(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("position")
-        first = int(rows.segment.iloc[0]) * length
-        own = int((rows.position < first + length).sum())
-        nxt = _next_starts(rows.chars.to_numpy(), max_items, max_chars)
+    def describe(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("position")
+        first = rows["segment"][0].as_py() * length
+        own = int((rows["position"].to_numpy() < first + length).sum())
+        nxt = _next_starts(rows["chars"].to_numpy(), max_items, max_chars)
         leave, starts = np.zeros(own, dtype=np.int64), np.zeros(own, dtype=np.int64)
         for at in range(own - 1, -1, -1):
             to = int(nxt[at])
             leave[at], starts[at] = (to - own, 1) if to >= own else (leave[to], starts[to] + 1)
         entries = min(max_items, own)
-        return pd.DataFrame(
-            {shard: [rows[shard].iloc[0]], "segment": [rows.segment.iloc[0]], "leave": [leave[:entries]], "starts": [starts[:entries]]}
-        )
+        return rows.select([shard, "segment"]).slice(0, 1).append_column(
+            "leave", pa.array([leave[:entries]], pa.list_(pa.int64()))
+        ).append_column("starts", pa.array([starts[:entries]], pa.list_(pa.int64())))
 
-    steps = with_halo.groupBy(shard, "segment").applyInPandas(
+    steps = keyed(with_halo, shard, "segment").groupBy(shard, "segment").applyInArrow(
         describe, f"{shard} {kinds[shard]}, segment bigint, leave array<bigint>, starts array<bigint>"
     )
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("segment")
+    def chain(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("segment")
         entry, done, out = 0, 0, []
-        for leave, starts in zip(rows.leave, rows.starts):
+        for leave, starts in zip(rows["leave"], rows["starts"]):
             out.append((entry, done))
             if entry < len(leave):
-                entry, done = int(leave[entry]), done + int(starts[entry])
+                entry, done = leave[entry].as_py(), done + starts[entry].as_py()
             else:
                 entry = 0
-        return pd.DataFrame({shard: rows[shard], "segment": rows.segment, "entry": [e for e, _ in out], "done": [d for _, d in out]})
+        return rows.select([shard, "segment"]).append_column(
+            "entry", pa.array([e for e, _ in out], pa.int64())
+        ).append_column("done", pa.array([d for _, d in out], pa.int64()))
 
     # One row per segment: the square root of the table at most.
-    entries = steps.groupBy(shard).applyInPandas(chain, f"{shard} {kinds[shard]}, segment bigint, entry bigint, done bigint")
-
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("position")
-        nxt = _next_starts(rows.chars.to_numpy(), max_items, max_chars)
-        started = np.zeros(len(rows), dtype=np.int64)
-        at = int(rows.entry.iloc[0])
-        while at < len(rows):
+    entries = keyed(steps, shard).groupBy(shard).applyInArrow(chain, f"{shard} {kinds[shard]}, segment bigint, entry bigint, done bigint")
+
+    def assign(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("position")
+        nxt = _next_starts(rows["chars"].to_numpy(), max_items, max_chars)
+        started = np.zeros(rows.num_rows, dtype=np.int64)
+        at = rows["entry"][0].as_py()
+        while at < rows.num_rows:
             started[at] = 1
             at = int(nxt[at])
-        chunk = int(rows.done.iloc[0]) - 1 + np.cumsum(started)
-        return pd.DataFrame({shard: rows[shard], ordinal: rows[ordinal], "chars": rows.chars, "chunk": chunk})
+        chunk = rows["done"][0].as_py() - 1 + np.cumsum(started)
+        return rows.select([shard, ordinal, "chars"]).append_column("chunk", pa.array(chunk, pa.int64()))
 
     return (
-        segmented.join(entries, [shard, "segment"])
+        keyed(segmented.join(entries, [shard, "segment"]), shard, "segment")
         .groupBy(shard, "segment")
-        .applyInPandas(assign, f"{shard} {kinds[shard]}, {ordinal} {kinds[ordinal]}, chars bigint, chunk bigint")
+        .applyInArrow(assign, f"{shard} {kinds[shard]}, {ordinal} {kinds[ordinal]}, chars bigint, chunk bigint")
     )
 
 

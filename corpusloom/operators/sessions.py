@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import cut
+from ..session import cut, join_back, keyed
 from .sequences import SEGMENT_ROWS, dense_positions
 
 # Snapshots and films a path may hold, and its length when stored.
@@ -67,7 +67,7 @@ def last_paths(events: DataFrame) -> DataFrame:
     """
     valid = events.where((F.col("kind") == "restore") | (F.size("film_ids") > 0))
     start = valid.where("kind = 'start'").groupBy("session_id").agg(F.max("seq").alias("start_seq"))
-    return valid.join(start, "session_id", "left").where(
+    return join_back(valid, start, ["session_id"], "left").where(
         F.col("start_seq").isNull() | (F.col("seq") >= F.col("start_seq"))
     ).drop("start_seq")
 
@@ -101,7 +101,7 @@ def reduce_sessions(events: DataFrame) -> DataFrame:
     path = cut(last_paths(events))
     seen = cut(first_seen(path))
     limits = limit_seq(seen)
-    kept = path.join(limits, "session_id", "left").where(F.col("limit_seq").isNull() | (F.col("seq") < F.col("limit_seq")))
+    kept = join_back(path, limits, ["session_id"], "left").where(F.col("limit_seq").isNull() | (F.col("seq") < F.col("limit_seq")))
     placed = dense_positions(
         kept.select("session_id", "seq", F.when(F.col("kind") == "restore", F.col("target")).otherwise(-1).cast("bigint").alias("restore")),
         "session_id",
@@ -110,10 +110,10 @@ def reduce_sessions(events: DataFrame) -> DataFrame:
     placed = cut(placed)
     length = max(SEGMENT_ROWS, math.isqrt(placed.count()))
 
-    def describe(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("position")
-        restore, seqs = rows.restore.to_numpy(), rows.seq.to_numpy()
-        if rows.segment.iloc[0] == 0:
+    def describe(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("position")
+        restore, seqs = rows["restore"].to_numpy(), rows["seq"].to_numpy()
+        if rows["segment"][0].as_py() == 0:
             stack, cursor, refused = _first_segment(restore)
             table = np.array([[len(stack), cursor, refused, *stack, *[0] * (MAX_SNAPSHOTS - len(stack))]])
             which = np.zeros(1, dtype=np.int64)
@@ -122,28 +122,35 @@ def reduce_sessions(events: DataFrame) -> DataFrame:
         # Event indexes become sequence numbers now; slots of the earlier stack stay negative.
         slots = table[:, 3:]
         table[:, 3:] = np.where(slots >= 0, seqs[np.maximum(slots, 0)], slots)
-        return pd.DataFrame(
-            {"session_id": [rows.session_id.iloc[0]], "segment": [rows.segment.iloc[0]], "which": [which.ravel()], "table": [table.ravel()]}
-        )
+        return rows.select(["session_id", "segment"]).slice(0, 1).append_column(
+            "which", pa.array([which.ravel()], pa.list_(pa.int64()))
+        ).append_column("table", pa.array([table.ravel()], pa.list_(pa.int64())))
 
     steps = (
-        placed.withColumn("segment", F.floor(F.col("position") / length))
+        keyed(placed.withColumn("segment", F.floor(F.col("position") / length)), "session_id", "segment")
         .groupBy("session_id", "segment")
-        .applyInPandas(describe, f"session_id {kind}, segment bigint, which array<bigint>, table array<bigint>")
+        .applyInArrow(describe, f"session_id {kind}, segment bigint, which array<bigint>, table array<bigint>")
     )
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+    def chain(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("segment")
         stack: list[int] = []
         cursor, refused = -1, 0
-        for which, flat in zip(*[frame.sort_values("segment")[c] for c in ("which", "table")]):
-            table = np.asarray(flat).reshape(-1, MAX_SNAPSHOTS + 3)
+        for which, flat in zip(rows["which"], rows["table"]):
+            table = flat.values.to_numpy().reshape(-1, MAX_SNAPSHOTS + 3)
             state = len(stack) * (len(stack) - 1) // 2 + cursor if stack else -1
-            row = table[which[state]]
+            row = table[which.values.to_numpy()[state]]
             size, cursor, refused = int(row[0]), int(row[1]), refused + int(row[2])
             stack = [int(s) if s >= 0 else stack[-1 - int(s)] for s in row[3 : 3 + size]]
-        return pd.DataFrame({"session_id": [frame.session_id.iloc[0]], "snapshots": [stack], "cursor": [cursor], "refused": [refused]})
+        return rows.select(["session_id"]).slice(0, 1).append_column(
+            "snapshots", pa.array([stack], pa.list_(pa.int64()))
+        ).append_column("cursor", pa.array([cursor], pa.int32())).append_column("refused", pa.array([refused], pa.int64()))
 
-    final = cut(steps.groupBy("session_id").applyInPandas(chain, f"session_id {kind}, snapshots array<bigint>, cursor int, refused bigint"))
+    final = cut(
+        keyed(steps, "session_id")
+        .groupBy("session_id")
+        .applyInArrow(chain, f"session_id {kind}, snapshots array<bigint>, cursor int, refused bigint")
+    )
     shown = kept.where("kind != 'restore'")
     films = seen.join(limits, "session_id", "left").where(F.col("limit_seq").isNull() | (F.col("seq") < F.col("limit_seq")))
     counts = films.groupBy("session_id").agg(F.count("*").alias("seen"))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.features import BUCKET_SEED, SIGN_SEED, features_of, fnv1a
+from ..functions.features import BUCKET_SEED, SIGN_SEED, features_of, fnv1a, tally
 from ..functions.text import nfkc
-from ..session import cut
+from ..session import cut, if_small, join_back, keyed
 
 # Dimensions, neighbour count and floor, exact limit, plane count, bands and seed.
 DIMENSIONS = 512
@@ -27,25 +26,24 @@ TILE_ROWS = 2_048
 def hashed_tfidf(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """rows(id, text) as (id, bucket, weight): signed sums of (1 + ln tf) * idf."""
     total = rows.agg(F.count("*")).scalar()
-    lowered = rows.select("id", F.lower(nfkc("text")).alias("lowered"))
-    counted = (
-        lowered.select("id", F.explode(features_of(F.col("lowered"))).alias("feature"))
-        .groupBy("id", "feature")
-        .agg(F.count("*").alias("tf"))
-    )
-    # Hashing runs once per distinct feature, not once per occurrence.
-    dictionary = (
+    # Placed by id once, while it is still text: counting, joining a small dictionary and summing per
+    # id then need no exchange of the far larger feature rows.
+    # Repeats are counted inside the row, so only distinct features become rows.
+    listed = keyed(rows, "id").select("id", features_of(F.lower(nfkc("text"))).alias("features"))
+    counted = listed.select("id", F.inline(tally("features")))
+    dictionary = cut(
         counted.groupBy("feature")
         .agg(F.count("*").alias("df"))
         .select(
             "feature",
             (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf"),
+            # Hashed once per distinct feature, not once per occurrence.
             (fnv1a("feature", F.lit(BUCKET_SEED)) % dimensions).cast("int").alias("bucket"),
             F.when(fnv1a("feature", F.lit(SIGN_SEED)) % 2 == 1, 1).otherwise(-1).alias("sign"),
         )
     )
     return (
-        counted.join(dictionary, "feature")
+        counted.join(if_small(dictionary), "feature")
         .groupBy("id", "bucket")
         .agg(F.sum(F.col("sign") * (1 + F.log("tf")) * F.col("idf")).alias("weight"))
     )
@@ -105,23 +103,27 @@ def signature(vector, dimensions: int) -> Column:
 
 
 def _tile_best(count: int, floor: float):
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, tile in frame.groupby("bucket", sort=False):
-            left, right = tile[tile.probe], tile[~tile.probe]
-            if left.empty or right.empty:
+    def best(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        buckets, probe = cell["bucket"].to_numpy(), cell["probe"].to_numpy(zero_copy_only=False)
+        ids, vectors = cell["id"], _matrix(cell["vector"].combine_chunks())
+        keys = ids.to_numpy(zero_copy_only=False)
+        src, dst, kept = [], [], []
+        order = np.argsort(buckets, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1):
+            left, right = rows[probe[rows]], rows[~probe[rows]]
+            if not len(left) or not len(right):
                 continue
-            scores = np.stack(left.vector.to_list()) @ np.stack(right.vector.to_list()).T
-            left_ids, right_ids = left.id.to_numpy(), right.id.to_numpy()
-            keep = np.isfinite(scores) & (scores >= floor) & (left_ids[:, None] != right_ids[None, :])
-            for row in np.flatnonzero(keep.any(axis=1)):
-                at = np.flatnonzero(keep[row])
-                at = at[np.lexsort((right_ids[at], -scores[row, at]))][:count]
-                out.append(pd.DataFrame({"src": left_ids[row], "dst": right_ids[at], "score": scores[row, at]}))
-        return pd.concat(out) if out else pd.DataFrame({"src": left_ids_like(frame), "dst": left_ids_like(frame), "score": np.empty(0)})
-
-    def left_ids_like(frame: pd.DataFrame):
-        return frame.id.iloc[:0].to_numpy()
+            scores = vectors[left] @ vectors[right].T
+            fits = np.isfinite(scores) & (scores >= floor) & (keys[left][:, None] != keys[right][None, :])
+            for row in np.flatnonzero(fits.any(axis=1)):
+                at = np.flatnonzero(fits[row])
+                at = at[np.lexsort((keys[right[at]], -scores[row, at]))][:count]
+                src.append(np.full(len(at), left[row]))
+                dst.append(right[at])
+                kept.append(scores[row, at])
+        flat = [np.concatenate(part) if part else np.empty(0, dtype=kind) for part, kind in ((src, np.int64), (dst, np.int64), (kept, np.float64))]
+        return pa.table({"src": ids.take(pa.array(flat[0])), "dst": ids.take(pa.array(flat[1])), "score": flat[2]})
 
     return best
 
@@ -153,7 +155,7 @@ def _bucket_best(probes: DataFrame, pool: DataFrame, count: int, floor: float) -
 
     both = tiles(probes, True).unionByName(tiles(pool, False))
     kind = dict(probes.dtypes)["id"]
-    found = both.groupBy("cell").applyInPandas(_tile_best(count, floor), f"src {kind}, dst {kind}, score double")
+    found = keyed(both, "cell").groupBy("cell").applyInArrow(_tile_best(count, floor), f"src {kind}, dst {kind}, score double")
     rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
     merged = found.groupBy("src", "dst").agg(F.max("score").alias("score"))
     return merged.withColumn("place", rank).where(F.col("place") <= count).drop("place")
@@ -212,7 +214,7 @@ def nearest_neighbours(vectors: DataFrame, count: int = NEIGHBOURS, floor: float
     owner = marked.select("id", "copy").join(heads.select("copy", F.col("rep").alias("src")), "copy").select("id", "src")
     kept = F.slice(F.filter("list", lambda n: n["dst"] != F.col("id")), 1, count)
     return (
-        owner.join(answers, "src")
+        join_back(owner, answers, ["src"])
         .select(F.col("id").alias("src"), F.posexplode(kept).alias("at", "n"))
         .select("src", F.col("n.dst").alias("dst"), F.round("n.score", 6).alias("score"), (F.col("at") + 1).alias("place"))
     )

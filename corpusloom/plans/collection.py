@@ -202,14 +202,14 @@ def slug_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "listing_expansion",
-    f"""WITH s AS (SELECT {_FAMILY} AS family_id, {_HOST} AS host, CAST(regexp_extract(url, '(\\d+)(\\.html|/)?([?#].*)?$', 1) AS INTEGER) AS stop FROM pages)
+    f"""WITH s AS (SELECT {_FAMILY} AS family_id, {_HOST} AS host, length({_HOST}) AS stop FROM pages)
     SELECT family_id, CAST(count(*) AS BIGINT) AS listings, sum(CAST(page AS BIGINT)) AS page_sum, min(url) AS first_url FROM (
       SELECT family_id, page, 'https://' || host || '/list?page=' || page AS url FROM (
         SELECT family_id, host, unnest(range(1, greatest(stop, 1) + 1)) AS page FROM s)) GROUP BY family_id""",
 )
 def listing_expansion(spark: SparkSession, folder: str) -> DataFrame:
-    """Listing pages of each page's host, as many as the number its URL ends with."""
-    stop = F.regexp_extract("url", r"(\d+)(\.html|/)?([?#].*)?$", 1).cast("int")
+    """Listing pages of each page's host, as many as its name is long."""
+    stop = F.length(host("url"))
     plan = pages(spark, folder).select(
         "family_id",
         F.array(F.concat(F.lit("https://"), host("url"), F.lit("/list?page={page}"))).alias("seeds"),

@@ -11,7 +11,7 @@ from ..operators.evaluation import (
     unblind, usage_totals, wilson,
 )
 from ..operators.ranking import excluded
-from ..session import load
+from ..session import join_back, load
 from .registry import query
 
 
@@ -189,7 +189,7 @@ def best_choice(spark: SparkSession, folder: str) -> DataFrame:
     lines = load(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_returnflag").where("l_returnflag != 'R'")
     uses = lines.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("uses"))
     order = F.struct("uses", (-F.col("l_discount")).alias("d"), "l_returnflag", "l_linenumber", "l_partkey")
-    best = lines.join(uses, ["l_orderkey", "l_partkey"]).groupBy("l_orderkey").agg(F.min(order).alias("b"))
+    best = join_back(lines, uses, ["l_orderkey", "l_partkey"]).groupBy("l_orderkey").agg(F.min(order).alias("b"))
     return best.select("l_orderkey", "b.l_linenumber", "b.l_partkey")
 
 

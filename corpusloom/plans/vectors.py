@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.features import BUCKET_SEED, FNV_PRIME, SIGN_SEED
 from ..operators.retrieval import DIRECT_SCORE, expand_neighbours, merge_hits
 from ..operators.vectors import BAND_BITS, BANDS, DIMENSIONS, hashed_tfidf, nearest_neighbours, pending_vectors, planes, valid_vector
-from ..session import cut, load, spread
+from ..session import cut, load
 from .registry import query
 
 # Random 64-dimensional vectors rarely reach the production floor of 0.48.
@@ -113,7 +113,7 @@ def _fnv_sql(seed: int) -> str:
     SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, round(sum(sign * (1 + ln(tf)) * idf), 4) AS weight FROM tf JOIN d USING (f) GROUP BY ALL""",
 )
 def hashed_features(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(load(spark, folder, "documents", "doc_id", "text")).withColumnRenamed("doc_id", "id")
+    docs = load(spark, folder, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
     return hashed_tfidf(docs).select(
         F.col("id").alias("doc_id"), F.col("bucket").cast("bigint").alias("bucket"), (F.round("weight", 4) + 0.0).alias("weight")
     )

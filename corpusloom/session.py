@@ -76,3 +76,22 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions for grouped Python work, as many as the session's shuffle partitions.
+
+    Adaptive execution sizes tasks by bytes and would put a small but slow stage into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def join_back(rows: DataFrame, reduced: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows to an aggregate of their own keys, so that a hot key can be split.
+
+    An aggregate leaves its result partitioned by its keys and a join on those keys would reuse that,
+    but adaptive execution splits skewed partitions only between two fresh exchanges. The extra key,
+    a hash of the others, matches whenever they do and makes both sides exchange anew.
+    """
+    tag = F.xxhash64(*keys)
+    return rows.withColumn("_tag", tag).join(reduced.withColumn("_tag", tag), [*keys, "_tag"], how).drop("_tag")

@@ -221,3 +221,25 @@ def test_weights_and_sources(spark, one):
     assert {r.weight for r in R.context_weights(context).collect()} == {0.25}
     got = one(R.topped_up(F.array(F.lit("s1")), F.array(*[F.lit(f"s{i}") for i in range(1, 6)])), "a string")
     assert got == ["s1", "s2", "s3"]
+
+
+def test_hot_keys_of_joins_with_aggregates_are_split(spark):
+    from corpusloom.operators.collection import first_content
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("ordinal"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text_hash"))
+        out = first_content(rows)
+        assert out.where("status = 'duplicate_content'").count() == 19_999
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
