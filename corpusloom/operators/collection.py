@@ -135,7 +135,7 @@ def discover(links: DataFrame, plan: DataFrame, families: DataFrame, published:
     rules = families.join(plan, "family_id").select("position", "family_id", "hosts", "include", "quota")
     known = published.select(canonical_url("url").alias("url")).where("url IS NOT NULL").distinct()
     listed = (
-        links.join(F.broadcast(rules), "family_id")
+        links.join(if_small(rules), "family_id")
         .withColumn("url", canonical_url("url"))
         .where(host_in(host("url"), "hosts") & path_in(path("url"), "include"))
         .select("position", "family_id", "quota", "url")

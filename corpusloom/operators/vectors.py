@@ -9,7 +9,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions.features import BUCKET_SEED, SIGN_SEED, features_of, fnv1a, tally
 from ..functions.text import nfkc
-from ..session import cut, if_small, join_back, keyed
+from ..session import cut, if_small, join_back, keyed, spread
 
 # Dimensions, neighbour count and floor, exact limit, plane count, bands and seed.
 DIMENSIONS = 512
@@ -26,10 +26,9 @@ TILE_ROWS = 2_048
 def hashed_tfidf(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """rows(id, text) as (id, bucket, weight): signed sums of (1 + ln tf) * idf."""
     total = rows.agg(F.count("*")).scalar()
-    # Placed by id once, while it is still text: counting, joining a small dictionary and summing per
-    # id then need no exchange of the far larger feature rows.
-    # Repeats are counted inside the row, so only distinct features become rows.
-    listed = keyed(rows, "id").select("id", features_of(F.lower(nfkc("text"))).alias("features"))
+    # Repeats are counted inside the row, so only distinct features become rows; with a small
+    # dictionary they meet it where they are, and at most `dimensions` partial sums per id move.
+    listed = spread(rows).select("id", features_of(F.lower(nfkc("text"))).alias("features"))
     counted = listed.select("id", F.inline(tally("features")))
     dictionary = cut(
         counted.groupBy("feature")
@@ -186,7 +185,8 @@ def nearest_neighbours(vectors: DataFrame, count: int = NEIGHBOURS, floor: float
     heads = cut(heads)
     reps = heads.select(F.col("rep").alias("id"), "vector")
     if exact:
-        pool = reps.select(F.lit(0).alias("bucket"), "id", "vector")
+        # One bucket for everything, from a column rather than a literal, which would fold the join away.
+        pool = reps.select(F.pmod(F.xxhash64("id"), F.lit(1)).cast("int").alias("bucket"), "id", "vector")
         near = _bucket_best(pool, pool, count, floor)
     else:
         signed = reps.select("id", "vector", F.posexplode(signature("vector", dimensions[0].d)).alias("band", "bits"))

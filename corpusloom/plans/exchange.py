@@ -9,6 +9,7 @@ from ..operators.admission import audit_candidates
 from ..operators.contract import apply_repairs, connections, decode_wire, output_violations, resolution_failures, slot_verdicts
 from ..operators.entities import canonicalize, match_by_authority
 from ..operators.projections import entity_films, provider_films
+from ..operators.sequences import reassemble_rows
 from ..session import cut, load, scratch_path, spread
 from ..sources.model_io import batch_lines, read_model_results
 from .registry import query
@@ -312,3 +313,30 @@ def failures(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "request_id", "accepted", F.size("invalid_slots").cast("bigint").alias("invalid"), F.coalesce(F.size("missing_anchors"), F.lit(0)).cast("bigint").alias("missing")
     )
+
+
+DELTA_CHARS = 40
+
+
+@query(
+    "reassemble_proposals",
+    f"""WITH {_SLOTS} SELECT o AS request_id, CASE WHEN o_orderstatus = 'P' THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status, count(*) AS proposals,
+      sha256(string_agg('part ' || part, ',' ORDER BY slot)) AS titles_sha FROM s JOIN orders ON o_orderkey = o GROUP BY o, o_orderstatus""",
+)
+def reassemble_proposals(spark: SparkSession, folder: str) -> DataFrame:
+    """Wire outputs cut into deltas of forty characters and put together again; pending orders never complete."""
+    text = F.to_json(F.struct(F.lit("lens").alias("v"), "r"))
+    orders = load(spark, folder, "orders", "o_orderkey", "o_orderstatus").withColumnRenamed("o_orderkey", "request_id")
+    outputs = wire(spark, folder).select("request_id", text.alias("text"))
+    at = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / DELTA_CHARS))
+    pieces = outputs.select("request_id", "text", F.explode(at).alias("seq"))
+    deltas = pieces.select(
+        "request_id", F.col("seq").cast("bigint").alias("seq"),
+        F.substring("text", F.col("seq").cast("int") * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("delta"), F.lit("delta").alias("event"),
+    )
+    ends = orders.where("o_orderstatus != 'P'").join(outputs.select("request_id"), "request_id", "left_semi").select(
+        "request_id", F.lit(1 << 40).alias("seq"), F.lit(None).cast("string").alias("delta"), F.lit("completed").alias("event")
+    )
+    out = reassemble_rows(deltas.unionByName(ends))
+    titles = F.array_join(F.transform("rows", lambda r: r["t"]), ",")
+    return out.select("request_id", "status", F.size("rows").cast("bigint").alias("proposals"), F.sha2(titles, 256).alias("titles_sha"))

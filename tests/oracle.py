@@ -48,6 +48,10 @@ def compare(spark, con, folder, fn, text):
     began = time.time()
     got = fn(spark, folder)
     left = rows_of(got.columns, [tuple(r) for r in got.collect()])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for banned in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        if banned in plan:
+            return False, f"plan holds a {banned}"
     SPARK_SECONDS.append(time.time() - began)
     if text is None:
         return True, f"{len(left[1])} rows (no SQL)"

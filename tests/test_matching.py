@@ -243,3 +243,9 @@ def test_hot_keys_of_joins_with_aggregates_are_split(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_coverage_counts_films_without_passages(spark):
+    selected = spark.createDataFrame([("r", "a"), ("r", "b")], "request_id string, film_id string")
+    passages = spark.createDataFrame([("r", ["a", "a"]), ("r", ["a", "c"])], "request_id string, film_ids array<string>")
+    assert {r.film_id: r.n for r in G.context_coverage(selected, passages).collect()} == {"a": 2, "b": 0}
