@@ -17,12 +17,14 @@ SIGN_SEED = 3339675911
 
 def _fnv(values: list[str | None], seed: int) -> np.ndarray:
     """FNV-1a over UTF-16 code units, one vectorised step per code unit position."""
-    encoded = [np.frombuffer((v or "").encode("utf-16-le"), dtype="<u2") for v in values]
-    sizes = np.array([len(e) for e in encoded], dtype=np.int64)
+    joined = "".join(v or "" for v in values)
+    if joined.isascii() or max(joined) <= "\uffff":
+        sizes = np.fromiter((len(v or "") for v in values), dtype=np.int64, count=len(values))
+    else:
+        sizes = np.array([len((v or "").encode("utf-16-le")) // 2 for v in values], dtype=np.int64)
     out = np.full(len(values), seed, dtype=np.uint64)
     grid = np.zeros((len(values), int(sizes.max(initial=0))), dtype=np.uint64)
-    for row, units in enumerate(encoded):
-        grid[row, : len(units)] = units
+    grid[np.arange(grid.shape[1]) < sizes[:, None]] = np.frombuffer(joined.encode("utf-16-le"), dtype="<u2")
     mask = np.uint64(0xFFFFFFFF)
     for at in range(grid.shape[1]):
         live = sizes > at
