@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import normalize_quote
-from ..session import cut, if_small
+from ..session import cut, join_back, lookup
 
 WORDS_PER_KEY = 5
 CHARS_PER_KEY = 8
@@ -33,15 +33,14 @@ def _char_grams(text: Column, size: int) -> Column:
 
 def _candidates(keyed: DataFrame, hay_grams: DataFrame) -> DataFrame:
     """(needle_id, hay_id) for keyed(needle_id, gram) and hay_grams(hay_id, gram)."""
-    wanted = if_small(keyed.select("gram").distinct())
-    held = cut(hay_grams.join(wanted, "gram", "left_semi"))
+    held = cut(lookup(hay_grams, keyed.select("gram").distinct(), ["gram"], "left_semi"))
     counts = held.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
-        keyed.join(counts, "gram", "left")
+        join_back(keyed, counts, ["gram"], "left")
         .groupBy("needle_id")
         .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     )
-    return held.join(if_small(cut(rarest)), "gram").select("needle_id", "hay_id")
+    return lookup(held, cut(rarest), ["gram"]).select("needle_id", "hay_id")
 
 
 def _sizes(needles: DataFrame, size: str) -> list[int]:
@@ -107,8 +106,7 @@ def containment(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """(needle_id, hay_id) where the text `hay` contains `needle`; character keys."""
     found = candidates_by_chars(needles, hay)
     return (
-        hay.join(if_small(found), "hay_id")
-        .join(if_small(needles), "needle_id")
+        lookup(lookup(hay, found, ["hay_id"]), needles, ["needle_id"])
         .where(F.contains("hay", "needle"))
         .select("needle_id", "hay_id")
     )
@@ -167,7 +165,7 @@ def locate_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     found = candidates_by_words(needles.where("needle != ''"), hay).withColumnsRenamed(
         {"needle_id": "quote_id", "hay_id": "doc_id"}
     )
-    pairs = texts.join(if_small(found), "doc_id").join(if_small(quotes), "quote_id")
+    pairs = lookup(lookup(texts, found, ["doc_id"]), quotes, ["quote_id"])
     located = pairs.withColumn(
         "found",
         quote_status(F.col("text"), F.col("quote"), normalize_quote("text"), normalize_quote("quote")),

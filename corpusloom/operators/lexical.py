@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import cut, if_small
+from ..session import cut, join_back, lookup
 
 RAREST_TERMS = 80
 LEXICAL_HITS = 8
@@ -27,7 +27,7 @@ def rarest_terms(terms: DataFrame, frequency: DataFrame, keep: int = RAREST_TERM
     """The `keep` corpus terms of lowest document frequency per request, ties by term."""
     rank = F.row_number().over(W.partitionBy("request_id").orderBy("df", "term"))
     return (
-        terms.join(frequency, "term")
+        join_back(terms, frequency, ["term"])
         .withColumn("term_rank", rank)
         .where(F.col("term_rank") <= keep)
     )
@@ -41,13 +41,12 @@ def lexical_scores(requests: DataFrame, passages: DataFrame, min_terms: int = 2)
     """
     total = passages.select(F.count("*")).scalar()
     asked = requests.select("request_id", F.explode("terms").alias("term")).distinct()
-    wanted = if_small(asked.select("term").distinct())
-    matched = cut(postings(passages).join(wanted, "term", "left_semi"))
+    matched = cut(lookup(postings(passages), asked.select("term").distinct(), ["term"], "left_semi"))
     chosen = rarest_terms(asked, document_frequency(matched)).select(
         "request_id", "term", retrieval_idf(F.col("df"), total).alias("idf")
     )
     return (
-        matched.join(if_small(cut(chosen)), "term")
+        lookup(matched, cut(chosen), ["term"])
         .groupBy("request_id", "passage_id")
         .agg(F.sum("idf").alias("raw"), F.count("*").alias("matched"))
         .where(F.col("matched") >= min_terms)

@@ -41,8 +41,11 @@ def hashed_tfidf(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
             F.when(fnv1a("feature", F.lit(SIGN_SEED)) % 2 == 1, 1).otherwise(-1).alias("sign"),
         )
     )
+    # Beyond the broadcast bound a hash join spares sorting the features; its keys are distinct.
+    known = if_small(dictionary)
+    known = dictionary.hint("shuffle_hash") if known is dictionary else known
     return (
-        counted.join(if_small(dictionary), "feature")
+        counted.join(known, "feature")
         .groupBy("id", "bucket")
         .agg(F.sum(F.col("sign") * (1 + F.log("tf")) * F.col("idf")).alias("weight"))
     )

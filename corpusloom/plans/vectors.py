@@ -58,13 +58,13 @@ def lsh_knn(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {_KNN}, h AS (
       SELECT label, vec_id, 20.0 AS score, TRUE AS direct FROM v
       UNION ALL SELECT label, dst, 6 * score, FALSE FROM v JOIN k ON vec_id = src)
-    SELECT label, vec_id, round(max(score), 6) AS score, bool_or(direct) AS direct, count(*) AS hits FROM h GROUP BY label, vec_id""",
+    SELECT label, vec_id, round(max(score), 6) AS score, bool_or(direct) AS direct FROM h GROUP BY label, vec_id""",
 )
 def neighbor_expansion(spark: SparkSession, folder: str) -> DataFrame:
-    """Each label's vectors as direct hits of a request, with their graph neighbours around them."""
+    """Each label as a film whose vectors are its direct hits, with their graph neighbours around them."""
     edges = cut(nearest_neighbours(vectors(spark, folder), floor=LOW_FLOOR))
     direct = load(spark, folder, "embeddings", "label", "vec_id").select(
-        F.col("label").alias("request_id"), F.col("vec_id").alias("passage_id"), F.col("vec_id").alias("anchor")
+        F.col("label").alias("request_id"), F.col("vec_id").alias("passage_id"), F.col("label").alias("anchor")
     )
     hits = direct.withColumns({"score": F.lit(DIRECT_SCORE), "direct": F.lit(True)}).unionByName(
         expand_neighbours(direct, edges, LOW_FLOOR)
@@ -74,7 +74,6 @@ def neighbor_expansion(spark: SparkSession, folder: str) -> DataFrame:
         F.col("passage_id").alias("vec_id"),
         F.round("score", 6).alias("score"),
         "direct",
-        F.size("anchors").cast("bigint").alias("hits"),
     )
 
 

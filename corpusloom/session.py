@@ -95,3 +95,9 @@ def join_back(rows: DataFrame, reduced: DataFrame, keys: list[str], how: str = "
     """
     tag = F.xxhash64(*keys)
     return rows.withColumn("_tag", tag).join(reduced.withColumn("_tag", tag), [*keys, "_tag"], how).drop("_tag")
+
+
+def lookup(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a side that is usually small: broadcast when it is counted small, splittable otherwise."""
+    small = if_small(side)
+    return join_back(rows, side, keys, how) if small is side else rows.join(small, keys, how)

@@ -15,7 +15,7 @@ from corpusloom.streaming import flows, runner
 
 
 def film(key="f1", **changes):
-    return dict(dict(key=key, title="The Amber Window", year=1980, director="Anne Aster", aliases=[], externalIds=[]), **changes)
+    return dict(dict(key=key, title="The Paper Lantern", year=1980, director="Mara Linden", aliases=[], externalIds=[]), **changes)
 
 
 def observation(id="o1", **changes):
