@@ -118,8 +118,8 @@ def quality_gate(summary: DataFrame) -> DataFrame:
     return summary.withColumn("status", F.when(~complete, "incomplete").when(good, "pass").otherwise("fail"))
 
 
-def nearest_rank(values: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles per group: the value at position ceil(n * p).
+def nearest_rank(values: DataFrame, group: str, value: str, shares: dict[str, float | None]) -> DataFrame:
+    """Nearest-rank percentiles per group: the value at position ceil(n * p), or n // 2 + 1 for None.
 
     Equal values are counted first and the counts accumulate in value order, so a crowded group costs
     its distinct values; latencies in whole milliseconds below the run limit are at most 65,000.
@@ -129,9 +129,13 @@ def nearest_rank(values: DataFrame, group: str, value: str, shares: dict[str, fl
     reached = counted.withColumn("upto", F.sum("n").over(running))
     totals = counted.groupBy(group).agg(F.sum("n").alias("total"))
     joined = reached.join(totals, group)
+
+    def position(share: float | None) -> Column:
+        return F.floor(F.col("total") / 2) + 1 if share is None else F.ceil(F.col("total") * share)
+
     return joined.groupBy(group).agg(
         *[
-            F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * share), F.col(value))).alias(name)
+            F.min(F.when(F.col("upto") >= position(share), F.col(value))).alias(name)
             for name, share in shares.items()
         ]
     )

@@ -312,6 +312,8 @@ def test_nearest_rank_counts_failures(spark):
     runs = [("m", True, v) for v in [10, 20, 30, 40]] + [("m", False, 1), ("empty", False, 5)]
     got = {r.g: r for r in Q.run_summary(spark.createDataFrame(runs, "g string, ok boolean, elapsed_ms int"), "g").collect()}
     assert (got["m"].p50_ms, got["m"].p95_ms, got["m"].success_rate) == (20, 40, 0.8) and got["empty"].p50_ms is None
+    middle = Q.nearest_rank(spark.createDataFrame(runs, "g string, ok boolean, ms int").where("ok"), "g", "ms", {"mid": None})
+    assert middle.first().mid == 30
 
 
 def test_cost_uses_first_matching_rate(spark):

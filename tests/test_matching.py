@@ -249,3 +249,76 @@ def test_coverage_counts_films_without_passages(spark):
     selected = spark.createDataFrame([("r", "a"), ("r", "b")], "request_id string, film_id string")
     passages = spark.createDataFrame([("r", ["a", "a"]), ("r", ["a", "c"])], "request_id string, film_ids array<string>")
     assert {r.film_id: r.n for r in G.context_coverage(selected, passages).collect()} == {"a": 2, "b": 0}
+
+
+def choose_plainly(hits, sizes):
+    """The selection over all hits of one request, written without any pruning."""
+    merged = {}
+    for passage, score, anchor, direct in hits:
+        row = merged.setdefault(passage, [0.0, set(), set()])
+        row[0] = max(row[0], score)
+        row[1].add(anchor)
+        if direct:
+            row[2].add(anchor)
+    value = {p: round(r[0] + math.log1p(len(r[1])), 9) for p, r in merged.items()}
+    ranked = sorted(merged, key=lambda p: (-value[p], p))
+    doc = {p: p.split(":")[0] for p in ranked}
+    chosen, used = [], 0
+
+    def take(p):
+        nonlocal used
+        same = sum(doc[c] == doc[p] for c in chosen)
+        if p not in chosen and len(chosen) < 16 and same < 2 and used + sizes[p] <= 15_000:
+            chosen.append(p)
+            used += sizes[p]
+
+    for anchor in sorted({h[2] for h in hits}):
+        best = next((p for p in ranked if anchor in merged[p][2]), None)
+        if best:
+            take(best)
+    left = ranked[:384]
+    while left and len(chosen) < 16:
+        def marginal(p):
+            near = sum(bool(merged[p][1] & merged[c][1]) for c in chosen)
+            return value[p] / (1 + near * 0.45 + sum(doc[c] == doc[p] for c in chosen) * 2)
+
+        best = min(left, key=lambda p: (-marginal(p), p))
+        left.remove(best)
+        take(best)
+    return chosen
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_context_equals_the_plain_selection(spark, seed):
+    rng = random.Random(seed)
+    passages = [f"d{d:03}:{o}" for d in range(220) for o in range(3)]
+    hits = [(p, round(rng.uniform(0.5, 5), 3), f"f{rng.randrange(5)}", False) for p in passages for _ in range(rng.randrange(1, 3))]
+    # Direct hits of one anchor rank below the best 384 and are only reachable through their guarantee.
+    hits += [(p, 0.01, "f9", True) for p in rng.sample(passages, 2)] + [(p, 20.0, "f1", True) for p in rng.sample(passages, 3)]
+    sizes = {p: rng.choice([300, 900, 2_500, 16_000]) for p in passages}
+    frame = spark.createDataFrame([("r", *h) for h in hits], "request_id string, passage_id string, score double, anchor string, direct boolean")
+    cards = spark.createDataFrame([(p, p.split(":")[0], n) for p, n in sizes.items()], "passage_id string, doc_id string, size int")
+    got = G.select_context(G.context_pool(G.merge_hits(frame)).join(cards, "passage_id")).orderBy("position").collect()
+    assert [r.passage_id for r in got] == choose_plainly(hits, sizes)
+
+
+def test_rerank_equals_the_plain_greedy(spark):
+    rng = random.Random(4)
+    rows = [
+        (1, f"c{i:02}", float(rng.randrange(2)), rng.choice("XYZ"), rng.choice(["FR", "JP"]), 1950 + rng.randrange(40), rng.sample("ghij", 2), rng.random() < 0.3)
+        for i in range(12)
+    ]
+    left, chosen = list(rows), []
+    while left:
+        def value(r):
+            def like(s):
+                return 0.45 * (r[3] == s[3]) + 0.2 * (r[4] == s[4]) + 0.15 * (r[5] // 10 == s[5] // 10) + 0.2 * bool(set(r[6]) & set(s[6]))
+
+            return round(r[2] * (1 - 0.22 * max(map(like, chosen), default=0)) - 0.025 * r[7], 12)
+
+        best = min(left, key=lambda r: (-value(r), r[1]))
+        left.remove(best)
+        chosen.append(best)
+    schema = "request_id int, candidate string, relevance double, director string, country string, year int, genres array<string>, seen boolean"
+    got = R.diversity_rerank(spark.createDataFrame(rows, schema)).orderBy("position").collect()
+    assert [r.candidate for r in got] == [r[1] for r in chosen]
