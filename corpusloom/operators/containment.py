@@ -31,6 +31,11 @@ def _char_grams(text: Column, size: int) -> Column:
     return F.transform(F.array_distinct(found), lambda g: F.xxhash64(F.lit(-size), g))
 
 
+def _unnest(hay: DataFrame, grams: Column) -> DataFrame:
+    # The outer form spares the inferred size filter, which would compute all grams twice.
+    return hay.select("hay_id", F.explode_outer(grams).alias("gram")).where("gram IS NOT NULL")
+
+
 def _candidates(keyed: DataFrame, hay_grams: DataFrame) -> DataFrame:
     """(needle_id, hay_id) for keyed(needle_id, gram) and hay_grams(hay_id, gram)."""
     held = cut(lookup(hay_grams, keyed.select("gram").distinct(), ["gram"], "left_semi"))
@@ -68,9 +73,7 @@ def candidates_by_words(needles: DataFrame, hay: DataFrame) -> DataFrame:
         parts.append(
             _candidates(
                 long.select("needle_id", F.explode(own).alias("gram")),
-                hay.select("hay_id", F.split("hay", " ").alias("pieces")).select(
-                    "hay_id", F.explode(all_grams).alias("gram")
-                ),
+                _unnest(hay.select("hay_id", F.split("hay", " ").alias("pieces")), all_grams),
             )
         )
     if short.limit(1).count():
@@ -94,7 +97,7 @@ def candidates_by_chars(needles: DataFrame, hay: DataFrame) -> DataFrame:
     all_grams = F.concat(*[_char_grams(F.col("hay"), s) for s in sizes])
     return _candidates(
         keyed.select("needle_id", F.explode(own).alias("gram")),
-        hay.select("hay_id", F.explode(all_grams).alias("gram")),
+        _unnest(hay, all_grams),
     )
 
 

@@ -12,7 +12,9 @@ LEXICAL_HITS = 8
 
 def postings(passages: DataFrame) -> DataFrame:
     """(passage_id, term) from passages(passage_id, terms) with distinct terms."""
-    return passages.select("passage_id", F.explode("terms").alias("term"))
+    # A plain explode makes the optimizer add a size filter that computes the terms a second time, below
+    # any repartitioning; the outer form does not.
+    return passages.select("passage_id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
 
 
 def retrieval_idf(df, total):
@@ -40,7 +42,7 @@ def lexical_scores(requests: DataFrame, passages: DataFrame, min_terms: int = 2)
     partial sums move. Beyond the bound the join shuffles on the term and AQE splits hot terms.
     """
     total = passages.select(F.count("*")).scalar()
-    asked = requests.select("request_id", F.explode("terms").alias("term")).distinct()
+    asked = requests.select("request_id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL").distinct()
     matched = cut(lookup(postings(passages), asked.select("term").distinct(), ["term"], "left_semi"))
     chosen = rarest_terms(asked, document_frequency(matched)).select(
         "request_id", "term", retrieval_idf(F.col("df"), total).alias("idf")

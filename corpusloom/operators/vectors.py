@@ -29,7 +29,8 @@ def hashed_tfidf(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     # Repeats are counted inside the row, so only distinct features become rows; with a small
     # dictionary they meet it where they are, and at most `dimensions` partial sums per id move.
     listed = spread(rows).select("id", features_of(F.lower(nfkc("text"))).alias("features"))
-    counted = listed.select("id", F.inline(tally("features")))
+    # The outer form spares an inferred size filter that would extract all features twice.
+    counted = listed.select("id", F.inline_outer(tally("features"))).where("feature IS NOT NULL")
     dictionary = cut(
         counted.groupBy("feature")
         .agg(F.count("*").alias("df"))

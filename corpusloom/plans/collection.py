@@ -126,7 +126,7 @@ _LINK_SQL = f"""
 )
 def link_discovery(spark: SparkSession, folder: str) -> DataFrame:
     table = spread(load(spark, folder, "pages", "url", "html"))
-    links = table.select(family_of("url").alias("family_id"), F.explode(extract_links("html", "url")).alias("url"))
+    links = table.select(family_of("url").alias("family_id"), F.explode_outer(extract_links("html", "url")).alias("url"))
     plan = spark.createDataFrame(DISCOVERY, "position int, family_id string, include array<string>, quota int")
     return discover(links, plan, families(spark), load(spark, folder, "pages", "url"), TARGET_DOCUMENTS)
 

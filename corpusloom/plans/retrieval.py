@@ -26,7 +26,7 @@ def context_selection(spark: SparkSession, folder: str) -> DataFrame:
     other lexical hits are related context.
     """
     docs = spread(load(spark, folder, "documents", "doc_id", "text"))
-    pieces = docs.select("doc_id", F.inline(chunks("text", CHUNK_LIMIT, CHUNK_OVERLAP)))
+    pieces = docs.select("doc_id", F.inline_outer(chunks("text", CHUNK_LIMIT, CHUNK_OVERLAP))).where("idx IS NOT NULL")
     passages = cut(
         pieces.select(
             F.concat_ws("#", F.col("doc_id").cast("string"), F.col("idx").cast("string")).alias("passage_id"),

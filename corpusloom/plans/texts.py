@@ -124,7 +124,7 @@ CHUNK_LIMIT, CHUNK_OVERLAP = 2_000, 200
 )
 def text_chunks(spark: SparkSession, folder: str) -> DataFrame:
     docs = spread(load(spark, folder, "documents", "doc_id", "text"))
-    pieces = docs.select("doc_id", F.inline(chunks("text", CHUNK_LIMIT, CHUNK_OVERLAP)))
+    pieces = docs.select("doc_id", F.inline_outer(chunks("text", CHUNK_LIMIT, CHUNK_OVERLAP))).where("idx IS NOT NULL")
     return pieces.select(
         "doc_id",
         F.col("idx").cast("bigint").alias("chunk"),
