@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # Rows a side may have before it is no longer offered for broadcast.
 BROADCAST_ROWS = 1_000_000
 
+_SHIPPED: dict[str, str] = {}
+
 
 def build_session(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -28,13 +31,30 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the session's Python workers, once per application, wherever they run."""
+    context = spark.sparkContext
+    if _SHIPPED.get("app") != context.applicationId:
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="corpusloom-package-")
+        copy = os.path.join(folder, "package", os.path.basename(package))
+        shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+        archive = os.path.join(folder, os.path.basename(package))
+        # Spark's file server hands the archive on; no executor reads this folder.
+        context.addPyFile(shutil.make_archive(archive, "zip", os.path.join(folder, "package")))
+        _SHIPPED["app"] = context.applicationId
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or (tests only) a fresh local one."""
+    """The folder every executor can reach: `spark.checkpoint.dir`, or on a local master a fresh local one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = spark.conf.get("corpusloom.test.dir", None)
         if not configured:
             configured = tempfile.mkdtemp(prefix="corpusloom-")
@@ -66,7 +86,7 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def load(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{table}.parquet")
+    df = ship(spark).read.parquet(f"{folder}/{table}.parquet")
     return df.select(*columns) if columns else df
 
 
