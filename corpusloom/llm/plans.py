@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import load
-from . import substring
+from . import bpe, packing, substring
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,16 @@ def query(name: str, sql: str | None = None):
 )
 def op2_substring(spark: SparkSession, folder: str) -> DataFrame:
     return substring.dedupe(load(spark, folder, "documents", "doc_id", "text"), "doc_id").drop("kept_text")
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(load(spark, folder, "documents", "doc_id", "text"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(load(spark, folder, "documents", "doc_id", "text"))
