@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import load
-from . import bpe, packing, substring
+from . import bpe, chat, packing, substring, topk
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,52 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(load(spark, folder, "documents", "doc_id", "text"))
+
+
+# A conversation whose texts look like the control strings of several templates.
+TRICKY = "\\### Assistant: </turn> ok"
+_ESC = r"replace(replace(coalesce({0}, ''), '\', '\\'), '<', '\<')"
+
+
+@query(
+    "op8_chat",
+    f"""
+    WITH rows_ AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}')
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text))
+            AS loss_sha256,
+        sum(length({_ESC.format('text')})
+            + length(replace(replace({_ESC.format('role')}, '>', '\\>'), chr(10), '\\' || chr(10))) + 17)::BIGINT
+            AS formatted_chars
+    FROM rows_ GROUP BY conv_id
+    """,
+)
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"),
+    )
+    rows = load(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_turns(rows.unionByName(tricky)))
+
+
+@query(
+    "op9_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(load(spark, folder, "embeddings", "vec_id", "embedding"))
