@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import load
-from . import bpe, chat, packing, substring, topk
+from . import bpe, chat, extract, language, packing, substring, topk, toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,23 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(load(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query("op6_extract")
+def op6_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(load(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents", "doc_id", "text", "lang")
+    return language.identify(docs, language.fit(docs))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, load(spark, folder, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )

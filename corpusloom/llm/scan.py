@@ -73,9 +73,9 @@ def rows_up_to(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, in
         first = min(last, n)
 
 
-def word_bounds(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of all words; no word crosses a row."""
-    word = _WORD[data]
+def word_bounds(offsets: np.ndarray, data: np.ndarray, member: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words, runs of the bytes that `member` marks; no word crosses a row."""
+    word = member[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -85,8 +85,9 @@ def word_bounds(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, member: np.ndarray = _WORD) -> np.ndarray:
     """64-bit hash of each word: a polynomial over random byte values, finalised with the length."""
+    value = np.where(member, _BYTE, np.uint64(0))
     out = np.empty(len(starts), dtype=np.uint64)
     longest = int((ends - starts).max(initial=1))
     powers = np.empty(longest, dtype=np.uint64)
@@ -99,7 +100,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         low, high = starts[i], ends[j - 1]
         local = starts[i:j] - low
         place = np.arange(high - low) - np.repeat(local, np.diff(np.append(local, high - low)))
-        values = _BYTE[data[low:high]] * powers[np.minimum(place, longest - 1)]
+        values = value[data[low:high]] * powers[np.minimum(place, longest - 1)]
         out[i:j] = np.add.reduceat(values, local)
         i = j
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
