@@ -3,7 +3,9 @@
 Method: a count-min prefilter. Every window has an anchor, the least hash of the runs of `ANCHOR` words inside
 it, so equal windows have equal anchors at equal places. Each task sketches the anchors it holds; the merged
 sketch never underestimates how often an anchor, and so a window, occurs. A second pass hashes only windows
-whose anchor is estimated to occur at least twice and groups these exactly (by 128 bits), so none is lost.
+whose anchor is estimated to occur at least twice and groups these exactly (by 96 bits), so none is lost. Windows
+found twice within a batch are settled there and pass on one witness, so a passage in every document adds one row a
+batch to its group.
 
 The sketch has `cells_for` cells, growing with the text up to `MOST_CELLS`. As bits ("twice or more") it is the
 only thing broadcast: at most 2 * MOST_CELLS / 8 bytes. Beyond that bound it filters less; results stay the same.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import join_back, scratch_path
 from . import scan
@@ -31,6 +33,8 @@ ANCHOR = 11
 # Bits of the sketch's cells: per row of cells, at least and at most, and cells merged in one array.
 LEAST_CELLS, MOST_CELLS, BLOCK = 1 << 20, 1 << 28, 1 << 20
 DEPTH = 2
+# Windows that a task settles together.
+MOST_HELD = 1 << 22
 # Bytes of removals that may be broadcast to the texts.
 BROADCAST_BYTES = 32 << 20
 
@@ -150,8 +154,57 @@ def _repeated(anchors: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray:
     return at
 
 
+def _settle(h1, h2, text, start, names: list[bytes], weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows of a batch, each hash once: those found twice here are settled here and only give witness of it.
+
+    A row with `starts` lists all settled places of a text; other rows carry one place, or none for a witness.
+    """
+    order = np.lexsort((h2, h1))
+    h1, h2, text, start = h1[order], h2[order], text[order], start[order]
+    first = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+    group = np.cumsum(first) - 1
+    seen = np.bincount(group, weights=weight[text])
+    twice = seen[group] > 1
+    single, witness = ~twice, twice & first
+    keys = np.array(names, dtype=object)
+    n, m = int(single.sum()), int(witness.sum())
+    schema = pa.schema(
+        [("h1", pa.int64()), ("h2", pa.int32()), ("weight", pa.int32()), ("text_key", pa.binary()),
+         ("start", pa.int32()), ("starts", pa.list_(pa.int32()))]
+    )
+    # In the texts' order again, so that neighbouring rows are alike and compress well.
+    again = np.lexsort((start[single], text[single]))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(h1[single][again].view(np.int64)), pa.array(h2[single][again]), pa.array(np.ones(n, np.int32)),
+            pa.array(keys[text[single][again]], pa.binary()), pa.array(start[single][again]),
+            pa.nulls(n, pa.list_(pa.int32())),
+        ],
+        schema=schema,
+    )
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(h1[witness].view(np.int64)), pa.array(h2[witness]), pa.array(np.full(m, 2, np.int32)),
+            pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32())),
+        ],
+        schema=schema,
+    )
+    order = np.lexsort((start[twice], text[twice]))
+    text, start = text[twice][order], start[twice][order]
+    found, begin = np.unique(text, return_index=True)
+    own = np.array([int.from_bytes(names[t][:8], "little", signed=True) for t in found], dtype=np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(own), pa.array(np.full(len(found), -1, np.int32)), pa.array(np.full(len(found), 2, np.int32)),
+            pa.array(keys[found], pa.binary()), pa.nulls(len(found), pa.int32()),
+            pa.ListArray.from_arrays(pa.array(np.append(begin, len(text)).astype(np.int32)), pa.array(start)),
+        ],
+        schema=schema,
+    )
+
+
 def _candidates(shared, cells: int):
-    """Second pass: 128-bit hashes of the windows whose anchor may repeat; equal texts of a batch go once, weighted."""
+    """Second pass: 96-bit hashes of the windows whose anchor may repeat; equal texts of a batch go once, weighted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -161,33 +214,38 @@ def _candidates(shared, cells: int):
             for i, key in enumerate(batch.column(1).to_pylist()):
                 weight[key] = weight.get(key, 0) + 1
                 place.setdefault(key, i)
-            names = list(place)
+            names, many = list(place), np.fromiter(weight.values(), dtype=np.int64, count=len(weight))
+            held: list[list[np.ndarray]] = [[], [], [], []]
+            size = 0
             for w in scan.words(batch.column(0).take(pa.array(list(place.values()), pa.int64()))):
                 _, anchors, whole = _anchors(w)
                 inside = np.flatnonzero(whole)
                 at = inside[_repeated(anchors[inside], bits, cells)]
                 if not len(at):
                     continue
-                full = []
-                for factors in _FULL:
+                for column, factors in zip(held, _FULL):
                     total = np.zeros(len(at), dtype=np.uint64)
                     for j, factor in enumerate(factors):
                         total += w.hashes[at + j] * factor
-                    full.append(scan.mix(total).view(np.int64))
+                    column.append(scan.mix(total))
                 row = w.row[at]
-                begin = scan.segments(w.row, w.first, w.last)[row - w.first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *map(pa.array, full), pa.array([names[r] for r in row], pa.binary()),
-                        pa.array((at - begin).astype(np.int32)),
-                        pa.array([weight[names[r]] for r in row], pa.int64()),
-                    ],
-                    ["h1", "h2", "text_key", "start", "weight"],
-                )
+                held[2].append(row)
+                held[3].append((at - scan.segments(w.row, w.first, w.last)[row - w.first]).astype(np.int32))
+                size += len(at)
+                if size > MOST_HELD:
+                    yield from _settle_all(held, names, many)
+                    held, size = [[], [], [], []], 0
+            if size:
+                yield from _settle_all(held, names, many)
 
     return run
 
 
+def _settle_all(held, names, many) -> Iterator[pa.RecordBatch]:
+    h1, h2, text, start = (np.concatenate(c) for c in held)
+    return _settle(h1, (h2 >> np.uint64(33)).astype(np.int32), text, start, names, many)
+
+
 def _cut(columns: list[str]):
     """Apply the removals: kept words joined by one space."""
 
@@ -232,15 +290,15 @@ def removals(docs: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = cells_for(size)
     shared = spark.sparkContext.broadcast(repeated_cells(texts, cells))
-    path = scratch_path(spark, "windows")
-    (
-        texts.withColumn("text_key", F.unhex(F.md5("text")))
-        .mapInArrow(_candidates(shared, cells), "h1 long, h2 long, text_key binary, start int, weight long")
-        .write.parquet(path)
+    windows = texts.withColumn("text_key", F.unhex(F.md5("text"))).mapInArrow(
+        _candidates(shared, cells),
+        "h1 long, h2 int, weight int, text_key binary, start int, starts array<int>",
+    )
+    # A hash has at most one row a batch here, so no group is hot, however often a passage is repeated.
+    seen = windows.withColumn("n", F.sum("weight").over(Window.partitionBy("h1", "h2")))
+    hits = seen.where("n > 1 AND text_key IS NOT NULL").select(
+        "text_key", F.explode(F.coalesce("starts", F.array("start"))).alias("start")
     )
-    windows = spark.read.schema("h1 long, h2 long, text_key binary, start int, weight long").parquet(path)
-    repeated = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
-    hits = join_back(windows.select("h1", "h2", "text_key", "start"), repeated, ["h1", "h2"], "left_semi")
     starts = hits.groupBy("text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     # Neighbouring windows become one range: begins and ends are where the next start is over WINDOW words away.
     begins = F.filter("starts", lambda x, i: (i == 0) | (x > F.get("starts", i - 1) + WINDOW))
