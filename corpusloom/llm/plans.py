@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import load
-from . import bpe, chat, extract, language, packing, substring, topk, toxicity
+from . import bpe, chat, extract, language, packing, quality, substring, topk, toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,76 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def _chance(junk: int, p: str, v: str) -> str:
+    prior = f"{p}[1]" if junk else f"(1 - {p}[1])"
+    return " * ".join(
+        [prior] + [f"{p}[{2 + ((1 - junk) * quality.RULES + r) * 3} + {v}[{r + 1}] + 1]" for r in range(quality.RULES)]
+    )
+
+
+def _junk(p: str, v: str) -> str:
+    return f"({_chance(1, p, v)}) / ({_chance(1, p, v)} + {_chance(0, p, v)})"
+
+
+_BASE_FAILED = f"(n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEAT} * n_words)"
+_QUALITY_SQL = f"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, {_WORDS} AS w,
+            list_filter(string_split(coalesce(text, ''), chr(10)),
+                        lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+        FROM documents),
+    windows AS (
+        SELECT r, i, sha256(array_to_string(w[i:i + 7], ' ')) AS h
+        FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
+    twice AS (SELECT r, i FROM windows SEMI JOIN (
+        SELECT r, h FROM windows GROUP BY r, h HAVING count(*) > 1) t USING (r, h)),
+    covered AS (SELECT r, len(list_distinct(flatten(list(generate_series(i, i + 7))))) AS n FROM twice GROUP BY r),
+    s AS (
+        SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT
+                AS word_chars,
+            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+            len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines,
+            length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals
+        FROM d LEFT JOIN covered USING (r)),
+    voted AS (
+        SELECT *, {_BASE_FAILED} AS base_failed, [
+            CASE WHEN 10 * n_symbols > 3 * n_words THEN 1 WHEN 50 * n_symbols <= n_words THEN -1 ELSE 0 END,
+            CASE WHEN 2 * n_dup_lines > n_lines THEN 1 WHEN 20 * n_repeat_words <= n_words THEN -1 ELSE 0 END,
+            CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 1
+                 WHEN word_chars >= 3 * n_words AND word_chars <= 9 * n_words THEN -1 ELSE 0 END,
+            CASE WHEN 10 * n_capitals > 3 * word_chars THEN 1
+                 WHEN 20 * n_capitals <= 3 * word_chars THEN -1 ELSE 0 END] AS v
+        FROM s),
+    patterns AS (
+        SELECT list({{'v': v, 'n': n}} ORDER BY v) AS ps
+        FROM (SELECT v, count(*)::DOUBLE AS n FROM voted WHERE NOT base_failed GROUP BY v)),
+    em(i, p) AS (
+        SELECT 0, {quality.START}::DOUBLE[]
+        UNION ALL
+        SELECT i + 1, list_concat(
+            [list_sum(list_transform(js, lambda x: x.n * x.j)) / list_sum(list_transform(js, lambda x: x.n))],
+            list_transform(range(0, {6 * quality.RULES}), lambda k: (CASE
+                WHEN k >= {3 * quality.RULES} AND k % 3 = 2 THEN least({quality.MOST_FALSE}, rates[k + 1])
+                ELSE rates[k + 1] END)))
+        FROM (
+            SELECT i, js, list_transform(range(0, {6 * quality.RULES}), lambda k:
+                (list_sum(list_transform(js, lambda x: CASE WHEN x.v[(k // 3) % {quality.RULES} + 1] = k % 3 - 1
+                    THEN x.n * (CASE WHEN k < {3 * quality.RULES} THEN x.j ELSE 1 - x.j END) ELSE 0 END))
+                    + {quality.SMOOTH} * {quality.START}[k + 2])
+                / (list_sum(list_transform(js, lambda x:
+                    x.n * (CASE WHEN k < {3 * quality.RULES} THEN x.j ELSE 1 - x.j END))) + {quality.SMOOTH})) AS rates
+            FROM (
+                SELECT i, list_transform(ps, lambda x: {{'v': x.v, 'n': x.n, 'j': {_junk('p', 'x.v')}}}) AS js
+                FROM em, patterns WHERE i < {quality.ROUNDS} AND ps IS NOT NULL))),
+    learnt AS (SELECT p FROM em ORDER BY i DESC LIMIT 1)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT base_failed AND {_junk('p', 'v')} < 0.5 AS kept
+    FROM voted, learnt
+    """
+
+
+@query("op1_quality", _QUALITY_SQL)
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(load(spark, folder, "documents", "doc_id", "text"), "doc_id").drop("n_lines", "n_capitals")
