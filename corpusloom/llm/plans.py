@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import load
-from . import bpe, chat, extract, language, packing, quality, substring, topk, toxicity
+from . import bpe, chat, extract, language, near, packing, quality, substring, topk, toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -199,3 +199,32 @@ _QUALITY_SQL = f"""
 @query("op1_quality", _QUALITY_SQL)
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(load(spark, folder, "documents", "doc_id", "text"), "doc_id").drop("n_lines", "n_capitals")
+
+
+@query(
+    "op4_near_duplicates",
+    """
+    WITH RECURSIVE d AS (
+        SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    s AS (
+        SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+        FROM d),
+    e AS (SELECT r, doc_id, len(g) AS n, unnest(g) AS x FROM s),
+    pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r
+        GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    reach(id, low) AS (
+        SELECT DISTINCT doc_id, doc_id FROM d
+        UNION
+        SELECT p.b, reach.low FROM reach JOIN pairs p ON p.a = reach.id WHERE p.b > reach.low),
+    least AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
+    SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM s JOIN least ON doc_id = id
+    """,
+)
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(load(spark, folder, "documents", "doc_id", "text"))
