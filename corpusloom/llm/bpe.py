@@ -14,6 +14,7 @@ null doc_ids are kept; extra columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from .pieces import UnitEncoder
 
 # Pairs of tokens, and pieces, held at most in a worker.
-HELD_PAIRS, HELD_PIECES = 1_000_000, 600_000
+HELD_PAIRS, HELD_PIECES = 1_000_000, 800_000
 
 
 class Encoder:
@@ -105,6 +106,7 @@ class Encoder:
         return found
 
 
+@functools.lru_cache(maxsize=1)  # kept by the worker from task to task
 def _texts_encoder(path: str, pattern: str) -> tuple[Encoder, UnitEncoder]:
     import regex
 

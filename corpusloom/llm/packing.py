@@ -10,6 +10,7 @@ itself; null doc_ids are kept; extra columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ def lengths(n: int, most: int = MOST) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(most.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
+@functools.lru_cache(maxsize=1)  # kept by the worker from task to task
 def _encoder(path: str) -> UnitEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 import regex
 
 # Units held at most, the longest that is held, and the characters of texts looked at together.
-HELD, LONGEST, TOGETHER = 600_000, 48, 1 << 20
+HELD, LONGEST, TOGETHER = 1_000_000, 48, 1 << 20
 
 _AWKWARD = re.compile(r"\s \s|\s \Z")
 _UNIT = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
@@ -56,10 +56,20 @@ class UnitEncoder:
         wanted: set[str] = set()
         wanted.update(*lists)
         missing = [unit for unit in wanted if unit not in held]
-        held.update(zip(missing, self.encode_units(missing), strict=True))
+        # After a letter or digit the pattern always cuts before a mark, so words are asked for without their marks.
+        split = {}
+        for unit in missing:
+            word = unit.rstrip(".,;:!?")
+            if word != unit and word and word[-1].isalnum():
+                split[unit] = word, unit[len(word) :]
+        alone = {p for pair in split.values() for p in pair}.union(u for u in missing if u not in split)
+        asked = [unit for unit in alone if unit not in held]
+        held.update(zip(asked, self.encode_units(asked), strict=True))
+        for unit, (word, marks) in split.items():
+            held[unit] = held[word] + held[marks]
         get = held.__getitem__
         out = [b"".join(map(get, units)) for units in lists]
-        for unit in missing:
+        for unit in (*asked, *split):
             if len(unit) > LONGEST:
                 del held[unit]
         return out
