@@ -186,18 +186,18 @@ def judge(docs: DataFrame, *columns: str) -> DataFrame:
     """`columns` of every document, its signals, base_failed and kept."""
     names = list(dict.fromkeys(columns or ("doc_id",)))
     path = scratch_path(docs.sparkSession, "signals")
-    held = docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)), "text")
+    held = docs.select(*(F.col(n).alias(f"__c{i}") for i, n in enumerate(names)), "text")
     signals(held).drop("text").write.parquet(path)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(
-        [f"c{i} {kinds[n]}" for i, n in enumerate(names)] + [f"q_{s} long" for s in SIGNALS]
+        [f"__c{i} {kinds[n]}" for i, n in enumerate(names)] + [f"q_{s} long" for s in SIGNALS]
     )
     rows = docs.sparkSession.read.schema(schema).parquet(path)
     out = rows.select(
         "*", base_failed().alias("base_failed"), verdict(estimate(rows)).alias("kept")
     )
     return out.withColumnsRenamed(
-        {f"c{i}": n for i, n in enumerate(names)} | {f"q_{s}": s for s in SIGNALS}
+        {f"__c{i}": n for i, n in enumerate(names)} | {f"q_{s}": s for s in SIGNALS}
     )
 
 
@@ -206,4 +206,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     path = scratch_path(docs.sparkSession, "signals")
     signals(docs.select("text")).drop("text").write.parquet(path)
     rows = docs.sparkSession.read.schema(", ".join(f"q_{s} long" for s in SIGNALS)).parquet(path)
-    return signals(docs).where(verdict(estimate(rows))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Under other names no column of the documents can clash with a signal.
+    held = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)), "text")
+    kept = signals(held).where(verdict(estimate(rows)))
+    return kept.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))

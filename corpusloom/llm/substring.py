@@ -312,7 +312,7 @@ def removals(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame, *columns: str) -> DataFrame:
     """Rows of `docs`: `columns`, n_words, n_removed, kept_text and kept_sha256, judged on the whole input."""
     names = list(dict.fromkeys(columns or ("doc_id",)))
-    held = {name: f"c{i}" for i, name in enumerate(names)}
+    held = {name: f"__c{i}" for i, name in enumerate(names)}
     path = scratch_path(docs.sparkSession, "removals")
     removals(docs).write.parquet(path)
     runs = docs.sparkSession.read.schema(

@@ -335,7 +335,7 @@ def _score(shared):
             texts = batch.column(batch.num_columns - 1)
             score = np.full(batch.num_rows, model) if isinstance(model, float) else model.score(texts)
             columns = [batch.column(i) for i in range(batch.num_columns)]
-            names = [f"c{i}" for i in range(batch.num_columns)]
+            names = [f"__c{i}" for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], [*names, "score"])
 
     return run
@@ -347,9 +347,9 @@ def score(docs: DataFrame, model: Model | float, *columns: str) -> DataFrame:
     names.append(names.pop(names.index("text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    rows = docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)))
-    schema = ", ".join([*(f"c{i} {kinds[n]}" for i, n in enumerate(names)), "score double"])
-    out = rows.mapInArrow(_score(shared), schema).withColumnsRenamed({f"c{i}": n for i, n in enumerate(names)})
+    rows = docs.select(*(F.col(n).alias(f"__c{i}") for i, n in enumerate(names)))
+    schema = ", ".join([*(f"__c{i} {kinds[n]}" for i, n in enumerate(names)), "score double"])
+    out = rows.mapInArrow(_score(shared), schema).withColumnsRenamed({f"__c{i}": n for i, n in enumerate(names)})
     return out if "text" in columns else out.drop("text")
 
 
