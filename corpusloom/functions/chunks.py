@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from .text import _col
 
+# Every place where a blank line starts, overlapping ones included.
+_BLANK = re.compile(r"(?=\n\n)")
+
 
 def chunk_bounds(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    bounds, start, size = [], 0, len(text)
-    while True:
-        end = min(size, start + limit)
-        if start == 0 and size <= limit:
-            return [(0, size)]
-        if end < size:
-            blank = text.rfind("\n\n", 0, end + 2)
-            if blank > start + limit * 65 // 100:
-                end = blank
-        bounds.append((start, end))
-        if end == size:
-            return bounds
-        start = max(start + 1, end - overlap)
+    """Spans of at most `limit` characters, each beginning `overlap` before the end of the last.
+
+    A span that is not the last ends at the last blank line within reach, if that leaves it more than 65 percent of
+    its limit. All blank lines are found once; each end is then a binary search.
+    """
+    blanks = [found.start() for found in _BLANK.finditer(text)]
+    spans = [(0, 0)]
+    while spans[-1][1] < len(text):
+        begin = max(spans[-1][0] + 1, spans[-1][1] - overlap) if spans[-1][1] else 0
+        reach = begin + limit
+        if reach < len(text):
+            place = bisect_right(blanks, reach)
+            if place and blanks[place - 1] > begin + limit * 65 // 100:
+                reach = blanks[place - 1]
+        spans.append((begin, min(reach, len(text))))
+    return spans[1:] or spans
 
 
 def chunks(text, limit: int = 36_000, overlap: int = 1_200) -> Column:

@@ -110,7 +110,7 @@ def page_status(text, content_type, http_status, size) -> Column:
         .when(size > MAX_BYTES, "response_too_large")
         .when(kind.contains("application/pdf") & text.isNull(), "pdf_not_checked")
         .when(~(kind.contains("html") | kind.contains("text/plain") | kind.contains("application/pdf")), "unsupported_content")
-        .when(F.left(text, F.lit(2500)).rlike(CHALLENGE), "blocked")
+        .when(text.rlike(CHALLENGE), "blocked")
         .when(F.length(F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")) < MIN_READABLE, "unreadable")
         .otherwise("readable")
     )

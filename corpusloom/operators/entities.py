@@ -169,16 +169,16 @@ def band_neighbours(rows: DataFrame, id_column: str, key: str, at: str, width: i
 
     Rows are counted per (key, step) first; only those counts are repeated over the band.
     """
-    counted = rows.groupBy(key, at).agg(F.count("*").alias("n"), F.sum(id_column).alias("ids"))
+    counted = rows.groupBy(key, at).agg(F.count("*").alias("n"), F.min(id_column).alias("lo"), F.max(id_column).alias("hi"))
     band = (
-        counted.select(key, F.explode(F.sequence(F.col(at) - width, F.col(at) + width)).alias(at), "n", "ids")
+        counted.select(key, F.explode(F.sequence(F.col(at) - width, F.col(at) + width)).alias(at), "n", "lo", "hi")
         .groupBy(key, at)
-        .agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
     return join_back(rows, band, [key, at]).select(
         id_column,
         (F.col("n") - 1).alias("others"),
-        F.when(F.col("n") == 2, F.col("ids") - F.col(id_column)).alias("only_other"),
+        F.when(F.col("n") == 2, F.when(F.col(id_column) == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))).alias("only_other"),
     )
 
 

@@ -36,7 +36,7 @@ def rarest_terms(terms: DataFrame, frequency: DataFrame, keep: int = RAREST_TERM
 
 
 def lexical_scores(requests: DataFrame, passages: DataFrame, min_terms: int = 2) -> DataFrame:
-    """Summed idf over the matched rare terms of each (request, passage), two terms at least.
+    """Summed idf over all matched terms of each (request, passage), two terms at least.
 
     The passage side stays where it is read: query terms are broadcast when counted small, and only
     partial sums move. Beyond the bound the join shuffles on the term and AQE splits hot terms.
@@ -44,7 +44,7 @@ def lexical_scores(requests: DataFrame, passages: DataFrame, min_terms: int = 2)
     total = passages.select(F.count("*")).scalar()
     asked = requests.select("request_id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL").distinct()
     matched = cut(lookup(postings(passages), asked.select("term").distinct(), ["term"], "left_semi"))
-    chosen = rarest_terms(asked, document_frequency(matched)).select(
+    chosen = join_back(asked, document_frequency(matched), ["term"]).select(
         "request_id", "term", retrieval_idf(F.col("df"), total).alias("idf")
     )
     return (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import keyed
@@ -58,32 +60,42 @@ def topped_up(evidence, own) -> Column:
     return F.concat(cited, F.slice(spare, 1, F.greatest(F.lit(0), F.lit(MIN_SOURCES) - F.size(cited))))
 
 
-def _rerank(group: pa.Table) -> pa.Table:
-    rows = group.sort_by("candidate").to_pylist()
-    top = max(max(r["relevance"] for r in rows), 0.0001)
+def _alike(rows: pa.Table) -> np.ndarray:
+    """Similarity of every two rows: shared director, country, decade and any genre."""
 
-    def similarity(x: dict, y: dict) -> float:
-        score = SAME_DIRECTOR if x["director"] and x["director"] == y["director"] else 0.0
-        score += SAME_COUNTRY if x["country"] and x["country"] == y["country"] else 0.0
-        score += SAME_DECADE if x["year"] // 10 == y["year"] // 10 else 0.0
-        return score + (SHARED_GENRE if set(x["genres"] or ()) & set(y["genres"] or ()) else 0.0)
+    def same(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return (codes[:, None] == codes[None, :]) & known[:, None] & known[None, :]
 
-    chosen: list[dict] = []
-    while rows and len(chosen) < LIST:
+    out = np.zeros((rows.num_rows, rows.num_rows))
+    for column, share in (("director", SAME_DIRECTOR), ("country", SAME_COUNTRY)):
+        values = pc.fill_null(rows[column].combine_chunks().cast(pa.string()), "")
+        codes = values.dictionary_encode().indices.to_numpy()
+        out += share * same(codes, pc.not_equal(values, "").to_numpy(zero_copy_only=False))
+    decades = rows["year"].to_numpy() // 10
+    out += SAME_DECADE * same(decades, np.isfinite(decades))
+    genres = rows["genres"].combine_chunks()
+    owner, code = pc.list_parent_indices(genres).to_numpy(), pc.list_flatten(genres).dictionary_encode()
+    holds = np.zeros((rows.num_rows, len(code.dictionary) + 1))
+    holds[owner, code.indices.to_numpy()] = 1
+    return out + SHARED_GENRE * (holds @ holds.T > 0)
 
-        def value(row: dict) -> float:
-            near = max((similarity(row, c) for c in chosen), default=0.0)
-            return round(row["relevance"] / top * (1 - REDUNDANCY * near) - (SEEN if row["seen"] else 0.0), 12)
 
-        best = min(rows, key=lambda row: (-value(row), row["candidate"]))
-        rows.remove(best)
+def _rerank(group: pa.Table) -> pa.Table:
+    """Positions one by one: each choice raises the redundancy of all rows at once."""
+    rows = group.sort_by("candidate").combine_chunks()
+    relevance = rows["relevance"].to_numpy()
+    share = relevance / max(relevance.max(), 0.0001)
+    seen = np.where(pc.fill_null(rows["seen"], False).to_numpy(), SEEN, 0.0)
+    alike, near = _alike(rows), np.zeros(rows.num_rows)
+    free, chosen = np.ones(rows.num_rows, dtype=bool), []
+    for _ in range(min(LIST, rows.num_rows)):
+        value = np.round(share * (1 - REDUNDANCY * near) - seen, 12)
+        best = int(np.where(free, value, -np.inf).argmax())
+        free[best] = False
         chosen.append(best)
-    columns = group.select(["request_id", "candidate"]).schema
-    return pa.table(
-        {"request_id": pa.array([r["request_id"] for r in chosen], columns.field(0).type),
-         "candidate": pa.array([r["candidate"] for r in chosen], columns.field(1).type),
-         "position": pa.array(range(1, len(chosen) + 1), pa.int32())}
-    )
+        near = np.maximum(near, alike[best])
+    picked = rows.select(["request_id", "candidate"]).take(pa.array(chosen))
+    return picked.append_column("position", pa.array(np.arange(1, len(chosen) + 1, dtype=np.int32)))
 
 
 def diversity_rerank(rows: DataFrame) -> DataFrame:

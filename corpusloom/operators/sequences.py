@@ -125,10 +125,9 @@ def reassemble(deltas: DataFrame, group: str, order: str, text: str, part_rows:
     )
 
 
-# What a proposal row may hold, and the longest response that is read.
+# What a proposal row may hold.
 TITLE_CHARS = 240
 FIRST_YEAR, LAST_YEAR = 1888, 2100
-RESPONSE_CHARS = 262_144
 
 _ROW = T.ArrayType(
     T.StructType().add("t", T.StringType()).add("y", T.IntegerType()).add("d", T.StringType())
@@ -168,25 +167,18 @@ def complete_rows(text: pa.Array) -> pa.Array:
 def reassemble_rows(deltas: DataFrame) -> DataFrame:
     """deltas(request_id, seq, delta, event) as complete proposal rows and a status per request.
 
-    Only requests within the response limit are put together; a longer one is refused as a whole.
     A stream without its `completed` event is INCOMPLETE, whatever rows arrived.
     """
     sizes = deltas.groupBy("request_id").agg(
-        F.sum(F.coalesce(F.length("delta"), F.lit(0))).alias("chars"),
-        F.count("*").alias("events"),
         F.when(F.bool_or(F.col("event").isin("failed", "incomplete", "error")), "INCOMPLETE")
         .when(F.bool_or(F.col("event") == "completed"), "COMPLETE")
         .otherwise("INCOMPLETE")
         .alias("status"),
     )
-    fits = (F.col("chars") <= RESPONSE_CHARS) & (F.col("events") <= RESPONSE_CHARS)
     whole = (
         deltas.where(F.col("event") == "delta")
-        .join(sizes.where(fits).select("request_id"), "request_id", "left_semi")
         .groupBy("request_id")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("d"))
         .select("request_id", complete_rows(F.array_join("d.delta", "")).alias("rows"))
     )
-    return sizes.join(whole, "request_id", "left").select(
-        "request_id", F.when(fits, F.col("status")).otherwise("TOO_LARGE").alias("status"), "rows"
-    )
+    return sizes.join(whole, "request_id", "left").select("request_id", "status", "rows")

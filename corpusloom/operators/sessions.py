@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..session import cut, join_back, keyed
 from .sequences import SEGMENT_ROWS, dense_positions
 
-# Snapshots and films a path may hold, and its length when stored.
+# Snapshots a path keeps; films and stored length beyond which it is reported.
 MAX_SNAPSHOTS = 64
 MAX_SEEN = 5_000
 MAX_CHARS = 1_500_000
@@ -78,32 +78,18 @@ def first_seen(path: DataFrame) -> DataFrame:
     return shown.groupBy("session_id", "film_id").agg(F.min("seq").alias("seq"))
 
 
-def limit_seq(seen: DataFrame) -> DataFrame:
-    """(session_id, limit_seq): the commit that shows film 5,001 and with which the path ends."""
-    nth = F.row_number().over(W.partitionBy("session_id").orderBy("seq", "film_id"))
-    return (
-        seen.withColumn("nth", nth)
-        .where(F.col("nth") <= MAX_SEEN + 1)
-        .groupBy("session_id")
-        .agg(F.max(F.when(F.col("nth") == MAX_SEEN + 1, F.col("seq"))).alias("limit_seq"))
-        .where("limit_seq IS NOT NULL")
-    )
-
-
 def reduce_sessions(events: DataFrame) -> DataFrame:
     """Per session its snapshots in order, cursor, refused events, seen and archived film counts, status.
 
     A commit drops what lies behind the cursor and keeps the newest 64 snapshots; dropped films stay
-    seen. A path that would show more than 5,000 films ends there (`film_limit`). `size_limit` marks
-    paths whose snapshots could outgrow the stored length before they outnumber 64.
+    seen. The whole path is replayed; `film_limit` marks paths that showed more than 5,000 films and `size_limit`
+    those whose snapshots could outgrow the stored length before they outnumber 64.
     """
     kind = dict(events.dtypes)["session_id"]
     path = cut(last_paths(events))
     seen = cut(first_seen(path))
-    limits = limit_seq(seen)
-    kept = join_back(path, limits, ["session_id"], "left").where(F.col("limit_seq").isNull() | (F.col("seq") < F.col("limit_seq")))
     placed = dense_positions(
-        kept.select("session_id", "seq", F.when(F.col("kind") == "restore", F.col("target")).otherwise(-1).cast("bigint").alias("restore")),
+        path.select("session_id", "seq", F.when(F.col("kind") == "restore", F.col("target")).otherwise(-1).cast("bigint").alias("restore")),
         "session_id",
         "seq",
     )
@@ -151,9 +137,8 @@ def reduce_sessions(events: DataFrame) -> DataFrame:
         .groupBy("session_id")
         .applyInArrow(chain, f"session_id {kind}, snapshots array<bigint>, cursor int, refused bigint")
     )
-    shown = kept.where("kind != 'restore'")
-    films = seen.join(limits, "session_id", "left").where(F.col("limit_seq").isNull() | (F.col("seq") < F.col("limit_seq")))
-    counts = films.groupBy("session_id").agg(F.count("*").alias("seen"))
+    shown = path.where("kind != 'restore'")
+    counts = seen.groupBy("session_id").agg(F.count("*").alias("seen"))
     live = (
         final.select("session_id", F.explode("snapshots").alias("seq"))
         .join(shown.select("session_id", "seq", F.explode("film_ids").alias("film_id")), ["session_id", "seq"])
@@ -165,7 +150,6 @@ def reduce_sessions(events: DataFrame) -> DataFrame:
         final.join(counts, "session_id", "left")
         .join(live, "session_id", "left")
         .join(sizes, "session_id", "left")
-        .join(limits.withColumn("limited", F.lit(True)), "session_id", "left")
         .select(
             "session_id",
             "snapshots",
@@ -173,7 +157,7 @@ def reduce_sessions(events: DataFrame) -> DataFrame:
             "refused",
             F.coalesce("seen", F.lit(0)).alias("seen"),
             (F.coalesce("seen", F.lit(0)) - F.coalesce("live", F.lit(0))).alias("archived"),
-            F.when(F.col("limited"), "film_limit")
+            F.when(F.col("seen") > MAX_SEEN, "film_limit")
             .when(F.col("largest") * MAX_SNAPSHOTS > MAX_CHARS, "size_limit")
             .otherwise("ok")
             .alias("status"),

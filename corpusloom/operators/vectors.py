@@ -11,11 +11,10 @@ from ..functions.features import BUCKET_SEED, SIGN_SEED, features_of, fnv1a, tal
 from ..functions.text import nfkc
 from ..session import cut, if_small, join_back, keyed, spread
 
-# Dimensions, neighbour count and floor, exact limit, plane count, bands and seed.
+# Dimensions, neighbour count and floor, plane count, bands and seed.
 DIMENSIONS = 512
 NEIGHBOURS = 10
 FLOOR = 0.48
-EXACT_ROWS = 512
 PLANES, BANDS, BAND_BITS = 48, 4, 12
 PLANE_SEED = 3719
 
@@ -136,7 +135,8 @@ def _bucket_best(probes: DataFrame, pool: DataFrame, count: int, floor: float) -
 
     Both sides of a bucket are cut into blocks of at most about TILE_ROWS rows, and each pair of blocks
     is one tile. A tile returns only its best rows, so a bucket that holds a third of the table becomes
-    many tasks and never a list of all its pairs. Small buckets share a task.
+    many tasks and never a list of all its pairs. Every bucket is a group of its own, whatever the
+    number of cores, so no group holds more than two blocks.
     """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
@@ -144,7 +144,6 @@ def _bucket_best(probes: DataFrame, pool: DataFrame, count: int, floor: float) -
 
     # At most BANDS * 2^BAND_BITS buckets exist, so this side has a fixed bound.
     plan = F.broadcast(cut(blocks(probes, "rows").join(blocks(pool, "cols"), "bucket")))
-    shared = max(1, probes.sparkSession.sparkContext.defaultParallelism * 2)
 
     def tiles(df: DataFrame, probe: bool) -> DataFrame:
         own, other = ("rows", "cols") if probe else ("cols", "rows")
@@ -152,9 +151,7 @@ def _bucket_best(probes: DataFrame, pool: DataFrame, count: int, floor: float) -
         theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         placed = df.join(plan, "bucket").select("bucket", "id", "vector", "rows", "cols", mine.alias("mine"), theirs.alias("theirs"))
         row, col = ("mine", "theirs") if probe else ("theirs", "mine")
-        alone = F.concat_ws("-", "bucket", row, col)
-        cell = F.when((F.col("rows") == 1) & (F.col("cols") == 1), F.pmod(F.xxhash64("bucket"), F.lit(shared)).cast("string")).otherwise(alone)
-        return placed.select(cell.alias("cell"), "bucket", "id", "vector", F.lit(probe).alias("probe"))
+        return placed.select(F.concat_ws("-", "bucket", row, col).alias("cell"), "bucket", "id", "vector", F.lit(probe).alias("probe"))
 
     both = tiles(probes, True).unionByName(tiles(pool, False))
     kind = dict(probes.dtypes)["id"]
@@ -164,11 +161,11 @@ def _bucket_best(probes: DataFrame, pool: DataFrame, count: int, floor: float) -
     return merged.withColumn("place", rank).where(F.col("place") <= count).drop("place")
 
 
-def nearest_neighbours(vectors: DataFrame, count: int = NEIGHBOURS, floor: float = FLOOR, method: str = "auto") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, count: int = NEIGHBOURS, floor: float = FLOOR, *, method: str) -> DataFrame:
     """(src, dst, score, place) for vectors(id, vector): the best `count` others at or above `floor`.
 
-    `auto` compares everything up to 512 vectors and uses bucket candidates above. Equal vectors are
-    compared once: a group of copies is one row with its smallest ids, and each copy gets the shared
+    `method` is `exact`, which compares everything in tiles, or `buckets`, which compares bucket
+    candidates; the size of the table changes neither. Equal vectors are compared once: a group of copies is one row with its smallest ids, and each copy gets the shared
     answer back with itself left out. No bucket and no candidate list is capped.
     """
     unit = cut(vectors.select("id", l2_normalize(F.transform("vector", lambda x: x.cast("double"))).alias("vector")))
@@ -176,7 +173,9 @@ def nearest_neighbours(vectors: DataFrame, count: int = NEIGHBOURS, floor: float
     if not dimensions:
         kind = dict(vectors.dtypes)["id"]
         return vectors.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, score double, place int")
-    exact = method == "exact" or (method == "auto" and unit.limit(EXACT_ROWS + 1).count() <= EXACT_ROWS)
+    if method not in ("exact", "buckets"):
+        raise ValueError("method is exact or buckets")
+    exact = method == "exact"
 
     marked = unit.withColumn("copy", F.struct(F.xxhash64(F.lit(1), "vector").alias("a"), F.xxhash64(F.lit(2), "vector").alias("b")))
     nth = F.row_number().over(W.partitionBy("copy").orderBy("id"))

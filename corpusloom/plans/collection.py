@@ -134,7 +134,7 @@ def link_discovery(spark: SparkSession, folder: str) -> DataFrame:
 _TEXT_SQL = """
   a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(head|nav|footer)>.*?</(head|nav|footer)>', '', 'gs'), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs') AS h FROM pages),
   b AS (SELECT page_id, regexp_replace(regexp_replace(h, '<footer>.*$', '', 's'), '(</?(article|div|p|h1|li|ul|br)[^>]*>)+', chr(10) || chr(10), 'g') AS h FROM a),
-  c AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS h FROM b),
+  c AS (SELECT page_id, regexp_replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS h FROM b),
   t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(h, '[\\t  ]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS text FROM c)"""
 
 
@@ -152,7 +152,7 @@ def html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "page_status",
-    f"""WITH {_TEXT_SQL} SELECT CASE WHEN regexp_matches(left(text, 2500), '(just a moment|checking your browser|verify you are human|access denied)', 'i')
+    f"""WITH {_TEXT_SQL} SELECT CASE WHEN regexp_matches(text, '(just a moment|checking your browser|verify you are human|access denied)', 'i')
       THEN 'blocked' WHEN length(text) < 80 THEN 'unreadable' ELSE 'readable' END AS status, count(*) AS items FROM t GROUP BY 1""",
 )
 def page_statuses(spark: SparkSession, folder: str) -> DataFrame:

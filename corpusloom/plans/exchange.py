@@ -4,34 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import bounded_text, overview_share, partial_date, pick_language, trim_words, word_count
+from ..functions.chunks import chunks
+from ..functions.text import overview_share, partial_date, pick_language, trim_words, word_count
 from ..operators.admission import audit_candidates
 from ..operators.contract import apply_repairs, connections, decode_wire, output_violations, resolution_failures, slot_verdicts
 from ..operators.entities import canonicalize, match_by_authority
 from ..operators.projections import entity_films, provider_films
 from ..operators.sequences import reassemble_rows
 from ..session import cut, load, scratch_path, spread
-from ..sources.model_io import batch_lines, read_model_results
+from ..sources.model_io import batch_lines, read_model_results, write_batch_requests
 from .registry import query
+from .texts import CHUNK_LIMIT, CHUNK_OVERLAP, CHUNKS_SQL
 
 
 @query(
     "batch_requests",
-    """WITH b AS (SELECT doc_id, CASE WHEN length(text) <= 24000 THEN text ELSE left(text, 18000) || chr(10) || chr(10) || '[... middle omitted ...]' || chr(10) || chr(10) || right(text, 6000) END AS t, source, lang FROM documents)
-    SELECT 'job__doc-' || doc_id AS custom_id, sha256('Publisher: ' || source || chr(10) || 'Canonical URL: https://docs.example.org/' || doc_id || chr(10) || 'Proposed source type: criticism' || chr(10) || 'Language hint: ' || lang || chr(10) || 'Title hint: unknown' || chr(10) || chr(10) || 'SOURCE TEXT' || chr(10) || t) AS input_sha FROM b""",
+    f"""WITH RECURSIVE {CHUNKS_SQL},
+      b AS (SELECT doc_id, idx, substr(c.text, start + 1, stop - start) AS t, source, lang FROM c JOIN documents USING (doc_id))
+    SELECT 'job__doc-' || doc_id || '-' || idx AS custom_id, sha256('Publisher: ' || source || chr(10) || 'Canonical URL: https://docs.example.org/' || doc_id || chr(10) || 'Proposed source type: criticism' || chr(10) || 'Language hint: ' || lang || chr(10) || 'Title hint: unknown' || chr(10) || chr(10) || 'SOURCE TEXT' || chr(10) || t) AS input_sha FROM b""",
 )
 def batch_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document as a request line, written to files and read back."""
-    docs = spread(load(spark, folder, "documents"))
-    items = docs.select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("target_id"),
+    """Every chunk of every document as a request line, written to files within their limits and read back."""
+    docs = spread(load(spark, folder, "documents", "doc_id", "text", "source", "lang"))
+    parts = docs.select(
+        "doc_id", "source", "lang", F.inline_outer(chunks("text", CHUNK_LIMIT, CHUNK_OVERLAP))
+    ).where("idx IS NOT NULL")
+    items = parts.select(
+        F.concat_ws("-", F.lit("doc"), F.col("doc_id").cast("string"), F.col("idx").cast("string")).alias("target_id"),
         F.concat(F.lit("https://docs.example.org/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("source").alias("publisher"), F.lit("criticism").alias("type"), F.col("lang").alias("language"),
-        F.lit(None).cast("string").alias("title_hint"), bounded_text("text").alias("text"),
+        F.lit(None).cast("string").alias("title_hint"), "text",
     )
     lines = batch_lines(items, "job", "extractor")
     path = scratch_path(spark, "batch")
-    lines.select("line").write.text(path)
+    write_batch_requests(lines, path)
     back = spark.read.text(path).select(F.from_json("value", "custom_id string, body struct<input:string>").alias("r"))
     return back.select("r.custom_id", F.sha2("r.body.input", 256).alias("input_sha"))
 
@@ -205,25 +211,25 @@ def language_choice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wire(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as wire outputs, one slot per line number and so seven at most.
+    """Orders as wire outputs, one slot per line in the order of number, part, supplier and flags.
 
     A slot cites passage 0 when its line was not returned; open orders label it explicit, others
     as an interpretation, and returned lines as a proposal that wrongly cites passage 1.
     """
-    lines = load(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
-    slots = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")).alias("l"))
-    returned = F.col("l.l_returnflag") == "R"
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+    slots = load(spark, folder, "lineitem", "l_orderkey", *order)
+    returned = F.col("l_returnflag") == "R"
     row = F.struct(
-        F.concat(F.lit("part "), F.col("l.l_partkey").cast("string")).alias("t"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("t"),
         F.lit(2000).alias("y"),
-        F.concat(F.lit("supplier "), F.col("l.l_suppkey").cast("string")).alias("d"),
+        F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("d"),
         F.array(F.col("l_linenumber") - 1, F.lit(40)).alias("a"),
-        F.col("l.l_returnflag").alias("b"),
+        F.col("l_returnflag").alias("b"),
         F.when(returned, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(9))).alias("e"),
-        F.when(returned, "m").when(F.col("l.l_linestatus") == "O", "x").otherwise("s").alias("k"),
+        F.when(returned, "m").when(F.col("l_linestatus") == "O", "x").otherwise("s").alias("k"),
     )
     rows = slots.groupBy(F.col("l_orderkey").alias("request_id")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda r: r["row"]).alias("r")
+        F.transform(F.sort_array(F.collect_list(F.struct(*order, row.alias("row")))), lambda r: r["row"]).alias("r")
     )
     return rows.select(
         "request_id",
@@ -234,8 +240,9 @@ def wire(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SLOTS = """
-  b AS (SELECT l_orderkey AS o, l_linenumber AS n, max({'p': l_partkey, 's': l_suppkey, 'f': l_returnflag, 'st': l_linestatus}) AS l FROM lineitem GROUP BY ALL),
-  s AS (SELECT o, n, row_number() OVER (PARTITION BY o ORDER BY n) AS slot, l.f = 'R' AS ret, l.st AS st, l.p AS part FROM b)"""
+  s AS (SELECT l_orderkey AS o, l_linenumber AS n,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS slot,
+    l_returnflag = 'R' AS ret, l_linestatus AS st, l_partkey AS part FROM lineitem)"""
 
 
 @query(

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.chunks import chunks
 from ..functions.text import search_terms
 from ..operators.lexical import lexical_hits
-from ..operators.ranking import diversity_rerank, edge_candidates, top_candidates
+from ..operators.ranking import (
+    REDUNDANCY, SAME_COUNTRY, SAME_DECADE, SAME_DIRECTOR, SEEN, SHARED_GENRE, diversity_rerank, edge_candidates, top_candidates,
+)
 from ..operators.retrieval import DIRECT_SCORE, context_pool, merge_hits, select_context
 from ..operators.sequences import pack, reassemble
 from ..session import cut, load, spread
@@ -22,7 +24,7 @@ SEEDS = 4
 def context_selection(spark: SparkSession, folder: str) -> DataFrame:
     """Budgeted context for requests of four benchmark items each; chunks of documents are the passages.
 
-    Items are the anchors. A chunk with nine tenths of an item's rare terms is its direct hit, the
+    Items are the anchors. A chunk with nine tenths of an item's terms is its direct hit, the
     other lexical hits are related context.
     """
     docs = spread(load(spark, folder, "documents", "doc_id", "text"))
@@ -40,7 +42,7 @@ def context_selection(spark: SparkSession, folder: str) -> DataFrame:
     )
     terms = asked.select(F.col("request_id").alias("anchor"), F.size("terms").alias("asked"))
     hits = related.join(terms, "anchor").join(items.select(F.col("item_id").alias("anchor"), "request_id"), "anchor")
-    direct = F.col("matched") >= F.least(F.col("asked"), F.lit(80)) * 0.9
+    direct = F.col("matched") >= F.col("asked") * 0.9
     merged = merge_hits(
         hits.select("request_id", "passage_id", F.when(direct, DIRECT_SCORE).otherwise(F.col("score")).alias("score"), "anchor", direct.alias("direct"))
     )
@@ -75,7 +77,29 @@ def edge_recommend(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("diversity_rerank")
+_RERANK_SQL = f"""
+  m AS (SELECT nation, 'p' || p AS cand, round(score, 6) AS rel, CASE WHEN connections > 1 THEN {SEEN} ELSE 0 END AS seen,
+      p_brand AS director, p_type AS country, p_size // 10 AS decade, string_split(p_name, ' ') AS genres
+    FROM t JOIN part ON p_partkey = p),
+  near AS (SELECT a.nation, a.cand, a.rel, a.seen, greatest(max(b.rel) OVER (PARTITION BY a.nation), 0.0001) AS top, b.cand AS other,
+      CASE WHEN a.director = b.director THEN {SAME_DIRECTOR} ELSE 0 END + CASE WHEN a.country = b.country THEN {SAME_COUNTRY} ELSE 0 END
+      + CASE WHEN a.decade = b.decade THEN {SAME_DECADE} ELSE 0 END + CASE WHEN list_has_any(a.genres, b.genres) THEN {SHARED_GENRE} ELSE 0 END AS alike
+    FROM m a JOIN m b ON a.nation = b.nation),
+  n AS (SELECT nation, cand, any_value(rel / top) AS share, any_value(seen) AS seen, list({{'c': other, 's': alike}}) AS alike FROM near GROUP BY ALL),
+  step(nation, position, chosen) AS (
+    SELECT DISTINCT nation, 0, []::VARCHAR[] FROM n
+    UNION ALL
+    SELECT nation, position + 1, list_append(chosen, cand) FROM (
+      SELECT step.nation, position, chosen, cand, row_number() OVER (PARTITION BY step.nation ORDER BY
+        round(share * (1 - {REDUNDANCY} * coalesce(list_max(list_transform(list_filter(alike, lambda y: list_contains(chosen, y.c)), lambda y: y.s)), 0)) - seen, 12) DESC, cand) AS r
+      FROM step JOIN n ON n.nation = step.nation WHERE NOT list_contains(chosen, cand)) WHERE r = 1)"""
+
+
+@query(
+    "diversity_rerank",
+    f"""WITH RECURSIVE {_EDGE_SQL}, {_RERANK_SQL}
+    SELECT nation AS request_id, chosen[position] AS candidate, position FROM step WHERE position > 0""",
+)
 def rerank(spark: SparkSession, folder: str) -> DataFrame:
     """The twelve parts per nation re-ordered: brand as director, type as country, size as year."""
     part = load(spark, folder, "part").select(
@@ -86,7 +110,7 @@ def rerank(spark: SparkSession, folder: str) -> DataFrame:
         F.split("p_name", " ").alias("genres"),
     )
     top = recommendations(spark, folder).join(part, "candidate")
-    rows = top.select("request_id", "candidate", F.lit(1.0).alias("relevance"), "director", "country", "year", "genres", (F.col("connections") > 1).alias("seen"))
+    rows = top.select("request_id", "candidate", F.round("score", 6).alias("relevance"), "director", "country", "year", "genres", (F.col("connections") > 1).alias("seen"))
     return diversity_rerank(rows)
 
 

@@ -45,8 +45,7 @@ def term_idf(spark: SparkSession, folder: str) -> DataFrame:
 LEXICAL_SQL = f"""{_POSTINGS},
   q AS (SELECT item_id, unnest({sql.terms('text')}) AS term FROM benchmark),
   rare AS (
-    SELECT item_id, term, ln(1 + total / (1 + df)) AS idf FROM q JOIN f USING (term), n
-    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY df, term) <= 80),
+    SELECT item_id, term, ln(1 + total / (1 + df)) AS idf FROM q JOIN f USING (term), n),
   s AS (
     SELECT item_id, doc_id, round(sum(idf), 6) AS raw, count(*) AS matched
     FROM rare JOIN d USING (term) GROUP BY ALL HAVING count(*) >= 2),
@@ -101,9 +100,7 @@ def quote_verification(spark: SparkSession, folder: str) -> DataFrame:
 CHUNK_LIMIT, CHUNK_OVERLAP = 2_000, 200
 
 
-@query(
-    "text_chunks",
-    f"""WITH RECURSIVE c(doc_id, text, idx, start, stop) AS (
+CHUNKS_SQL = f"""c(doc_id, text, idx, start, stop) AS (
       SELECT doc_id, text, 0, 0,
         CASE WHEN length(text) > {CHUNK_LIMIT} AND
           length(substr(text, 1, {CHUNK_LIMIT + 2})) - strpos(reverse(substr(text, 1, {CHUNK_LIMIT + 2})), chr(10) || chr(10)) - 1 > {CHUNK_LIMIT * 65 // 100}
@@ -117,7 +114,12 @@ CHUNK_LIMIT, CHUNK_OVERLAP = 2_000, 200
           AND s + {CHUNK_LIMIT + 2} - strpos(reverse(substr(text, 1, s + {CHUNK_LIMIT + 2})), chr(10) || chr(10)) - 1 > s + {CHUNK_LIMIT * 65 // 100}
           THEN s + {CHUNK_LIMIT + 2} - strpos(reverse(substr(text, 1, s + {CHUNK_LIMIT + 2})), chr(10) || chr(10)) - 1
           ELSE least(length(text), s + {CHUNK_LIMIT}) END
-      FROM (SELECT *, greatest(start + 1, stop - {CHUNK_OVERLAP}) AS s FROM c WHERE stop < length(text)))
+      FROM (SELECT *, greatest(start + 1, stop - {CHUNK_OVERLAP}) AS s FROM c WHERE stop < length(text)))"""
+
+
+@query(
+    "text_chunks",
+    f"""WITH RECURSIVE {CHUNKS_SQL}
     SELECT doc_id, CAST(idx AS BIGINT) AS chunk, CAST(start AS BIGINT) AS chunk_start,
       CAST(stop - start AS BIGINT) AS chars, sha256(substr(text, start + 1, stop - start)) AS text_sha
     FROM c""",

@@ -26,8 +26,8 @@ _KNN = f"""
 
 @query("cosine_knn", f"WITH {_KNN} SELECT src, dst, score, place FROM k")
 def cosine_knn(spark: SparkSession, folder: str) -> DataFrame:
-    """The neighbour build as it runs: exact up to 512 vectors, bucket candidates above."""
-    edges = nearest_neighbours(vectors(spark, folder), floor=LOW_FLOOR)
+    """The exact neighbour build, at every size."""
+    edges = nearest_neighbours(vectors(spark, folder), floor=LOW_FLOOR, method="exact")
     return edges.withColumn("place", F.col("place").cast("bigint"))
 
 
@@ -62,7 +62,7 @@ def lsh_knn(spark: SparkSession, folder: str) -> DataFrame:
 )
 def neighbor_expansion(spark: SparkSession, folder: str) -> DataFrame:
     """Each label as a film whose vectors are its direct hits, with their graph neighbours around them."""
-    edges = cut(nearest_neighbours(vectors(spark, folder), floor=LOW_FLOOR))
+    edges = cut(nearest_neighbours(vectors(spark, folder), floor=LOW_FLOOR, method="exact"))
     direct = load(spark, folder, "embeddings", "label", "vec_id").select(
         F.col("label").alias("request_id"), F.col("vec_id").alias("passage_id"), F.col("label").alias("anchor")
     )

@@ -25,15 +25,21 @@ def batch_lines(items: DataFrame, job_id: str, model: str) -> DataFrame:
 
 
 def write_batch_requests(lines: DataFrame, path: str) -> DataFrame:
-    """Write one JSON line per request to a new path, or refuse a job over the file limits as a whole.
+    """Write one JSON line per request to a new path, in as many files as the limits of one file ask for.
 
-    Returns the single row (requests, bytes).
+    A file takes so many requests that even the longest keep it within the bytes. Returns the single row
+    (requests, bytes, longest). Only a request that is too long by itself is an error.
     """
-    size = lines.agg(F.count("*").alias("requests"), F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("bytes"))
-    row = size.first()
-    if row.requests > BATCH_ROWS or row.bytes > BATCH_BYTES:
-        raise ValueError(f"batch of {row.requests} requests and {row.bytes} bytes exceeds the file limits; split the job")
-    lines.select("line").write.mode("errorifexists").text(path)
+    length = F.octet_length("line") + 1
+    size = lines.agg(
+        F.count("*").alias("requests"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes"),
+        F.coalesce(F.max(length), F.lit(1)).alias("longest"),
+    )
+    longest = size.first().longest
+    if longest > BATCH_BYTES:
+        raise ValueError(f"a request of {longest} bytes exceeds what one file may hold")
+    most = min(BATCH_ROWS, BATCH_BYTES // longest)
+    lines.select("line").write.mode("errorifexists").option("maxRecordsPerFile", most).text(path)
     return size
 
 
@@ -53,7 +59,7 @@ def read_model_results(spark: SparkSession, path: str, job_id: str, manifest: Da
     lines = spark.read.text(path).where("value != ''")
     parsed = lines.select(F.from_json("value", MODEL_RESULT).alias("r")).select("r.*")
     marker = f"{job_id}__"
-    target = F.when(F.col("custom_id").startswith(marker), F.substring("custom_id", len(marker) + 1, 10_000))
+    target = F.when(F.col("custom_id").startswith(marker), F.expr(f"substring(custom_id, {len(marker) + 1})"))
     known = manifest.select("target_id").distinct().withColumn("known", F.lit(True))
     rows = parsed.select(
         target.alias("target_id"), "custom_id", F.col("response.status_code").alias("status_code"),

@@ -349,6 +349,11 @@ def test_batch_limits(spark, tmp_path, monkeypatch):
     items = spark.createDataFrame([("t", "u", "p", "criticism", "en", None, "text")], "target_id string, url string, publisher string, type string, language string, title_hint string, text string")
     lines = M.batch_lines(items, "job", "m")
     assert M.write_batch_requests(lines, str(tmp_path / "ok")).first().requests == 1
+    many = spark.range(10).coalesce(1).crossJoin(lines)
+    monkeypatch.setattr(M, "BATCH_ROWS", 4)
+    M.write_batch_requests(many, str(tmp_path / "rows"))
+    files = [f for f in (tmp_path / "rows").iterdir() if f.name.startswith("part-")]
+    assert sorted(len(f.read_text().splitlines()) for f in files) == [2, 4, 4]
     monkeypatch.setattr(M, "BATCH_BYTES", 10)
     with pytest.raises(ValueError):
         M.write_batch_requests(lines, str(tmp_path / "no"))

@@ -28,7 +28,7 @@ def test_neighbours_with_a_hot_group_of_copies(spark, monkeypatch, tile):
     vectors |= {100 + i: [1.0, 2.0, 0.0, 0.0, 1.0, 0.0] for i in range(40)}
     vectors[500] = [0.0] * 6
     frame = spark.createDataFrame(list(vectors.items()), "id bigint, vector array<double>")
-    edges = V.nearest_neighbours(frame, 5, 0.48, "exact").collect()
+    edges = V.nearest_neighbours(frame, 5, 0.48, method="exact").collect()
     got = {}
     for e in sorted(edges, key=lambda e: (e.src, e.place)):
         got.setdefault(e.src, []).append(e.dst)
@@ -44,7 +44,7 @@ def test_bucket_candidates_follow_the_definition(spark):
     base = rng.normal(size=(40, 16))
     rows = {i: (base[i // 4] + 0.2 * rng.normal(size=16)).tolist() for i in range(160)}
     frame = spark.createDataFrame(list(rows.items()), "id bigint, vector array<double>")
-    got = {(e.src, e.dst) for e in V.nearest_neighbours(frame, 200, 0.48, "buckets").collect()}
+    got = {(e.src, e.dst) for e in V.nearest_neighbours(frame, 200, 0.48, method="buckets").collect()}
     normals = V.planes(16)
     bits = {i: [int(b) for b in ((np.array(v) @ normals.T >= 0).reshape(4, 12) * (1 << np.arange(12))).sum(axis=1)] for i, v in rows.items()}
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows.items()}
@@ -53,7 +53,7 @@ def test_bucket_candidates_follow_the_definition(spark):
         if i != j and float(unit[i] @ unit[j]) >= 0.48 and any((a ^ b).bit_count() <= 1 for a, b in zip(bits[i], bits[j]))
     }
     assert got == expected
-    exact = {(e.src, e.dst) for e in V.nearest_neighbours(frame, 200, 0.48, "exact").collect()}
+    exact = {(e.src, e.dst) for e in V.nearest_neighbours(frame, 200, 0.48, method="exact").collect()}
     assert got <= exact and len(got) >= 0.5 * len(exact)
 
 

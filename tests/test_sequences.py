@@ -84,7 +84,7 @@ def test_session_film_limit(spark, monkeypatch):
     rows = [("s", i, "commit", 0, [f"f{i}a", f"f{i}b"], 10) for i in range(5)]
     schema = "session_id string, seq bigint, kind string, target bigint, film_ids array<string>, size int"
     row = P.reduce_sessions(spark.createDataFrame(rows, schema)).first()
-    assert (row.status, row.seen, row.snapshots) == ("film_limit", 6, [0, 1, 2])
+    assert (row.status, row.seen, row.snapshots) == ("film_limit", 10, [0, 1, 2, 3, 4])
 
 
 def test_archived_films_survive_branching(spark):
