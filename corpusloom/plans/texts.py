@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.chunks import chunks
-from ..functions.prose import clean_prose, has_artefact
+from ..functions.prose import prose
 from ..functions.text import bounded_text, search_terms, word_count
 from ..operators.containment import locate_quotes
 from ..operators.lexical import document_frequency, lexical_hits, postings, retrieval_idf
@@ -161,9 +161,8 @@ def prose_clean(spark: SparkSession, folder: str) -> DataFrame:
     shown = turns.withColumn(
         "shown", F.when(F.col("role") == "assistant", F.concat("text", tail)).otherwise(F.col("text"))
     )
-    return shown.select(
-        "conv_id", "turn", has_artefact("shown").alias("artefact"), F.sha2(clean_prose("shown"), 256).alias("clean_sha")
-    )
+    judged = shown.select("conv_id", "turn", prose("shown").alias("prose"))
+    return judged.select("conv_id", "turn", "prose.artefact", F.sha2("prose.clean", 256).alias("clean_sha"))
 
 
 @query(
