@@ -60,10 +60,6 @@ def version_id(source, digest) -> Column:
     return F.concat_ws("@", _col(source), _col(digest))
 
 
-def observation_key(document, observation) -> Column:
-    return F.concat_ws(":", _col(document), _col(observation))
-
-
 def embedding_input(summary, summary_ko, subjects, boundary) -> Column:
     return F.concat_ws(
         "\n",

@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.keys import embedding_input, entity_key, input_hash, version_id
 from ..functions.text import word_list
 from ..operators.admission import admit, fresh_evidence, servable
-from ..operators.versions import corpus_digest, current_versions, deactivate_missing, foreign_key_errors, membership, zero_filled
+from ..operators.versions import corpus_digest, corpus_stats, current_versions, deactivate_missing, foreign_key_errors, membership
+from ..schemas import RIGHTS, SOURCE_TYPES
 from ..session import cut, load, scratch_path, spread
 from ..sources.store import append_versions, read_store, version_tables
 from .registry import query
 
-LANGUAGES = ["de", "en", "es", "fr", "it", "ko"]
-
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """Each labelled or unlabelled document as a nested source record.
@@ -120,26 +119,28 @@ def version_store(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def _options(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
 @query(
     "corpus_stats",
-    """WITH l AS (SELECT unnest(['de', 'en', 'es', 'fr', 'it', 'ko']) AS lang),
-      c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
-    SELECT 'documents' AS measure, '' AS value, count(*) AS n FROM documents
-    UNION ALL SELECT 'labelled', '', count(*) FROM documents SEMI JOIN labels USING (doc_id)
-    UNION ALL SELECT 'by_language', l.lang, coalesce(n, 0) FROM l LEFT JOIN c USING (lang)""",
+    f"""WITH d AS (SELECT CASE WHEN toxic = 1 THEN 'academic' ELSE 'criticism' END AS type, source,
+        CASE WHEN quality = 0 THEN 'open_license' ELSE 'restricted_excerpt' END AS rights FROM documents LEFT JOIN labels USING (doc_id)),
+      t AS (SELECT unnest({_options(SOURCE_TYPES)}) AS value), r AS (SELECT unnest({_options(RIGHTS)}) AS value)
+    SELECT unnest(['documents', 'passages', 'observations', 'evidence_links']) AS measure, '' AS value, count(*) AS n FROM d
+    UNION ALL SELECT 'films', '', count(DISTINCT source) FROM d
+    UNION ALL SELECT 'by_type', value, (SELECT count(*) FROM d WHERE type = value) FROM t
+    UNION ALL SELECT 'by_rights', value, (SELECT count(*) FROM d WHERE rights = value) FROM r""",
 )
-def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
-    docs = load(spark, folder, "documents", "doc_id", "lang")
-    labelled = docs.join(load(spark, folder, "labels", "doc_id"), "doc_id", "left_semi")
-    by_lang = zero_filled(docs.groupBy("lang").agg(F.count("*").alias("n")), "lang", LANGUAGES)
-
-    def total(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), F.lit("").alias("value"), "n")
-
-    return (
-        total(docs, "documents")
-        .unionByName(total(labelled, "labelled"))
-        .unionByName(by_lang.select(F.lit("by_language").alias("measure"), F.col("lang").alias("value"), "n"))
+def statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as source records, and what they hold, by type and by rights."""
+    rows = records(spark, folder).select(
+        "type", F.col("rights.mode").alias("rights_mode"), "films.key", "passages.id", "observations.passageIds"
+    )
+    return corpus_stats(
+        rows, rows.select(F.explode("id")), rows.select(F.explode("passageIds")),
+        rows.select(F.explode(F.flatten("passageIds"))), rows.select(F.explode("key").alias("key")),
     )
 
 

@@ -320,7 +320,6 @@ def test_cost_uses_first_matching_rate(spark):
     calls = [("gpt-5.4-mini-x", 1_000_000, 0, 0, 0), ("gpt-5.4", 1_000_000, 0, 1_000_000, 0), ("gpt-4.1-mini", 10, 0, 0, 1), ("other", 0, 1_000_000, 0, 0)]
     frame = spark.createDataFrame(calls, "model string, input_tokens bigint, output_tokens bigint, cached_tokens bigint, search_calls bigint")
     assert [round(r.usd, 6) for r in Q.estimate_cost(frame).collect()] == [0.75, 0.25, 0.013204, 0.6]
-    assert Q.rate_card(spark).count() == 6
 
 
 def test_explicit_claims_need_a_literal_passage(spark):
