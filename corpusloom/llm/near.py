@@ -4,18 +4,19 @@ A document's set holds its distinct shingles of five words. Documents with equal
 each of `TREES` independent trees a document goes down `ROOTS` branches, each named by one of its minwise tokens (the
 least shingle under a random function); a node holds the documents that share the tokens on its path. Nodes of up
 to `LEAF` documents are compared exhaustively on their full sets. Larger nodes branch again, by `BRANCHES` further
-tokens a level, unless all their documents are known to be connected already; what is still large at `DEPTH` is
-compared in tiles. Two documents of similarity 3/4 share none of the 12 roots with probability 0.25 ** 12, below
+tokens a level that the node selects, unless all their documents are known to be connected already; what is still
+large at `DEPTH` is compared in tiles. Two documents of similarity 3/4 share none of the 12 roots with probability 0.25 ** 12, below
 one in ten million; deeper levels lose a pair only where its nodes are large, and then independently per root.
 
 Links are confirmed on full sets, and a comparison returns a spanning star per group of linked documents instead of
 all pairs, which keeps every connection. Tree 0 goes first with its large nodes cut into blocks that share one
-leader, so that dense groups are connected by few comparisons; the other trees skip nodes within one component.
+leader, then the most linked document so found, so that dense groups are connected by few comparisons; after that,
+nodes within one component are skipped.
 
 Defined results: null and wordless texts have an empty set, link with nothing and are kept; with fewer than five
 words the whole sequence is the one shingle; repeated rows and equal doc_ids are ordinary copies, of which all rows
-with the smallest doc_id are kept; null doc_ids take the smallest id of their group, or null, and are then kept;
-extra columns are ignored; an empty table gives an empty result.
+with the smallest doc_id are kept; a null doc_id takes the smallest id of its group and is kept only if there is
+none; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,11 +34,16 @@ from . import scan
 SHINGLE = 5
 # Links have 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
-TREES, ROOTS, BRANCHES, DEPTH, LEAF = 3, 4, 2, 3, 128
-TOKENS = TREES * ROOTS + TREES * BRANCHES * (DEPTH - 1)
+TREES, ROOTS, BRANCHES, DEPTH = 3, 4, 2, 3
+# Documents compared exhaustively: in a leaf, and in a block of tree 0's first round.
+LEAF, BLOCK = 2048, 128
+# Tokens that one of the branches below the roots is selected from, by the node.
+CHOICE = 6
+TOKENS = TREES * ROOTS + BRANCHES * CHOICE
 
 _GRAM = [scan.coefficients(n, 100 + n) for n in range(SHINGLE + 1)]
 _MINWISE = scan.coefficients(TOKENS, 200)
+_STARS = "a binary, b binary, degree int"
 _SET = "doc_id {kind}, n_shingles long, key binary, text_key binary, tokens array<long>"
 
 
@@ -91,8 +97,8 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _linked(sets: list[np.ndarray]) -> list[list[int]]:
-    """Groups of two and more sets that links connect, by searching outwards from each set."""
+def _linked(sets: list[np.ndarray]) -> list[tuple[list[int], int, int]]:
+    """Groups of two and more sets that links connect, each with its most linked member and that one's links."""
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     size = np.array([len(s) for s in sets])
     starts = np.cumsum(size) - size
@@ -102,19 +108,21 @@ def _linked(sets: list[np.ndarray]) -> list[list[int]]:
         if not left[first]:
             continue
         left[first] = False
-        group, at = [first], 0
-        while at < len(group) and left.any():
+        group, at, hub, most = [first], 0, first, 0
+        while at < len(group):
             i = group[at]
             own = ids[starts[i] : starts[i] + size[i]]
             member[own] = True
             common = np.add.reduceat(member[ids], starts, dtype=np.int64)
             member[own] = False
-            link = left & (100 * common >= SIMILARITY * (size + size[i] - common))
+            link = 100 * common >= SIMILARITY * (size + size[i] - common)
+            if link.sum() - 1 > most:
+                hub, most = i, int(link.sum()) - 1
+            group += np.flatnonzero(left & link).tolist()
             left &= ~link
-            group += np.flatnonzero(link).tolist()
             at += 1
         if len(group) > 1:
-            groups.append(group)
+            groups.append((group, hub, most))
     return groups
 
 
@@ -124,13 +132,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def star() -> Iterator[pa.RecordBatch]:
         if len(sets) > 1:
-            a, b = [], []
-            for group in _linked(sets):
-                names = sorted(keys[i] for i in group)
-                a += [names[0]] * (len(names) - 1)
-                b += names[1:]
+            a, b, n = [], [], []
+            for group, hub, most in _linked(sets):
+                others = [keys[i] for i in group if keys[i] != keys[hub]]
+                a += [keys[hub]] * len(others)
+                b += others
+                n += [most] * len(others)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                columns = [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "degree"])
 
     for batch in batches:
         nodes, names = batch.column("node").to_pylist(), batch.column("key").to_pylist()
@@ -145,13 +155,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(tasks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Confirmed links (a, b), a the least key of its group, from (node, key) rows; equal nodes are compared once."""
+    """Stars (a, b, degree) of confirmed groups, a the most linked, from (node, key) rows; equal nodes count once."""
     alike = tasks.groupBy("node").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
     ).where("n > 1").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
     rows = join_back(tasks, alike, ["node"], "left_semi")
     rows = join_back(rows, texts, ["key"])
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_compare, "a binary, b binary").distinct()
+    found = rows.repartition("node").sortWithinPartitions("node").mapInArrow(_compare, _STARS)
+    return found.groupBy("a", "b").agg(F.max("degree").alias("degree"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,7 +179,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = links.union(links.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = join_back(both, least, ["u"]).where("v > u AND v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = large.distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = join_back(large, low, ["hi"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         links = _stored(small.union(low.select("hi", "m")).distinct(), "links")
@@ -181,12 +191,20 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def _children(rows: DataFrame, tokens: DataFrame, places: range) -> DataFrame:
-    """(node, key) one level down: a branch for every token at `places`."""
-    with_tokens = join_back(rows, tokens, ["key"]) if "node" in rows.columns else tokens
-    parent = F.col("node") if "node" in rows.columns else F.lit(0).cast("long")
-    branches = F.array(*(F.xxhash64(parent, F.lit(i), F.get("tokens", F.lit(i))) for i in places))
-    return with_tokens.select(F.explode(branches).alias("node"), "key")
+def _roots(tokens: DataFrame, places: range) -> DataFrame:
+    """(node, key) of the branches at the root, one for every token at `places`."""
+    nodes = F.array(*(F.xxhash64(F.lit(i), F.get("tokens", F.lit(i))) for i in places))
+    return tokens.select(F.explode(nodes).alias("node"), "key")
+
+
+def _children(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(node, key) one level down. The node selects its branches' tokens, so the ways below different roots differ."""
+
+    def branch(j: int):
+        place = TREES * ROOTS + j * CHOICE + F.pmod(F.xxhash64("node", F.lit(j)), F.lit(CHOICE)).cast("int")
+        return F.xxhash64("node", place, F.get("tokens", place))
+
+    return join_back(rows, tokens, ["key"]).select(F.explode(F.array(*map(branch, range(BRANCHES)))).alias("node"), "key")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -208,12 +226,14 @@ def _open(rows: DataFrame, known: DataFrame) -> DataFrame:
     return join_back(rows, nodes, ["node"])
 
 
-def _blocks(big: DataFrame) -> DataFrame:
-    """Large nodes cut into blocks of about half a leaf, the node's least document in each of them."""
-    count = F.ceil(F.col("n") * 2 / LEAF)
+def _blocks(big: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Large nodes cut into blocks of about half of BLOCK, with the node's leader (node, key) in each of them."""
+    count = F.ceil(F.col("n") * 2 / BLOCK)
     block = big.withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), count))
-    leader = big.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"))
-    leader = leader.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    sizes = big.groupBy("node").agg(F.first("n").alias("n"))
+    leader = join_back(leaders, sizes, ["node"]).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    )
     return block.select("node", "block", "key").union(leader.select("node", "block", "key")).distinct().select(
         F.xxhash64("node", "block").alias("node"), "key"
     )
@@ -248,6 +268,17 @@ def _union(spark: SparkSession, frames: list[DataFrame], schema: str) -> DataFra
     return out
 
 
+def _labels(stars: DataFrame) -> DataFrame:
+    """(key, component) such that equal components mean connected sets; cheaper than, and coarse beside, `components`.
+
+    Every set takes the best linked centre of its stars, and then that centre's own centre.
+    """
+    both = stars.select(F.col("b").alias("key"), "a", "degree").union(stars.select(F.col("a").alias("key"), "a", "degree"))
+    centre = _stored(both.groupBy("key").agg(F.max(F.struct("degree", "a"))["a"].alias("component")), "labels")
+    further = centre.toDF("component", "further")
+    return join_back(centre, further, ["component"], "left").select("key", F.coalesce("further", "component").alias("component"))
+
+
 def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(key, component) of the sets that are linked with another set."""
     spark = docs.sparkSession
@@ -258,7 +289,7 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
         "reps",
     )
     tokens = reps.select("key", "tokens")
-    roots = _stored(_sized(_children(tokens, tokens, range(TREES * ROOTS)).distinct()), "roots")
+    roots = _stored(_sized(_roots(tokens, range(TREES * ROOTS)).distinct()), "roots")
     # Texts of all documents that share a node, once each.
     wanted = if_small(
         join_back(reps.select("key", "text_key"), roots.select("key").distinct(), ["key"], "left_semi")
@@ -270,14 +301,18 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
         "texts",
     )
 
-    first = _children(tokens, tokens, range(ROOTS))
+    first = _roots(tokens, range(ROOTS))
     first = join_back(roots, first.select("node").distinct(), ["node"], "left_semi")
-    small, big = first.where(F.col("n") <= LEAF), first.where(F.col("n") > LEAF)
-    found = _stored(_edges(small.select("node", "key").union(_blocks(big)), texts), "edges")
-    # Sets with a common label are connected; the full components wait for all edges.
-    known = found.select("b", "a").union(found.select("a", "a")).toDF("key", "a").groupBy("key").agg(
-        F.min("a").alias("component")
+    small, big = first.where(F.col("n") <= BLOCK), first.where(F.col("n") > BLOCK)
+    least = big.groupBy("node").agg(F.min("key").alias("key"))
+    found = _stored(_edges(small.select("node", "key").union(_blocks(big, least)), texts), "edges")
+    # In a dense group some member, such as the text that all others were made from, links with nearly all of it.
+    # Its block shows it by its number of links; as leader of all blocks it then connects the group.
+    hubs = join_back(big.select("node", "key"), found.withColumnRenamed("b", "key"), ["key"]).groupBy("node").agg(
+        F.max(F.struct("degree", "a"))["a"].alias("key")
     )
+    found = found.union(_stored(_edges(_blocks(big, hubs), texts), "edges"))
+    known = _labels(found)
 
     rows, tasks = roots.select("node", "key"), []
     for level in range(1, DEPTH + 1):
@@ -289,9 +324,7 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
         if level == DEPTH:
             tasks.append(_tiles(big, known))
             break
-        # Further tokens are those of the level; the path in the node's name keeps the trees apart.
-        low = TREES * ROOTS + (level - 1) * TREES * BRANCHES
-        rows = _children(big.select("node", "key"), tokens, range(low, low + BRANCHES))
+        rows = _children(big.select("node", "key"), tokens)
     more = _edges(_union(spark, tasks, "node long, key binary"), texts)
     return components(found.union(more))
 
@@ -329,9 +362,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     texts = join_back(sets.where("key IS NOT NULL").select("doc_id", "key", "text_key"), ids, ["key"])
     crowded = texts.groupBy("text_key").agg(
         F.min("component_id").alias("_component"), F.max("doc_id").alias("high"), F.count("*").alias("n")
-    ).where("high <> _component OR (n > 1 AND high IS NOT NULL)").select(F.col("text_key").alias("_text_key"), "_component")
-    held = docs.withColumn("_text_key", F.unhex(F.md5("text")))
+    ).where("n > 1 OR NOT (high <=> _component)").select(F.col("text_key").alias("_text_key"), "_component")
+    held = docs.select(
+        *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").alias("_doc_id"),
+        F.unhex(F.md5("text")).alias("_text_key"),
+    )
     small = if_small(_stored(crowded, "crowded"))
     return held.join(small, "_text_key", "left").where(
-        F.col("_component").isNull() | F.coalesce(F.col("doc_id") == F.col("_component"), F.lit(False))
-    ).select(*(F.col(f"`{c}`") for c in docs.columns))
+        F.col("_component").isNull() | F.coalesce(F.col("_doc_id") == F.col("_component"), F.lit(False))
+    ).select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -79,6 +79,7 @@ def test_substring_is_the_same_with_a_full_sketch(docs, monkeypatch):
 def test_near_duplicates(docs, none, monkeypatch, leaf):
     """Also with leaves so small that nodes branch, are cut into blocks and end in tiles."""
     monkeypatch.setattr(near, "LEAF", leaf)
+    monkeypatch.setattr(near, "BLOCK", leaf)
     got = near.near_duplicates(docs).collect()
     want = []
     for (name, _), (n, low) in zip(ROWS, plain.classes(ROWS)):
