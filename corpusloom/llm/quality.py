@@ -208,5 +208,10 @@ def accepted(docs: DataFrame) -> DataFrame:
     rows = docs.sparkSession.read.schema(", ".join(f"q_{s} long" for s in SIGNALS)).parquet(path)
     # Under other names no column of the documents can clash with a signal.
     held = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)), "text")
-    kept = signals(held).where(verdict(estimate(rows)))
+    found = F.struct(*(F.col(f"q_{s}") for s in SIGNALS))
+    # A generator keeps the filter above the signals; pushed below, it would repeat their expressions for every vote.
+    apart = signals(held).select(
+        *(f"__c{i}" for i in range(len(docs.columns))), F.explode_outer(F.array(found)).alias("q")
+    ).select("*", "q.*")
+    kept = apart.where(verdict(estimate(rows)))
     return kept.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))
