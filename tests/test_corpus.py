@@ -352,7 +352,8 @@ def test_batch_limits(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(M, "BATCH_ROWS", 4)
     M.write_batch_requests(many, str(tmp_path / "rows"))
     files = [f for f in (tmp_path / "rows").iterdir() if f.name.startswith("part-")]
-    assert sorted(len(f.read_text().splitlines()) for f in files) == [2, 4, 4]
+    sizes = sorted(len(f.read_text().splitlines()) for f in files)
+    assert [n for n in sizes if n] == [2, 4, 4]  # an empty partition leaves an empty file
     monkeypatch.setattr(M, "BATCH_BYTES", 10)
     with pytest.raises(ValueError):
         M.write_batch_requests(lines, str(tmp_path / "no"))
