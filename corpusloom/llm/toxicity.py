@@ -125,26 +125,26 @@ class Lexicon(NamedTuple):
 
 def learn_lexicon(texts: pa.Array, toxic: np.ndarray) -> Lexicon:
     """Entries that toxic documents hold clearly more often, by the number of documents."""
-    found: list[list[np.ndarray]] = [[] for _ in range(1 + len(BEGINNINGS))]
-    label: list[list[np.ndarray]] = [[] for _ in range(1 + len(BEGINNINGS))]
+    kinds = range(1 + len(BEGINNINGS))
+    found = [(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0)) for _ in kinds]  # key, toxic, other documents
     done = 0
     for t in tokens(texts):
         n = len(t.bounds) - 1
-        for kind, keys in enumerate(t.keys):
-            for i in range(n):
-                own = np.unique(keys[t.bounds[i] : t.bounds[i + 1]])
-                own = own[own != 0]
-                found[kind].append(own)
-                label[kind].append(np.full(len(own), toxic[done + i]))
+        own_label = toxic[done : done + n]
+        for kind in kinds:
+            own = [np.unique(t.keys[kind][t.bounds[i] : t.bounds[i + 1]]) for i in range(n)]
+            label = np.repeat(own_label, [len(k) for k in own]).astype(np.float64)
+            # Counts are merged part by part, so what is held is the distinct keys and not their occurrences.
+            key, inverse = np.unique(np.concatenate([found[kind][0], *own]), return_inverse=True)
+            bad = np.bincount(inverse, weights=np.concatenate([found[kind][1], label]), minlength=len(key))
+            good = np.bincount(inverse, weights=np.concatenate([found[kind][2], 1 - label]), minlength=len(key))
+            found[kind] = key, bad, good
         done += n
     positive, negative = toxic.sum(), len(toxic) - toxic.sum()
     all_keys, all_weights = [], []
-    for own, is_toxic in zip(found, label):
-        key, inverse = np.unique(np.concatenate(own), return_inverse=True)
-        bad = np.bincount(inverse, weights=np.concatenate(is_toxic), minlength=len(key))
-        good = np.bincount(inverse, minlength=len(key)) - bad
+    for key, bad, good in found:
         weight = np.log((bad + 0.5) / (positive + 1)) - np.log((good + 0.5) / (negative + 1))
-        use = np.flatnonzero((bad >= LEAST_SEEN) & (weight >= LEAST_WEIGHT))
+        use = np.flatnonzero((bad >= LEAST_SEEN) & (weight >= LEAST_WEIGHT) & (key != 0))
         use = np.sort(use[np.argsort(-(weight * bad)[use], kind="stable")[:LEXICON]])
         all_keys.append(key[use])
         all_weights.append(weight[use])
@@ -325,7 +325,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> Model | f
         .toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     )
     part = np.searchsorted([4, 8], found.column("part").to_numpy(), side="right")
-    return train(found.column("text").combine_chunks(), found.column("toxic").to_numpy(), part)
+    model = train(found.column("text").combine_chunks(), found.column("toxic").to_numpy(), part)
+    del found
+    pa.default_memory_pool().release_unused()  # the driver gives the sample's memory back
+    return model
 
 
 def _score(shared):
