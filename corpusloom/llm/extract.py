@@ -3,7 +3,9 @@
 Blocks are the runs of text between the bounds of block elements. A block gives points for its length and commas,
 discounted by the share of its text inside links: all of them to its parent container, half to the next, then a
 sixth, and so on. The container with the most points, again discounted by link density, is the best; if an
-`article` or `main` holds it, that is taken. Its blocks are kept, and those of its siblings that score themselves.
+`article` or `main` holds it, that is taken; otherwise it is widened to the common ancestor of all containers outside it
+that have a quarter of its points, as an article may be spread over wrapped sections. Its blocks are kept, and those of
+the sections beside it or beside one of its ancestors that score themselves.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are never part of
 the tree; they are known by element, role, or word in class and id.
 
@@ -57,6 +59,7 @@ _CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr"
                   "th": ("tr", "table"), "option": ("select",)}
 _SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 _P_SCOPE = frozenset("table td th button object template caption html".split())
+_SHARE = 0.25  # of the most points, from which on a container is a part of the article wherever it stands
 
 
 def _noise(tag: str, rest: str, inside_article: bool) -> bool:
@@ -83,11 +86,15 @@ def _noise(tag: str, rest: str, inside_article: bool) -> bool:
     return False
 
 
+def _classes(rest: str) -> list[str]:
+    return sorted(c for name, *values in _ATTRIBUTE.findall(rest) if name.lower() == "class" for v in values for c in v.split())
+
+
 class _Page:
     """Elements as parallel lists, and the blocks of text under them."""
 
     def __init__(self):
-        self.tag, self.parent = ["#root"], [-1]
+        self.tag, self.parent, self.rest = ["#root"], [-1], [""]
         self.stack = [0]
         self.skip: list[int] = []  # open elements that are dropped
         self.links = 0
@@ -141,6 +148,7 @@ class _Page:
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(self.stack[-1])
+        self.rest.append(rest)
         if not self.skip and _noise(tag, rest, self.article > 0):
             self.skip.append(node)
         self.stack.append(node)
@@ -202,8 +210,11 @@ def main_text(source: str | None) -> str:
     chars: dict[int, int] = {}
     linked: dict[int, float] = {}
 
+    def worth_of(text: str, density: float) -> float:
+        return (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - density)
+
     for owner, text, density in page.blocks:
-        worth = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - density)
+        worth = worth_of(text, density)
         node = owner
         while node > 0 and page.tag[node] not in _CONTAINERS:
             node = page.parent[node]
@@ -226,41 +237,73 @@ def main_text(source: str | None) -> str:
     if not points:
         return "\n".join(text for _, text, density in page.blocks if density < 0.5)
     best = max(points, key=lambda n: (score(n), -n))
-    least = score(best)
+    least, core, held = score(best), best, False
     node = best
     while node > 0:
         if page.tag[node] in ("article", "main"):
-            best = node
+            best, held = node, True
             if page.tag[node] == "article":
                 break
         node = page.parent[node]
 
+    def path(node: int) -> list[int]:
+        nodes = []
+        while node > 0:
+            nodes.append(node)
+            node = page.parent[node]
+        return nodes
+
+    # Parents have smaller numbers, so the common ancestor is reached by climbing from the larger one.
+    core = best if held else core
+    above = set(path(core))
+    if not held:
+        for node in points:
+            if node not in above and linked[node] < 0.25 * chars[node] and score(node) >= _SHARE * least:
+                while node != best:
+                    if node > best:
+                        node = page.parent[node]
+                    else:
+                        best = page.parent[best]
+    around = {0, *path(best)[1:]} if best else set()
+    # The most points of any container in a section: wrappers have less than what they wrap.
+    peak: dict[int, float] = {}
+    for node in points:
+        worth = score(node)
+        while node > 0 and peak.get(node, -1.0) < worth:
+            peak[node] = worth
+            node = page.parent[node]
+    whole = held or best == 0 or page.tag[best] == "body"
+    bound = max(2.0, 0.05 * least)
+    peers = {page.parent[node]: node for node in path(best)}
+
     def belongs(node: int) -> bool:
-        """Whether a sibling of the best container is article too."""
-        if page.tag[best] in ("article", "main", "body") or not chars.get(node):
+        """Whether a section beside the best container or an ancestor of it is article too."""
+        if whole or not chars.get(node):
             return False
         dense = linked[node] / chars[node]
         if page.tag[node] in ("h1", "h2", "h3"):
             return dense < 0.5
         if page.tag[node] == "p":
             return dense < 0.25
-        return dense < 0.25 and score(node) >= max(2.0, 0.05 * least)
+        peer = peers[page.parent[node]]
+        alike = page.tag[node] == page.tag[peer] and _classes(page.rest[node]) == _classes(page.rest[peer]) != []
+        return dense < 0.25 and (alike or peak.get(node, 0.0) >= bound)
 
-    around = page.parent[best]
     chosen: dict[int, bool] = {}
     kept = []
     for owner, text, density in page.blocks:
-        top, under, menu = owner, False, False
-        while top > 0:
-            if top == best:
-                under = True
-                break
-            # A list of nothing but links is a menu wherever it stands.
+        top, menu, links = owner, False, False
+        while top > 0 and top != best and top not in around and page.parent[top] not in around:
+            # A list of nothing but links is a menu wherever it stands, and so is a section of links outside the core.
             menu |= page.tag[top] in ("ul", "ol") and linked[top] >= 0.9 * chars[top] and linked[top] > 0
-            if page.parent[top] == around:
-                break
+            links = top not in above and (links or (page.tag[top] in _CONTAINERS and linked[top] >= 0.5 * chars[top]))
             top = page.parent[top]
-        if not under and top > 0 and page.parent[top] == around:
+        if top == best:
+            under = not links or core == best
+        elif top in around:
+            under = not whole and density < 0.25 and worth_of(text, density) >= bound
+        else:
+            menu |= page.tag[top] in ("ul", "ol") and linked[top] >= 0.9 * chars[top] and linked[top] > 0
             if top not in chosen:
                 chosen[top] = belongs(top)
             under = chosen[top]

@@ -56,6 +56,33 @@ def test_extracted_pages_hold_every_paragraph_of_the_article(spark):
         assert extract.main_text(r["html"]) == "\n".join(" ".join(p.split()) for p in parts if p.split())
 
 
+def _paragraph(i: int, j: int) -> str:
+    return f"Section {i}, paragraph {j}, with some words, a comma or two, and a sentence that goes on for a while."
+
+
+@pytest.mark.parametrize("sizes", [(3, 3), (2, 5), (12, 1), (4, 2, 7), (1, 1, 1, 1), (9, 3, 1, 5, 2)])
+@pytest.mark.parametrize("section", [
+    "<div class=row><div class=col>{}</div></div>", "<div><div><div>{}</div></div></div>", "<section><div class='inner x'>{}</div></section>",
+])
+def test_article_over_wrapped_sections(sizes, section):
+    parts = [[_paragraph(i, j) for j in range(n)] for i, n in enumerate(sizes)]
+    body = "".join(section.format("".join(f"<p>{p}</p>" for p in ps)) for ps in parts)
+    menu = "<div><div><a href=/a>One place, here</a> <a href=/b>Another place, there</a></div></div>"
+    whole = "\n".join(p for ps in parts for p in ps)
+    for page in (
+        f"<body><header><p>Site, name</header><nav><ul><li><a href=/>Home</a></ul></nav><div class=page>{body}</div><footer>x</footer>",
+        f"<html><body>{menu}{body}<footer>© x</footer></body></html>", body,
+        f"<body><div class=outer>{menu}<div class=page>{body}</div></div><aside>Side, text, of, some, length</aside>",
+    ):
+        assert extract.main_text(page) == whole
+
+
+def test_section_with_little_text_is_kept_beside_its_like():
+    long = "".join(f"<p>{_paragraph(0, j)}</p>" for j in range(9))
+    page = f"<body><div><div class='row a'><div>{long}</div></div><div class='a row'><div><p>The end.</p></div></div></div>"
+    assert extract.main_text(page).splitlines()[-1] == "The end."
+
+
 def turns(seed: int = 2):
     draw = random.Random(seed)
     odd = ["\\", "<", "</turn>", "\n", "é", "漢🙂", "<turn user>", ">", "ok ", "\\<", "### Assistant:"]
