@@ -7,7 +7,10 @@ sixth, and so on. The container with the most points, again discounted by link d
 that have a quarter of its points, as an article may be spread over wrapped sections. Its blocks are kept, and those of
 the sections beside it or beside one of its ancestors that score themselves.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are never part of
-the tree; they are known by element, role, or word in class and id.
+the tree; they are known by element, role, or word in class and id. A word alone does not drop an `article` or an
+element with itemprop articleBody, nor one that the points show to hold the article: most of the page's points where
+layouts use the word too (widget, share, ...), for other words ten times what any container outside has, and for
+comments only where no container outside has three points. Where words leave nothing scored, they do not count.
 
 Defined results: null, empty or textless html gives the empty string; `<br>` is white space; white space is that of
 Unicode; unclosed and misnested elements are closed as browsers do; repeated rows are extracted each for itself;
@@ -52,6 +55,12 @@ _NOISE = frozenset(
     "paywall popup promo promotion recommended related respond share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+# Words that layouts also give to what holds the article; the others name the kinds that are never part of it.
+_VAGUE = frozenset(
+    "alert dialog legal modal notice notification overlay paywall popup promo promotion share sharing skip social "
+    "subscription teaser widget widgets".split()
+)
+_REPLIES = frozenset("comment comments commentlist disqus respond".split())
 _LAYOUT = frozenset("has no with without".split())
 _NAME = re.compile(r"[a-z0-9]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -62,14 +71,15 @@ _P_SCOPE = frozenset("table td th button object template caption html".split())
 _SHARE = 0.25  # of the most points, from which on a container is a part of the article wherever it stands
 
 
-def _noise(tag: str, rest: str, inside_article: bool) -> bool:
-    """Whether an element and all in it are no part of the article."""
+def _noise(tag: str, rest: str, inside_article: bool) -> bool | set[str]:
+    """Whether an element and all in it are no part of the article, or the words by which it seems so."""
     if tag in _DROPPED:
         return True
     if tag == "header" and not inside_article:
         return True
     if not rest or tag in ("html", "body", "main"):
         return False
+    found, body = set(), tag == "article"
     for name, *values in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -78,12 +88,14 @@ def _noise(tag: str, rest: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in _DROPPED_ROLES:
             return True
+        if name == "itemprop":
+            body |= "articlebody" in value.lower().split()
         if name in ("class", "id"):
             for part in value.split():
                 words = _NAME.findall(_HUMP.sub(" ", part).lower())
                 if _NOISE.intersection(words) and not _LAYOUT.intersection(words):
-                    return True
-    return False
+                    found.update(_NOISE.intersection(words))
+    return False if body else found
 
 
 def _classes(rest: str) -> list[str]:
@@ -93,7 +105,10 @@ def _classes(rest: str) -> list[str]:
 class _Page:
     """Elements as parallel lists, and the blocks of text under them."""
 
-    def __init__(self):
+    def __init__(self, spared: frozenset[int] | None):
+        self.spared = spared  # elements that are kept whatever their name; all for None
+        self.named: list[tuple[int, set[str]]] = []  # elements with a name of noise, outside of what is dropped
+        self.lost = 0.0  # at least the points of all text dropped by name
         self.tag, self.parent, self.rest = ["#root"], [-1], [""]
         self.stack = [0]
         self.skip: list[int] = []  # open elements that are dropped
@@ -149,8 +164,11 @@ class _Page:
         self.tag.append(tag)
         self.parent.append(self.stack[-1])
         self.rest.append(rest)
-        if not self.skip and _noise(tag, rest, self.article > 0):
-            self.skip.append(node)
+        if not self.skip and (noise := _noise(tag, rest, self.article > 0)):
+            if noise is not True:
+                self.named.append((node, noise))
+            if noise is True or (self.spared is not None and node not in self.spared):
+                self.skip.append(node)
         self.stack.append(node)
         self.links += tag == "a"
         self.article += tag in ("article", "main")
@@ -174,10 +192,12 @@ class _Page:
             self.text.append(text)
             if self.links:
                 self.linked += len(" ".join(text.split()))
+        elif raw and self.named and self.skip[0] == self.named[-1][0] and not raw.isspace():
+            self.lost += raw.count(",") + (0.0 if self.links else 1 + min(len(raw) / 100, 3.0))
 
 
-def _parse(source: str) -> _Page:
-    page, at = _Page(), 0
+def _parse(source: str, spared: frozenset[int] | None = frozenset()) -> _Page:
+    page, at = _Page(spared), 0
     while True:
         found = _TOKEN.search(source, at)
         if found is None:
@@ -199,22 +219,93 @@ def _parse(source: str) -> _Page:
     return page
 
 
+def _worth(text: str, density: float) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - density)
+
+
+def _most(page: _Page) -> float:
+    """The most points that a container has from its own blocks."""
+    own: dict[int, float] = {}
+    for node, text, density in page.blocks:
+        while node > 0 and page.tag[node] not in _CONTAINERS:
+            node = page.parent[node]
+        own[node] = own.get(node, 0.0) + _worth(text, density)
+    return max(own.values(), default=0.0)
+
+
+def _judged(source: str) -> _Page:
+    """The page without what is noise by name, but for elements whose points show that the article is in them."""
+    page = _parse(source)
+    kept = sum(_worth(text, density) for _, text, density in page.blocks)
+    if page.lost <= min(kept, 10 * _most(page)):
+        return page
+    # Elements have the same numbers whatever is dropped.
+    bare = _parse(source, None)
+    named = dict(bare.named)
+    held, clear = dict.fromkeys([0, *named], 0.0), dict.fromkeys([0, *named], 0.0)
+    groups: dict[str, float] = {}
+    for owner, text, density in bare.blocks:
+        worth, node, holders, words = _worth(text, density), owner, [0], set()
+        while node > 0:
+            if node in named:
+                holders.append(node)
+                words |= named[node]
+            node = bare.parent[node]
+        for node in holders:
+            held[node] += worth
+        if words <= _VAGUE:
+            for node in holders:
+                clear[node] += worth
+            for word in words:
+                groups[word] = groups.get(word, 0.0) + worth
+
+    def outweighs(node: int, left: float) -> bool:
+        """Whether an element with the name of a kind that is no article is one beside so few points elsewhere."""
+        return not named[node] <= _VAGUE and left < min(3.0 if named[node] & _REPLIES else held[node], 0.1 * held[node])
+
+    vague = {n for n, words in named.items() if words <= _VAGUE}
+    spared: set[int] = set()
+    rival = max([_most(page), *(clear[v] for v in vague)])
+    if not any(outweighs(n, rival) for n, _ in page.named):
+        spared = {n for n in vague if clear[n] > clear[0] / 2}
+        if not spared:
+            common = {word for word, worth in groups.items() if worth > clear[0] / 2}
+            spared = {n for n in vague if named[n] & common}
+        if spared:
+            page = _parse(source, frozenset(spared))
+    while True:
+        left, dropped = _most(page), {n for n, _ in page.named if n not in spared}
+        more = {n for n in dropped if outweighs(n, left)}
+        if left == 0:
+            most = max((held[n] for n in more), default=0.0)
+            more = {n for n in dropped & vague if 0 < held[n] >= most} or more
+        if not more:
+            return page
+        more = {n for n in more if held[n] >= _SHARE * max(held[m] for m in more)}
+        # What holds nearly all of a spared element is spared with it.
+        for node in named:
+            outer = bare.parent[node]
+            while outer > 0 and outer not in more:
+                outer = bare.parent[outer]
+            if outer > 0 and held[node] > 0.9 * held[outer]:
+                spared.add(node)
+        spared |= more
+        page = _parse(source, frozenset(spared))
+
+
 def main_text(source: str | None) -> str:
     """The blocks of the article, one a line."""
     if not source:
         return ""
-    page = _parse(source)
+    page = _judged(source)
     if not page.blocks:
         return ""
     points: dict[int, float] = {}
     chars: dict[int, int] = {}
     linked: dict[int, float] = {}
 
-    def worth_of(text: str, density: float) -> float:
-        return (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - density)
-
     for owner, text, density in page.blocks:
-        worth = worth_of(text, density)
+        worth = _worth(text, density)
         node = owner
         while node > 0 and page.tag[node] not in _CONTAINERS:
             node = page.parent[node]
@@ -301,7 +392,7 @@ def main_text(source: str | None) -> str:
         if top == best:
             under = not links or core == best
         elif top in around:
-            under = not whole and density < 0.25 and worth_of(text, density) >= bound
+            under = not whole and density < 0.25 and _worth(text, density) >= bound
         else:
             menu |= page.tag[top] in ("ul", "ol") and linked[top] >= 0.9 * chars[top] and linked[top] > 0
             if top not in chosen:

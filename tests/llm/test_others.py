@@ -83,6 +83,48 @@ def test_section_with_little_text_is_kept_beside_its_like():
     assert extract.main_text(page).splitlines()[-1] == "The end."
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div class='elementor-widget-container'>{}</div>", "<article class='post tag-social'>{}</article>", "<div id='share-wrapper'>{}</div>",
+    "<div class=related-posts><div class=content>{}</div></div>", "<section class='comments-open'>{}</section>",
+    "<div class='widget'><div class='widget-inner share'><p></p>{}</div></div>", "<div itemprop='text articleBody' class=promo>{}</div>",
+    "<div class='page legal'><div class=row><div class=col>{}</div></div></div>",
+])
+def test_name_of_noise_does_not_drop_the_article(wrapper):
+    parts = [_paragraph(1, j) for j in range(7)]
+    body = "".join(f"<p>{p}</p>" for p in parts)
+    share = "<div class=share><a href=x>Share this, now</a></div>"
+    extra = "<div class='cookie-notice'><p>We use cookies, many, of them, always.</p></div><div class=widget><p>Recent, posts</p></div>"
+    for page in (
+        wrapper.format(body), f"<body>{wrapper.format(share + body)}{extra}</body>",
+        f"<body><div>Site</div>{extra}<div class=wrap>{wrapper.format(body + share)}</div><div class=footer><p>x, y</p></div></body>",
+    ):
+        text = extract.main_text(page).split("\n")
+        assert [p for p in text if p != "Site"] == parts
+
+
+def test_article_in_many_widgets():
+    parts = [_paragraph(i, 0) for i in range(6)]
+    body = "".join(f"<div class='elementor-widget'><div class='elementor-widget-container'><p>{p}</p></div></div>" for p in parts)
+    assert extract.main_text(f"<body><div><p>Site</p></div><div class=page>{body}</div></body>").split("\n")[-6:] == parts
+
+
+@pytest.mark.parametrize("noise", ["<section id=comments>{}</section>", "<ol class=commentlist><li class=comment>{}</ol>"])
+def test_long_comments_are_no_article(noise):
+    parts = [_paragraph(0, j) for j in range(2)]
+    replies = noise.format("".join(f"<p>{_paragraph(9, j)}</p>" for j in range(60)))
+    page = "<body><div class={}>" + "".join(f"<p>{p}</p>" for p in parts) + f"</div>{replies}</body>"
+    for name in ("content", "elementor-widget-container"):
+        assert extract.main_text(page.format(name)).split("\n") == parts
+
+
+def test_nested_names_of_noise_take_no_long_time():
+    import time
+
+    before = time.process_time()
+    assert extract.main_text("<div class=widget>" * 300 + "<p>text, a</p>" + "<div class=comment>a, b" * 300).startswith("text, a")
+    assert time.process_time() - before < 10
+
+
 def turns(seed: int = 2):
     draw = random.Random(seed)
     odd = ["\\", "<", "</turn>", "\n", "é", "漢🙂", "<turn user>", ">", "ok ", "\\<", "### Assistant:"]
