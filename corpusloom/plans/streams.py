@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import version_id
-from ..streaming.flows import MAX_SEEN, ingest, latency_windows, orphans, progress, seen_films, share_requests
-from ..streaming.runner import append, event_time, file_stream, upsert
+from ..streaming.flows import MAX_SEEN, ingest, latency_windows, latest_progress, orphans, seen_films, share_requests
+from ..streaming.runner import append, event_time, file_stream
 from .registry import query
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    return event_time(file_stream(spark, folder, "events"))
+def events(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    return event_time(file_stream(spark, folder, "events", files))
 
 
 def _utc(column: str):
@@ -34,10 +34,10 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour FROM events")
-def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+def stream_dedupe(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
     """A user's requests of one kind share their work within the hour."""
-    keyed = events(spark, folder).select("ts", "user_id", "event_type", F.date_trunc("hour", "ts").alias("h"))
-    shared = append(share_requests(keyed, ["user_id", "event_type", "h"], "1 hour"), "dedupe")
+    keyed = events(spark, folder, files).select("ts", "user_id", "event_type", F.date_trunc("hour", "ts").alias("h"))
+    shared = share_requests(keyed, ["user_id", "event_type", "h"], "1 hour")
     return shared.select("user_id", "event_type", _utc("h").alias("hour"))
 
 
@@ -47,11 +47,11 @@ def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS started, event_type, count(*) AS attempts, count(*) FILTER (ok) AS successes, count(*) FILTER (ok AND ms <= 20000) AS within_target,
       quantile_disc(ms, 0.5) FILTER (ok) AS p50_ms, quantile_disc(ms, 0.95) FILTER (ok) AS p95_ms FROM r GROUP BY d, event_type""",
 )
-def stream_latency(spark: SparkSession, folder: str) -> DataFrame:
-    runs = events(spark, folder).select(
+def stream_latency(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    runs = events(spark, folder, files).select(
         "ts", "event_type", (F.get_json_object("props", "$.k").cast("int") < 90).alias("ok"), F.round(F.col("value") * 100).cast("bigint").alias("elapsed_ms")
     )
-    latest = upsert(latency_windows(runs, "1 hour", "1 day", "event_type"), ["span", "event_type"], "latency")
+    latest = latency_windows(runs, "1 hour", "1 day", "event_type")
     return latest.select(_utc("span.start").alias("started"), "event_type", "attempts", "successes", "within_target", "p50_ms", "p95_ms")
 
 
@@ -60,11 +60,11 @@ def stream_latency(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS started, user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS stage,
       count(*) AS steps, count(*) FILTER (event_type IN ('purchase', 'error')) AS terminal_steps FROM events GROUP BY 1, 2""",
 )
-def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
-    steps = events(spark, folder).select(
+def stream_progress(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    steps = events(spark, folder, files).select(
         "ts", F.col("event_id").alias("seq"), "user_id", F.col("event_type").alias("stage"), F.col("event_type").isin("purchase", "error").alias("terminal")
     )
-    latest = upsert(progress(steps, "user_id", "1 hour"), ["span", "user_id"], "progress")
+    latest = latest_progress(steps, "user_id", "1 hour")
     return latest.select(_utc("span.start").alias("started"), "user_id", "stage", "steps", "terminal_steps")
 
 
@@ -85,7 +85,7 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS abandoned, count(*) AS steps
     FROM g GROUP BY user_id, s HAVING NOT bool_or(event_type IN ('purchase', 'error')) AND max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
-def stream_orphans(spark: SparkSession, folder: str) -> DataFrame:
-    steps = events(spark, folder).select("ts", "user_id", F.col("event_type").isin("purchase", "error").alias("terminal"))
-    lost = append(orphans(steps, "user_id", "1 hour", "6 hours"), "orphans")
+def stream_orphans(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    steps = events(spark, folder, files).select("ts", "user_id", F.col("event_type").isin("purchase", "error").alias("terminal"))
+    lost = orphans(steps, "user_id", "1 hour", "6 hours")
     return lost.select("user_id", _utc("started").alias("started"), _utc("abandoned").alias("abandoned"), "steps")

@@ -5,16 +5,20 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.evaluation import TARGET_MS
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from ..sources.store import _exists
+from .runner import gather
 
 # How long a result is shared, how long abandoned work lives, films a path may show.
 SHARE = "60 seconds"
 ORPHAN_GAP = "5 seconds"
 MAX_SEEN = 5_000
+# Percentiles of latency in hundredths, and the width of the value ranges that are counted first.
+PERCENTILES = {"p50_ms": 50, "p95_ms": 95}
+RANGE_MS = 1_024
 
 
 def ingest(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], root: str | None = None) -> DataFrame:
@@ -44,9 +48,9 @@ def ingest(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], root: str
     return spark.read.option("basePath", out).parquet(out).drop("batch")
 
 
-def share_requests(events: DataFrame, key: list[str], shared_for: str = SHARE) -> DataFrame:
-    """One row per request key within the time its result is shared."""
-    return events.withWatermark("ts", shared_for).dropDuplicatesWithinWatermark(key)
+def share_requests(events: DataFrame, key: list[str], shared_for: str = SHARE, root: str | None = None) -> DataFrame:
+    """One row per request key; the key holds the time span in which its result is shared."""
+    return gather(events, lambda rows: rows.select(*key).distinct(), shared_for, "dedupe", root).parts.distinct()
 
 
 def progress(events: DataFrame, request: str, late: str, span: str = "1 day") -> DataFrame:
@@ -65,33 +69,82 @@ def progress(events: DataFrame, request: str, late: str, span: str = "1 day") ->
     )
 
 
+def latest_progress(events: DataFrame, request: str, late: str, span: str = "1 day", root: str | None = None) -> DataFrame:
+    """`progress` at the end of what is there, late rows included."""
+
+    def reduce(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.window("ts", span).alias("span"), request).agg(
+            F.max(F.struct("ts", "seq", "stage")).alias("last"), F.count("*").alias("steps"), F.count_if("terminal").alias("terminal_steps")
+        )
+
+    parts = gather(events, reduce, late, "progress", root).parts
+    return parts.groupBy("span", request).agg(
+        F.max("last")["stage"].alias("stage"), F.sum("steps").alias("steps"), F.sum("terminal_steps").alias("terminal_steps")
+    )
+
+
 def seen_films(events: DataFrame, session: str, film: str) -> DataFrame:
     """Each film a session has shown, once; state is kept per (session, film), never per session."""
     return events.select(session, film).dropDuplicates([session, film])
 
 
-def latency_windows(runs: DataFrame, late: str, span: str, by: str) -> DataFrame:
-    """Tumbling windows of runs(ts, ok, elapsed_ms): failures count in the attempts."""
-    good = F.when(F.col("ok"), F.col("elapsed_ms"))
-    return (
-        runs.withWatermark("ts", late)
-        .groupBy(F.window("ts", span).alias("span"), by)
-        .agg(
-            F.count("*").alias("attempts"),
-            F.count_if("ok").alias("successes"),
-            F.count_if(F.col("ok") & (F.col("elapsed_ms") <= TARGET_MS)).alias("within_target"),
-            F.percentile_approx(good, F.lit(0.5), F.lit(10_000)).alias("p50_ms"),
-            F.percentile_approx(good, F.lit(0.95), F.lit(10_000)).alias("p95_ms"),
-        )
+def latency_windows(runs: DataFrame, late: str, span: str, by: str, root: str | None = None) -> DataFrame:
+    """Tumbling windows of runs(ts, ok, elapsed_ms): failures count in the attempts, percentiles are exact."""
+
+    def reduce(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.window("ts", span).alias("span"), by, "ok", "elapsed_ms").agg(F.count("*").alias("n"))
+
+    parts = gather(runs, reduce, late, "latency", root).parts
+    counted = cut(parts.groupBy("span", by, "ok", "elapsed_ms").agg(F.sum("n").alias("n")))
+    good = F.col("ok") & F.col("elapsed_ms").isNotNull()
+    totals = counted.groupBy("span", by).agg(
+        F.sum("n").alias("attempts"),
+        F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("successes"),
+        F.sum(F.when(F.col("ok") & (F.col("elapsed_ms") <= TARGET_MS), F.col("n")).otherwise(0)).alias("within_target"),
+        F.sum(F.when(good, F.col("n"))).alias("of"),
+    )
+    # Counts accumulate over ranges of values first, then inside the range that a percentile falls into.
+    values = counted.where(good).withColumn("range", F.floor(F.col("elapsed_ms") / RANGE_MS))
+    ranges = values.groupBy("span", by, "range").agg(F.sum("n").alias("m"))
+    ranges = ranges.withColumn("upto", F.sum("m").over(W.partitionBy("span", by).orderBy("range"))).withColumn("before", F.col("upto") - F.col("m"))
+    shares = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(p).alias("p")) for c, p in PERCENTILES.items()]))
+    asked = totals.where("of > 0").select("span", by, "of", shares.alias("s")).select(
+        "span", by, F.col("s.name").alias("name"), F.expr("of - (of * (100 - s.p)) div 100").alias("rank")
+    )
+    hit = ranges.withColumnRenamed(by, "b").withColumnRenamed("span", "w").join(
+        asked, F.col("w").eqNullSafe(F.col("span")) & F.col("b").eqNullSafe(F.col(by)) & (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("upto"))
+    ).select("span", by, "range", "name", (F.col("rank") - F.col("before")).alias("rank"))
+    inside = values.select(F.col("span").alias("w"), F.col(by).alias("b"), F.col("range").alias("r"), "elapsed_ms", "n").withColumn(
+        "upto", F.sum("n").over(W.partitionBy("w", "b", "r").orderBy("elapsed_ms"))
     )
+    found = inside.join(
+        hit, F.col("w").eqNullSafe(F.col("span")) & F.col("b").eqNullSafe(F.col(by)) & (F.col("r") == F.col("range")) & (F.col("upto") >= F.col("rank"))
+    ).groupBy("w", "b").agg(*[F.min(F.when(F.col("name") == c, F.col("elapsed_ms"))).alias(c) for c in PERCENTILES])
+    same = F.col("w").eqNullSafe(F.col("span")) & F.col("b").eqNullSafe(F.col(by))
+    return totals.join(found, same, "left").select("span", by, "attempts", "successes", "within_target", *PERCENTILES)
 
 
-def orphans(events: DataFrame, request: str, late: str, gap: str = ORPHAN_GAP) -> DataFrame:
+def orphans(events: DataFrame, request: str, late: str, gap: str = ORPHAN_GAP, root: str | None = None) -> DataFrame:
     """Closed activity sessions of a request in which no terminal event came."""
+
+    def reduce(rows: DataFrame) -> DataFrame:
+        return (
+            rows.groupBy(F.session_window("ts", gap).alias("active"), request)
+            .agg(F.count("*").alias("steps"), F.bool_or("terminal").alias("finished"))
+            .select(request, F.col("active.start").alias("start"), F.col("active.end").alias("end"), "steps", "finished")
+        )
+
+    done = gather(events, reduce, late, "orphans", root)
+    mark = done.batches.agg((F.max("ts") - F.expr(f"INTERVAL {late}")).alias("mark"))
+    # Sessions of different batches are one where they touch.
+    order = W.partitionBy(request).orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    joined = done.parts.withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    joined = joined.withColumn("session", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return (
-        events.withWatermark("ts", late)
-        .groupBy(F.session_window("ts", gap).alias("active"), request)
-        .agg(F.count("*").alias("steps"), F.bool_or("terminal").alias("finished"))
-        .where(~F.col("finished"))
-        .select(request, F.col("active.start").alias("started"), F.col("active.end").alias("abandoned"), "steps")
+        joined.groupBy(request, "session")
+        .agg(F.min("start").alias("started"), F.max("end").alias("abandoned"), F.sum("steps").alias("steps"), F.bool_or("finished").alias("finished"))
+        .crossJoin(F.broadcast(mark))
+        .where(~F.coalesce("finished", F.lit(False)) & (F.col("abandoned") <= F.col("mark")))
+        .select(request, "started", "abandoned", "steps")
     )

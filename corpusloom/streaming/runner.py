@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,11 +12,12 @@ from ..session import scratch_path
 from ..sources.store import _exists
 
 
-def file_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """Stream of a Parquet table that is a single file or a folder of part files."""
+def file_stream(spark: SparkSession, folder: str, table: str, files: int | None = None) -> DataFrame:
+    """Stream of a Parquet table that is a single file or a folder of part files, `files` a batch if given."""
     path = f"{folder}/{table}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     single = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
@@ -71,3 +74,49 @@ def upsert(stream: DataFrame, keys: list[str], label: str, root: str | None = No
     rest = [c for c in stream.columns if c not in keys]
     written = spark.read.option("basePath", out).parquet(out)
     return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")
+
+
+class Gathered(NamedTuple):
+    """What batches were reduced to, the raw rows that came late, and per batch its latest `ts` and count of `late` rows."""
+
+    parts: DataFrame
+    late: DataFrame
+    batches: DataFrame
+
+
+def gather(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], late: str, label: str, root: str | None = None) -> Gathered:
+    """Reduce each micro-batch for itself; `parts` holds one reduced row per key and batch, late rows included.
+
+    Rows older than the latest `ts` of earlier batches less `late` go unreduced to a side table, where they are
+    counted, and are reduced at the end. Each micro-batch overwrites its own folders, so a repeated batch leaves
+    the same rows behind, and running again with the same `root` resumes at the checkpoint.
+    """
+    spark = stream.sparkSession
+    root = root or scratch_path(spark, label)
+    empty = spark.createDataFrame([], stream.schema)
+    schemas = {"parts": reduce(empty).schema, "late": stream.schema, "batches": "ts timestamp, late long"}
+
+    def read(name: str) -> DataFrame:
+        path = os.path.join(root, name)
+        if not _exists(spark, path):
+            return spark.createDataFrame([], schemas[name]).withColumn("batch", F.lit(None).cast("int"))
+        return spark.read.option("basePath", path).parquet(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        mark = read("batches").where(F.col("batch") < batch_id).agg(F.unix_micros(F.max("ts"))).first()[0]
+        bound = F.timestamp_micros(F.lit(mark).cast("long")) - F.expr(f"INTERVAL {late}")
+        old = F.coalesce(F.col("ts") < bound, F.lit(False))
+        counted = batch.agg(F.max("ts").alias("ts"), F.count_if(old).alias("late"))
+        tables = {"parts": reduce(batch.where(~old)), "late": batch.where(old), "batches": counted}
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(os.path.join(root, name, f"batch={batch_id}"))
+
+    run = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", os.path.join(root, "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    older = read("late").drop("batch")
+    return Gathered(read("parts").drop("batch").unionByName(reduce(older)), older, read("batches"))

@@ -407,3 +407,36 @@ def test_upserts_keep_the_latest_row(spark, tmp_path):
     assert run() == {"r": ("curating", 1, 0)}
     arrive(("2024-01-01 00:00:05", 2, "done", True, "r"), ("2024-01-01 00:00:01", 1, "curating", False, "q"))
     assert run() == {"r": ("done", 2, 1), "q": ("curating", 1, 0)}
+
+
+@pytest.mark.parametrize("name", ["stream_dedupe", "stream_progress", "stream_latency", "stream_orphans"])
+def test_late_rows_of_many_batches_are_in_the_result(spark, tmp_path, name):
+    import duckdb
+
+    from corpusloom.plans import ORACLES, streams
+
+    source = "/root/testdata/sf0.001/events.parquet"
+    (tmp_path / "events.parquet").mkdir()
+    con = duckdb.connect()
+    for part in range(6):
+        con.execute(f"COPY (SELECT * FROM '{source}' WHERE hash(event_id) % 6 = {part}) TO '{tmp_path}/events.parquet/{part}.parquet'")
+    con.execute(f"CREATE VIEW events AS FROM '{source}'")
+    wanted = con.execute(ORACLES[name]).fetchall()
+    got = [tuple(r) for r in getattr(streams, name)(spark, str(tmp_path), 1).collect()]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
+def test_late_rows_are_counted_and_percentiles_exact(spark, tmp_path):
+    schema = "ts timestamp, kind string, ok boolean, elapsed_ms long"
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    values = [(i * 7919) % 30_011 for i in range(30_011)]
+    for part in range(5):
+        rows = spark.createDataFrame([("a", True, v) for v in values[part::5]], "kind string, ok boolean, elapsed_ms long")
+        rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 - part * 7_200))).select("ts", "kind", "ok", "elapsed_ms")
+        rows.coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    (row,) = flows.latency_windows(stream, "1 hour", "30 days", "kind", root).collect()
+    assert (row["attempts"], row["p50_ms"], row["p95_ms"]) == (30_011, 15_005, 28_510)
+    batches, late = spark.read.parquet(f"{root}/batches"), spark.read.parquet(f"{root}/late")
+    assert batches.count() == 5
+    assert batches.agg(F.sum("late")).first()[0] == late.count() > 20_000
