@@ -135,7 +135,8 @@ def orphans(events: DataFrame, request: str, late: str, gap: str = ORPHAN_GAP, r
         )
 
     done = gather(events, reduce, late, "orphans", root)
-    mark = done.batches.agg((F.max("ts") - F.expr(f"INTERVAL {late}")).alias("mark"))
+    latest = done.batches.agg(F.unix_micros(F.max("ts"))).first()[0]
+    mark = F.timestamp_micros(F.lit(latest).cast("long")) - F.expr(f"INTERVAL {late}")
     # Sessions of different batches are one where they touch.
     order = W.partitionBy(request).orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
@@ -144,7 +145,6 @@ def orphans(events: DataFrame, request: str, late: str, gap: str = ORPHAN_GAP, r
     return (
         joined.groupBy(request, "session")
         .agg(F.min("start").alias("started"), F.max("end").alias("abandoned"), F.sum("steps").alias("steps"), F.bool_or("finished").alias("finished"))
-        .crossJoin(F.broadcast(mark))
-        .where(~F.coalesce("finished", F.lit(False)) & (F.col("abandoned") <= F.col("mark")))
+        .where(~F.coalesce("finished", F.lit(False)) & (F.col("abandoned") <= mark))
         .select(request, "started", "abandoned", "steps")
     )
