@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import load
-from . import bpe, chat, extract, language, near, packing, quality, substring, topk, toxicity
+from . import bpe, chat, collide, extract, language, near, packing, phrases, quality, substring, topk, toxicity, whiten
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -228,3 +228,71 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(load(spark, folder, "documents", "doc_id", "text"))
+
+
+@query(
+    "op11_vector_links",
+    f"""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, row_number() OVER () AS r, CAST(embedding AS DOUBLE[]) AS e,
+            label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings),
+    pairs AS (
+        SELECT a.r AS ar, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r
+        WHERE a.usable AND b.usable AND list_cosine_similarity(a.e, b.e) >= {collide.COSINE}),
+    reach(id, low) AS (
+        SELECT DISTINCT vec_id, vec_id FROM v
+        UNION
+        SELECT p.b, reach.low FROM reach JOIN pairs p ON p.a = reach.id WHERE p.b > reach.low),
+    least AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id),
+    counted AS (SELECT ar, count(*) AS n FROM pairs GROUP BY ar)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM v JOIN least ON vec_id = id LEFT JOIN counted ON ar = r
+    """,
+)
+def op11_vector_links(spark: SparkSession, folder: str) -> DataFrame:
+    return collide.link(load(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
+_PHRASE_SIZES = ", ".join(f"({k})" for k in range(1, phrases.DEPTH + 1))
+
+
+@query(
+    "op12_collocations",
+    rf"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
+    w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+    g AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+        FROM w, (VALUES {_PHRASE_SIZES}) AS sizes(k) WHERE len(w) >= k),
+    f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+    c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS ws FROM f WHERE k > 1),
+    cuts AS (
+        SELECT c.lang, c.g, c.a, i, x.f AS l, y.f AS r,
+            (({phrases.SCORE}::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c
+        JOIN f x ON x.lang = c.lang AND x.g = array_to_string(ws[1:i], ' ')
+        JOIN f y ON y.lang = c.lang AND y.g = array_to_string(ws[i + 1:c.k], ' ')),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, i) = 1),
+    within AS (
+        SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS g, max(a) AS longer
+        FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+    kept AS (
+        SELECT b.* FROM best b LEFT JOIN within USING (lang, g)
+        WHERE longer IS NULL OR 100 * longer < {phrases.INSIDE} * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase, a, l, r, n, score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= {phrases.TOP}
+    """,
+)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(load(spark, folder, "documents", "text", "lang"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten.whiten(load(spark, folder, "embeddings", "vec_id", "embedding"))
