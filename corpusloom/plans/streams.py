@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import version_id
-from ..streaming.flows import MAX_SEEN, ingest, latency_windows, latest_progress, orphans, seen_films, share_requests
-from ..streaming.runner import append, event_time, file_stream
+from ..operators.sessions import MAX_SEEN
+from ..streaming.flows import ingest, latency_windows, latest_progress, orphans, seen_films, share_requests
+from ..streaming.runner import event_time, file_stream
 from .registry import query
 
 
@@ -72,10 +73,11 @@ def stream_progress(spark: SparkSession, folder: str, files: int | None = None)
     "stream_sessions",
     f"""SELECT user_id, count(DISTINCT json_extract(props, '$.k')) AS seen, count(DISTINCT json_extract(props, '$.k')) > {MAX_SEEN} AS over_limit FROM events GROUP BY user_id""",
 )
-def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    shown = events(spark, folder).select("user_id", F.get_json_object("props", "$.k").alias("film"))
-    seen = append(seen_films(shown, "user_id", "film"), "sessions")
-    return seen.groupBy("user_id").agg(F.count("*").alias("seen")).withColumn("over_limit", F.col("seen") > MAX_SEEN)
+def stream_sessions(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    """Films that a user has shown; a user idle for a week starts with an empty state, and shows nothing twice here."""
+    shown = events(spark, folder, files).select("ts", "user_id", F.get_json_object("props", "$.k").alias("film"))
+    seen = seen_films(shown, "user_id", "film", "1 hour", "7 days")
+    return seen.groupBy("user_id").agg(F.count("film").alias("seen")).withColumn("over_limit", F.col("seen") > MAX_SEEN)
 
 
 @query(

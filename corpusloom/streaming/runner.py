@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..session import scratch_path
 from ..sources.store import _exists
@@ -37,86 +38,61 @@ def append(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
     spark = stream.sparkSession
     root = root or scratch_path(spark, label)
     out = os.path.join(root, "rows")
-    run = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", os.path.join(root, "checkpoint"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    with states_on_disk(spark):
+        run = (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", os.path.join(root, "checkpoint"))
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def upsert(stream: DataFrame, keys: list[str], label: str, root: str | None = None) -> DataFrame:
-    """Run in update mode and return the latest row per key.
-
-    Each micro-batch overwrites its own folder, so a repeated batch leaves the same rows behind.
-    """
-    spark = stream.sparkSession
-    root = root or scratch_path(spark, label)
-    out = os.path.join(root, "rows")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-
-    run = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", os.path.join(root, "checkpoint"))
-        .outputMode("update")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    if not _exists(spark, out):
-        return spark.createDataFrame([], stream.schema)
-    rest = [c for c in stream.columns if c not in keys]
-    written = spark.read.option("basePath", out).parquet(out)
-    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")
+@contextmanager
+def states_on_disk(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, which keyed processors need, for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-class Gathered(NamedTuple):
-    """What batches were reduced to, the raw rows that came late, and per batch its latest `ts` and count of `late` rows."""
+def keyed_state(
+    events: DataFrame, late: str, reduce: Callable, reduced: str, processor: StatefulProcessor, label: str, root: str | None = None,
+    mode: str = "update",
+) -> DataFrame:
+    """Run a keyed processor with event-time timers over events(ts, us, ...) and return its rows with their batch.
 
-    parts: DataFrame
-    late: DataFrame
-    batches: DataFrame
-
-
-def gather(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], late: str, label: str, root: str | None = None) -> Gathered:
-    """Reduce each micro-batch for itself; `parts` holds one reduced row per key and batch, late rows included.
-
-    Rows older than the latest `ts` of earlier batches less `late` go unreduced to a side table, where they are
-    counted, and are reduced at the end. Each micro-batch overwrites its own folders, so a repeated batch leaves
-    the same rows behind, and running again with the same `root` resumes at the checkpoint.
+    `reduce` shrinks the rows of an Arrow batch to `reduced` before they are shuffled to the processor's key. A
+    micro-batch is computed once and overwrites its own folder, split by `kind`, so a repeated batch leaves the same
+    rows behind; running again with the same `root` resumes at the checkpoint.
     """
-    spark = stream.sparkSession
+    spark = events.sparkSession
     root = root or scratch_path(spark, label)
-    empty = spark.createDataFrame([], stream.schema)
-    schemas = {"parts": reduce(empty).schema, "late": stream.schema, "batches": "ts timestamp, late long"}
-
-    def read(name: str) -> DataFrame:
-        path = os.path.join(root, name)
-        if not _exists(spark, path):
-            return spark.createDataFrame([], schemas[name]).withColumn("batch", F.lit(None).cast("int"))
-        return spark.read.option("basePath", path).parquet(path)
+    out = os.path.join(root, "rows")
+    keys = ", ".join(f"`{n}` {events.schema[n].dataType.simpleString()}" for n in processor.names)
+    schema = f"{keys}, {processor.SCHEMA}"
+    stream = (
+        events.withWatermark("ts", late).drop("ts").mapInArrow(reduce, f"{keys}, {reduced}").groupBy(*processor.names)
+        .transformWithStateInPandas(processor, schema, mode, "EventTime")
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mark = read("batches").where(F.col("batch") < batch_id).agg(F.unix_micros(F.max("ts"))).first()[0]
-        bound = F.timestamp_micros(F.lit(mark).cast("long")) - F.expr(f"INTERVAL {late}")
-        old = F.coalesce(F.col("ts") < bound, F.lit(False))
-        counted = batch.agg(F.max("ts").alias("ts"), F.count_if(old).alias("late"))
-        tables = {"parts": reduce(batch.where(~old)), "late": batch.where(old), "batches": counted}
-        for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(os.path.join(root, name, f"batch={batch_id}"))
-
-    run = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", os.path.join(root, "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    older = read("late").drop("batch")
-    return Gathered(read("parts").drop("batch").unionByName(reduce(older)), older, read("batches"))
+        batch.write.partitionBy("kind").mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    with states_on_disk(spark):
+        run = (
+            stream.writeStream.foreachBatch(write).outputMode(mode)
+            .option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    fields = T.StructType.fromDDL(f"{schema}, batch int")
+    if not _exists(spark, out):
+        return spark.createDataFrame([], fields)
+    return spark.read.schema(fields).option("basePath", out).parquet(out)

@@ -2,16 +2,19 @@
 
 import json
 import os
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from corpusloom.functions.keys import version_id
 from corpusloom.operators import admission as A, collection as L, contract as K, evaluation as Q, projections as J, publication as P, versions as N
 from corpusloom.schemas import CANDIDATE, RECORD
 from corpusloom.sources import model_io as M, records as S, store as T
 from corpusloom.sources.jobs import read_plan, read_targets, write_manifest
-from corpusloom.streaming import flows, runner
+from corpusloom.streaming import flows, state
 
 
 def film(key="f1", **changes):
@@ -391,25 +394,144 @@ def test_ingest_resumes_and_never_doubles(spark, tmp_path):
     assert run() == 3
 
 
-def test_upserts_keep_the_latest_row(spark, tmp_path):
+def test_ingest_looks_up_only_what_arrives(spark, tmp_path):
     source, root = tmp_path / "in", str(tmp_path / "out")
-    schema = "ts timestamp, seq int, stage string, terminal boolean, request_id string"
-
-    def arrive(*rows_):
-        spark.createDataFrame(rows_, "ts string, seq int, stage string, terminal boolean, request_id string").withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(str(source))
+    read, known = [], []
 
     def run():
-        stream = spark.readStream.schema(schema).parquet(str(source))
-        out = runner.upsert(flows.progress(stream, "request_id", "1 hour"), ["span", "request_id"], "p", root)
-        return {r.request_id: (r.stage, r.steps, r.terminal_steps) for r in out.collect()}
+        stream = spark.readStream.schema("id string").parquet(str(source))
+        rows = flows.ingest(stream, lambda b: b.select("id", F.col("id").alias("version_id"), F.lit("completed").alias("status")), root)
+        return sorted(r.id for r in rows.collect())
+
+    class Watch(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            if event.progress.numInputRows:
+                read.append(event.progress.numInputRows)
+                known.append(sum(o.numRowsTotal for o in event.progress.stateOperators))
+
+        def onQueryTerminated(self, event):
+            pass
+
+    watch = Watch()
+    spark.streams.addListener(watch)
+    try:
+        for low in (0, 90, 180):
+            spark.range(low, low + 100).select(F.col("id").cast("string").alias("id")).coalesce(1).write.mode("append").parquet(str(source))
+            assert len(run()) == low + 100
+        spark.streams.awaitAnyTermination(1)
+        for _ in range(50):
+            if len(read) == 3:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(watch)
+    # Each batch reads its own hundred rows and no file that was written; the ids are state.
+    assert read == [100, 100, 100] and known == [100, 190, 280]
+
+
+def arrivals(spark, source, schema, *batches):
+    """One file per batch, in order."""
+    for rows in batches:
+        frame = spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts"))
+        frame.coalesce(1).write.mode("append").parquet(str(source))
+        time.sleep(0.02)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+
+
+def kinds(spark, root, *columns):
+    rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows")
+    return sorted((r["batch"], r["kind"], *(r[c] for c in columns)) for r in rows.collect())
+
+
+def at(day, clock="00:00:00"):
+    return f"2024-01-{day:02d} {clock}"
+
+
+def test_requests_are_shared_until_their_state_goes(spark, tmp_path):
+    root = str(tmp_path / "out")
+    stream = arrivals(
+        spark, tmp_path / "in", "ts string, k string",
+        [(at(1), "a"), (at(1, "00:00:30"), "a"), (at(1), "b")], [(at(1, "00:00:40"), "a"), (at(1, "00:05:00"), "c")],
+        # The watermark stands at 00:04 here: a's state is gone and its work starts anew; b's row is too late.
+        [(at(1, "00:06:00"), "a"), (at(1, "00:00:10"), "b")],
+    )
+    got = {r.k: r.us for r in flows.share_requests(stream, ["k"], "60 seconds", root).collect()}
+    assert [(b, kind, k) for b, kind, k in kinds(spark, root, "k") if kind] == [
+        (0, "row", "a"), (0, "row", "b"), (1, "row", "c"), (2, "late", "b"), (2, "row", "a")
+    ]
+    start = min(got.values())
+    assert got == {"a": start, "b": start, "c": start + 300_000_000}
+
+
+def test_progress_comes_out_per_batch_and_its_state_goes(spark, tmp_path):
+    root, schema = str(tmp_path / "out"), "ts string, seq long, stage string, terminal boolean, r string"
+    stream = arrivals(
+        spark, tmp_path / "in", schema,
+        [(at(1, "10:00:00"), 1, "curating", False, "r")], [(at(1, "10:00:05"), 2, "done", True, "r"), (at(1, "09:00:00"), 0, "queued", None, "r")],
+        [(at(3), 9, "curating", False, "q")], [(at(1, "10:00:06"), 3, "error", True, "r"), (at(3, "01:00:00"), 10, "done", True, "q")],
+    )
+    out = flows.latest_progress(stream, "r", "1 hour", root=root).collect()
+    assert kinds(spark, root, "r", "stage", "steps") == [
+        (0, "row", "r", "curating", 1), (1, "row", "r", "done", 3), (2, "row", "q", "curating", 1), (3, "late", "r", "error", 1), (3, "row", "q", "done", 2)
+    ]
+    assert {(r.r, r.stage, r.steps, r.terminal_steps, str(r.span.start)) for r in out} == {
+        ("r", "error", 4, 2, at(1)), ("q", "done", 2, 1, at(3))
+    }
 
-    arrive(("2024-01-01 00:00:00", 1, "curating", False, "r"))
-    assert run() == {"r": ("curating", 1, 0)}
-    arrive(("2024-01-01 00:00:05", 2, "done", True, "r"), ("2024-01-01 00:00:01", 1, "curating", False, "q"))
-    assert run() == {"r": ("done", 2, 1), "q": ("curating", 1, 0)}
+
+def test_seen_films_are_state_that_goes_when_idle(spark, tmp_path):
+    root = str(tmp_path / "out")
+    stream = arrivals(
+        spark, tmp_path / "in", "ts string, s string, film string",
+        [(at(1), "s", "x"), (at(1), "s", "y"), (at(1), "s", "x")], [(at(2), "s", "x")], [(at(12), "t", "x")],
+        # Beyond a week of idleness x is new again, and what is older than that comes late.
+        [(at(12), "s", "x"), (at(2), "u", "z")], [(at(12), "s", None)],
+    )
+    got = sorted(((r.s, r.film) for r in flows.seen_films(stream, "s", "film", "1 hour", "7 days", root).collect()), key=repr)
+    assert got == [("s", "x"), ("s", "y"), ("s", None), ("t", "x"), ("u", "z")]
+    assert [r[:3] for r in kinds(spark, root, "s")] == [
+        (0, "row", "s"), (0, "row", "s"), (2, "row", "t"), (3, "late", "u"), (3, "row", "s"), (4, "row", "s")
+    ]
+
+
+def test_orphans_are_closed_by_timers_and_joined_with_late_rows(spark, tmp_path):
+    root, schema = str(tmp_path / "out"), "ts string, terminal boolean, r string"
+    stream = arrivals(
+        spark, tmp_path / "in", schema,
+        [(at(1, "00:00:00"), False, "a"), (at(1, "02:00:00"), False, "a"), (at(1, "00:00:00"), False, "b"), (at(1), False, "d")], [(at(1, "12:00:00"), False, "c")],
+        [(at(2), False, "c"), (at(1, "00:10:00"), True, "b")],
+        # Late for a, between its two sessions and touching both; late for d, and reaching into what is still open.
+        [(at(1, "01:00:00"), None, "a"), (at(1, "23:30:00"), False, "d")], [(at(1, "23:00:00"), False, "d"), (at(2, "00:30:00"), False, "d")],
+    )
+    got = sorted((r.r, str(r.started), str(r.abandoned), r.steps) for r in flows.orphans(stream, "r", "1 hour", "1 hour", root).collect())
+    assert got == [("a", at(1), at(1, "03:00:00"), 3), ("c", at(1, "12:00:00"), at(1, "13:00:00"), 1), ("d", at(1), at(1, "01:00:00"), 1)]
+    closed = [(b, r) for b, kind, r in kinds(spark, root, "r") if kind == "closed"]
+    assert min(b for b, r in closed if r == "a") == 1 and {r for _, r in closed} == {"a", "b", "c", "d"}
+
+
+def test_state_of_a_hot_key_is_sent_few_rows():
+    rows = pa.RecordBatch.from_pydict({
+        "k": ["hot"] * 900 + ["x", None], "us": [*range(900), 5, 6], "terminal": [False] * 899 + [True, None, False],
+        "seq": [0] * 902, "stage": ["s"] * 902, "ok": [True] * 902, "elapsed_ms": [7] * 902,
+    })
+    assert [b.num_rows for b in state.earliest(["k"])(iter([rows]))] == [3]
+    assert [b.num_rows for b in state.ends(["k"])(iter([rows]))] == [4]
+    (spans,) = state.spans(["k"], 10)(iter([rows]))
+    assert sorted(zip(*(spans.column(c).to_pylist() for c in ("start", "end", "steps", "finished")))) == [
+        (0, 909, 900, True), (5, 15, 1, False), (6, 16, 1, False)
+    ]
+    (last,) = state.latest(["k"])(iter([rows]))
+    assert sorted(zip(last.column("us").to_pylist(), last.column("steps").to_pylist(), last.column("terminal_steps").to_pylist())) == [
+        (5, 1, 0), (6, 1, 0), (899, 900, 1)
+    ]
+    (tally,) = state.tallies(["k"])(iter([rows]))
+    assert sorted(tally.column("n").to_pylist()) == [1, 1, 900]
 
 
-@pytest.mark.parametrize("name", ["stream_dedupe", "stream_progress", "stream_latency", "stream_orphans"])
+@pytest.mark.parametrize("name", ["stream_dedupe", "stream_progress", "stream_sessions", "stream_latency", "stream_orphans"])
 def test_late_rows_of_many_batches_are_in_the_result(spark, tmp_path, name):
     import duckdb
 
@@ -427,16 +549,18 @@ def test_late_rows_of_many_batches_are_in_the_result(spark, tmp_path, name):
 
 
 def test_late_rows_are_counted_and_percentiles_exact(spark, tmp_path):
-    schema = "ts timestamp, kind string, ok boolean, elapsed_ms long"
+    schema = "ts timestamp, kind_ string, ok boolean, elapsed_ms long"
     source, root = tmp_path / "in", str(tmp_path / "out")
     values = [(i * 7919) % 30_011 for i in range(30_011)]
     for part in range(5):
-        rows = spark.createDataFrame([("a", True, v) for v in values[part::5]], "kind string, ok boolean, elapsed_ms long")
-        rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 - part * 7_200))).select("ts", "kind", "ok", "elapsed_ms")
+        rows = spark.createDataFrame([("a", True, v) for v in values[part::5]], "kind_ string, ok boolean, elapsed_ms long")
+        rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 + (part == 0) * 40 * 86_400))).select("ts", "kind_", "ok", "elapsed_ms")
         rows.coalesce(1).write.mode("append").parquet(str(source))
+        time.sleep(0.02)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    (row,) = flows.latency_windows(stream, "1 hour", "30 days", "kind", root).collect()
-    assert (row["attempts"], row["p50_ms"], row["p95_ms"]) == (30_011, 15_005, 28_510)
-    batches, late = spark.read.parquet(f"{root}/batches"), spark.read.parquet(f"{root}/late")
-    assert batches.count() == 5
-    assert batches.agg(F.sum("late")).first()[0] == late.count() > 20_000
+    got = {r["attempts"]: (r["p50_ms"], r["p95_ms"]) for r in flows.latency_windows(stream, "1 hour", "30 days", "kind_", root).collect()}
+    first, rest = sorted(values[::5]), sorted(v for i, v in enumerate(values) if i % 5)
+    at_ = lambda v, p: v[len(v) - len(v) * (100 - p) // 100 - 1]
+    assert got == {len(v): (at_(v, 50), at_(v, 95)) for v in (first, rest)}
+    late = spark.read.parquet(f"{root}/rows/*/kind=late")
+    assert late.agg(F.sum("n")).first()[0] == len(rest)
