@@ -10,44 +10,99 @@ from ..operators.lexical import lexical_hits
 from ..operators.ranking import (
     REDUNDANCY, SAME_COUNTRY, SAME_DECADE, SAME_DIRECTOR, SEEN, SHARED_GENRE, diversity_rerank, edge_candidates, top_candidates,
 )
-from ..operators.retrieval import DIRECT_SCORE, context_pool, merge_hits, select_context
+from ..operators.retrieval import CHARACTERS, DIRECT_SCORE, PASSAGES, PER_DOCUMENT, context_coverage, merge_hits, ranked_hits, select_context
 from ..operators.sequences import pack, reassemble
 from ..session import cut, load, spread
 from .registry import query
-from .texts import CHUNK_LIMIT, CHUNK_OVERLAP
+from .sql import terms
+from .texts import CHUNK_LIMIT, CHUNK_OVERLAP, CHUNKS_SQL
 
 
 SEEDS = 4
 
 
-@query("context_selection")
-def context_selection(spark: SparkSession, folder: str) -> DataFrame:
-    """Budgeted context for requests of four benchmark items each; chunks of documents are the passages.
+# Hits, their merging and the greedy choice: guaranteed rows in order of their anchors, then sixteen steps at most.
+_CONTEXT_SQL = f"""{CHUNKS_SQL},
+  p AS (SELECT doc_id || '#' || idx AS pid, doc_id, substr(text, start + 1, stop - start) AS txt FROM c),
+  cards AS (SELECT pid, doc_id, length(CAST(to_json({{'passage_id': pid, 'doc_id': doc_id, 'text': txt}}) AS VARCHAR)) AS size, {terms('txt')} AS ts FROM p),
+  d AS (SELECT pid, unnest(ts) AS term FROM cards),
+  f AS (SELECT term, count(*) AS df FROM d GROUP BY term),
+  i AS (SELECT item_id, item_id // {SEEDS} AS rid, {terms('text')} AS ts FROM benchmark),
+  q AS (SELECT item_id, term, ln(1 + (SELECT count(*) FROM p) / (1 + df)) AS idf FROM (SELECT item_id, unnest(ts) AS term FROM i) JOIN f USING (term)),
+  h AS (SELECT item_id, pid, round(sum(idf), 6) AS raw, count(*) AS matched FROM q JOIN d USING (term) GROUP BY item_id, pid HAVING count(*) >= 2
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY raw DESC, pid) <= 8),
+  m AS (SELECT rid, pid, max(CASE WHEN matched >= len(ts) * 0.9 THEN {DIRECT_SCORE} ELSE round(least(5.0, raw / 3), 6) END)::DOUBLE AS score,
+      list(DISTINCT item_id) AS anchors, list(DISTINCT item_id) FILTER (matched >= len(ts) * 0.9) AS direct FROM h JOIN i USING (item_id) GROUP BY ALL),
+  v AS (SELECT *, round(score + ln(1 + len(anchors)), 9) AS value FROM m JOIN cards USING (pid)),
+  promised AS (SELECT rid, pid, row_number() OVER (PARTITION BY rid ORDER BY anchor) AS nth FROM (
+    SELECT rid, pid, anchor FROM (SELECT *, unnest(direct) AS anchor FROM v) QUALIFY row_number() OVER (PARTITION BY rid, anchor ORDER BY value DESC, pid) = 1)),
+  step(rid, turn, chosen, used, done) AS (
+    SELECT DISTINCT rid, 1::BIGINT, []::STRUCT(pid VARCHAR, doc BIGINT, anchors BIGINT[])[], 0::BIGINT, false FROM v
+    UNION ALL
+    SELECT rid, turn + 1, CASE WHEN pid IS NULL THEN chosen ELSE list_append(chosen, {{'pid': pid, 'doc': doc_id, 'anchors': anchors}}) END,
+      used + coalesce(size, 0), turn > (SELECT coalesce(max(nth), 0) FROM promised p WHERE p.rid = t.rid) AND pid IS NULL FROM (
+      SELECT step.*, v.pid, v.doc_id, v.size, v.anchors, row_number() OVER (PARTITION BY step.rid ORDER BY
+        v.value / (1 + len(list_filter(chosen, lambda y: list_has_any(y.anchors, v.anchors))) * 0.45::DOUBLE + len(list_filter(chosen, lambda y: y.doc = v.doc_id)) * 2) DESC NULLS LAST, v.pid) AS r
+      FROM step LEFT JOIN v ON v.rid = step.rid AND NOT list_contains(list_transform(chosen, lambda y: y.pid), v.pid)
+        AND len(list_filter(chosen, lambda y: y.doc = v.doc_id)) < {PER_DOCUMENT} AND used + v.size <= {CHARACTERS}
+        AND (turn > (SELECT coalesce(max(nth), 0) FROM promised p WHERE p.rid = step.rid) OR v.pid = (SELECT pid FROM promised p WHERE p.rid = step.rid AND p.nth = turn))
+      WHERE NOT done AND len(chosen) < {PASSAGES}) t WHERE r = 1),
+  final AS (SELECT rid, chosen FROM step QUALIFY row_number() OVER (PARTITION BY rid ORDER BY turn DESC) = 1),
+  context AS MATERIALIZED (SELECT rid, chosen[n].pid AS pid, n AS position FROM (SELECT *, unnest(range(1, len(chosen) + 1)) AS n FROM final))"""
+
+
+def _merged_hits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Merged hits for requests of four benchmark items each, and the cards of the passages, chunks of documents.
 
     Items are the anchors. A chunk with nine tenths of an item's terms is its direct hit, the
     other lexical hits are related context.
     """
     docs = spread(load(spark, folder, "documents", "doc_id", "text"))
     pieces = docs.select("doc_id", F.inline_outer(chunks("text", CHUNK_LIMIT, CHUNK_OVERLAP))).where("idx IS NOT NULL")
-    passages = cut(
-        pieces.select(
-            F.concat_ws("#", F.col("doc_id").cast("string"), F.col("idx").cast("string")).alias("passage_id"),
-            "doc_id", "text", search_terms("text").alias("terms"),
-        )
-    )
-    items = load(spark, folder, "benchmark").withColumn("request_id", F.floor(F.col("item_id") / SEEDS))
-    asked = items.select(F.col("item_id").alias("request_id"), search_terms("text").alias("terms"))
-    related = lexical_hits(asked, passages.select("passage_id", "terms")).select(
-        F.col("request_id").alias("anchor"), "passage_id", "score", "matched"
-    )
-    terms = asked.select(F.col("request_id").alias("anchor"), F.size("terms").alias("asked"))
-    hits = related.join(terms, "anchor").join(items.select(F.col("item_id").alias("anchor"), "request_id"), "anchor")
+    named = pieces.select(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("idx").cast("string")).alias("passage_id"), "doc_id", "text")
+    # Scores need the terms and the budget the size; whole texts stay where they are.
+    passages = cut(named.select(
+        "passage_id", "doc_id", F.length(F.to_json(F.struct("passage_id", "doc_id", "text"))).alias("size"), search_terms("text").alias("terms")
+    ))
+    items = load(spark, folder, "benchmark").select("item_id", F.floor(F.col("item_id") / SEEDS).alias("request_id"), search_terms("text").alias("terms"))
+    asked = items.select(F.col("item_id").alias("request_id"), "terms")
+    related = lexical_hits(asked, passages.select("passage_id", "terms")).withColumnRenamed("request_id", "item_id")
+    hits = related.join(items.select("item_id", "request_id", F.size("terms").alias("asked")), "item_id")
     direct = F.col("matched") >= F.col("asked") * 0.9
-    merged = merge_hits(
-        hits.select("request_id", "passage_id", F.when(direct, DIRECT_SCORE).otherwise(F.col("score")).alias("score"), "anchor", direct.alias("direct"))
-    )
-    cards = passages.select("passage_id", "doc_id", F.length(F.to_json(F.struct("passage_id", "doc_id", "text"))).alias("size"))
-    return select_context(context_pool(merged).join(cards, "passage_id"))
+    merged = merge_hits(hits.select(
+        "request_id", "passage_id", F.when(direct, DIRECT_SCORE).otherwise(F.col("score")).alias("score"), F.col("item_id").alias("anchor"), direct.alias("direct")
+    ))
+    return cut(merged), passages.select("passage_id", "doc_id", "size")
+
+
+def _selected(merged: DataFrame, cards: DataFrame) -> DataFrame:
+    return select_context(ranked_hits(merged).join(cards, "passage_id"))
+
+
+@query(
+    "context_selection",
+    f"""WITH RECURSIVE {_CONTEXT_SQL}
+    SELECT rid AS request_id, pid AS passage_id, doc_id, round(score, 6) AS score, size, position FROM context JOIN v USING (rid, pid)""",
+)
+def context_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Budgeted context of each request."""
+    chosen = _selected(*_merged_hits(spark, folder))
+    return chosen.withColumns({"score": F.round("score", 6), "size": F.col("size").cast("bigint"), "position": F.col("position").cast("bigint")})
+
+
+@query(
+    "context_coverage",
+    f"""WITH RECURSIVE {_CONTEXT_SQL}
+    SELECT b.item_id // {SEEDS} AS request_id, b.item_id, count(x.held) AS passages FROM benchmark b LEFT JOIN (
+      SELECT unnest(anchors) AS held FROM context JOIN v USING (rid, pid)) x ON x.held = b.item_id GROUP BY ALL""",
+)
+def covered_items(spark: SparkSession, folder: str) -> DataFrame:
+    """How many chosen passages stand for each item of a request, none included."""
+    merged, cards = _merged_hits(spark, folder)
+    chosen = _selected(merged, cards).select("request_id", "passage_id")
+    held = chosen.join(merged.select("request_id", "passage_id", F.col("anchors").alias("film_ids")), ["request_id", "passage_id"])
+    items = load(spark, folder, "benchmark").select(F.floor(F.col("item_id") / SEEDS).alias("request_id"), F.col("item_id").alias("film_id"))
+    return context_coverage(items, held.select("request_id", "film_ids")).select("request_id", F.col("film_id").alias("item_id"), F.col("n").alias("passages"))
 
 
 _EDGE_SQL = """

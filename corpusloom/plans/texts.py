@@ -8,7 +8,7 @@ from ..functions.chunks import chunks
 from ..functions.prose import prose
 from ..functions.text import bounded_text, search_terms, word_count
 from ..operators.containment import locate_quotes
-from ..operators.lexical import document_frequency, lexical_hits, postings, retrieval_idf
+from ..operators.lexical import RAREST_TERMS, document_frequency, lexical_hits, postings, rarest_terms, retrieval_idf
 from ..session import load, spread
 from . import sql
 from .registry import query
@@ -69,6 +69,21 @@ def lexical_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "rare_terms",
+    f"""WITH {_POSTINGS}
+    SELECT doc_id, term, df, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS term_rank FROM d JOIN f USING (term)
+    QUALIFY term_rank <= {RAREST_TERMS}""",
+)
+def rare_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """What each document would ask with: its rarest terms."""
+    posting = postings(passages(spark, folder))
+    asked = posting.withColumnRenamed("passage_id", "request_id")
+    return rarest_terms(asked, document_frequency(posting)).select(
+        F.col("request_id").alias("doc_id"), "term", "df", F.col("term_rank").cast("bigint").alias("term_rank")
+    )
+
+
 @query(
     "coverage_counts",
     f"""WITH {LEXICAL_SQL}

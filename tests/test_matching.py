@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import containment as C, entities as E, ranking as R, retrieval as G, vectors as V
+from corpusloom.operators import lexical as L, containment as C, entities as E, ranking as R, retrieval as G, vectors as V
 from corpusloom.operators.search import search_entities
 
 
@@ -194,7 +194,7 @@ def test_credit_predicates(spark):
 def test_context_budgets(spark):
     hits = [("r", f"d{d:02}:o{o}", 20.0 if o == 0 and d < 3 else 5.0 - d / 100, f"f{d % 3}", o == 0 and d < 3) for d in range(30) for o in range(5)]
     merged = G.merge_hits(spark.createDataFrame(hits, "request_id string, passage_id string, score double, anchor string, direct boolean"))
-    sized = G.context_pool(merged).withColumn("doc_id", F.split("passage_id", ":")[0]).withColumn("size", F.lit(900))
+    sized = G.ranked_hits(merged).withColumn("doc_id", F.split("passage_id", ":")[0]).withColumn("size", F.lit(900))
     for repeat in (1, 3):
         chosen = G.select_context(sized.repartition(repeat)).collect()
         docs = [r.doc_id for r in chosen]
@@ -276,7 +276,7 @@ def choose_plainly(hits, sizes):
         best = next((p for p in ranked if anchor in merged[p][2]), None)
         if best:
             take(best)
-    left = ranked[:384]
+    left = list(ranked)
     while left and len(chosen) < 16:
         def marginal(p):
             near = sum(bool(merged[p][1] & merged[c][1]) for c in chosen)
@@ -288,20 +288,73 @@ def choose_plainly(hits, sizes):
     return chosen
 
 
-@pytest.mark.parametrize("seed", [11, 12])
-def test_context_equals_the_plain_selection(spark, seed):
+@pytest.mark.parametrize("seed, first", [(11, 64), (12, 64), (12, 1)])
+def test_context_equals_the_plain_selection(spark, seed, first):
     rng = random.Random(seed)
     passages = [f"d{d:03}:{o}" for d in range(220) for o in range(3)]
     hits = [(p, round(rng.uniform(0.5, 5), 3), f"f{rng.randrange(5)}", False) for p in passages for _ in range(rng.randrange(1, 3))]
-    # Direct hits of one anchor rank below the best 384 and are only reachable through their guarantee.
+    # Direct hits of one anchor rank far below the others and are only reachable through their guarantee.
     hits += [(p, 0.01, "f9", True) for p in rng.sample(passages, 2)] + [(p, 20.0, "f1", True) for p in rng.sample(passages, 3)]
-    sizes = {p: rng.choice([300, 900, 2_500, 16_000]) for p in passages}
+    # Nearly all good rows are too large, so that a small pool runs dry.
+    sizes = {p: rng.choice([300, 900, 2_500, 16_000] if first == 64 and seed == 11 else [2_000, 16_000, 16_000, 16_000, 16_000]) for p in passages}
     frame = spark.createDataFrame([("r", *h) for h in hits], "request_id string, passage_id string, score double, anchor string, direct boolean")
     cards = spark.createDataFrame([(p, p.split(":")[0], n) for p, n in sizes.items()], "passage_id string, doc_id string, size int")
-    got = G.select_context(G.context_pool(G.merge_hits(frame)).join(cards, "passage_id")).orderBy("position").collect()
+    got = G.select_context(G.ranked_hits(G.merge_hits(frame)).join(cards, "passage_id"), first).orderBy("position").collect()
     assert [r.passage_id for r in got] == choose_plainly(hits, sizes)
 
 
+def test_context_where_nothing_fits(spark):
+    frame = spark.createDataFrame([("r", f"p{i:03}", 1.0, "a", False) for i in range(100)], "request_id string, passage_id string, score double, anchor string, direct boolean")
+    rows = G.ranked_hits(G.merge_hits(frame)).withColumns({"doc_id": F.col("passage_id"), "size": F.lit(20_000)})
+    assert G.select_context(rows, 8).count() == 0
+
+
+def plain_hits(requests, passages, keep, min_terms, rarest=None):
+    frequency = {}
+    for terms in passages.values():
+        for t in terms:
+            frequency[t] = frequency.get(t, 0) + 1
+    out = set()
+    for request, terms in requests.items():
+        known = sorted((t for t in set(terms) if t in frequency), key=lambda t: (frequency[t], t))[:rarest]
+        scored = []
+        for passage, held in passages.items():
+            shared = [t for t in known if t in held]
+            if len(shared) >= min_terms:
+                scored.append((-round(sum(math.log(1 + len(passages) / (1 + frequency[t])) for t in shared), 6), passage, len(shared)))
+        for place, (raw, passage, matched) in enumerate(sorted(scored)[:keep]):
+            out.add((request, passage, matched, place + 1, round(min(5.0, -raw / 3), 6)))
+    return out
+
+
+@pytest.mark.parametrize("min_terms, rarest, probe", [(2, None, 64), (2, 3, 5), (1, None, 1), (2, None, 10_000)])
+def test_lexical_hits_equal_the_plain_ranking(spark, min_terms, rarest, probe):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    passages = {f"p{i:03}": sorted(set(rng.choices(vocabulary, weights, k=rng.randint(0, 15)))) for i in range(300)}
+    requests = {f"r{i}": sorted(set(rng.choices(vocabulary, weights, k=rng.randint(1, 9)))) for i in range(20)} | {"none": [], "odd": ["zz", "w1"], "all": vocabulary}
+    got = L.lexical_hits(
+        spark.createDataFrame(list(requests.items()), "request_id string, terms array<string>"),
+        spark.createDataFrame(list(passages.items()), "passage_id string, terms array<string>").repartition(4), 8, min_terms, rarest, probe,
+    )
+    assert {(r.request_id, r.passage_id, r.matched, r.hit_rank, r.score) for r in got.collect()} == plain_hits(requests, passages, 8, min_terms, rarest)
+
+
+def test_common_terms_make_no_pairs_where_rare_ones_decide(spark):
+    # Every passage holds `common` and `usual`; only a few hold the rare pair that decides.
+    passages = [(i, ["common", "usual"] + (["rare", "seldom"] if i % 100 == 0 else [])) for i in range(2_000)]
+    rows = spark.createDataFrame(passages, "passage_id long, terms array<string>").repartition(4)
+    asked = spark.createDataFrame([(i, ["common", "usual", "rare", "seldom"]) for i in range(50)], "request_id long, terms array<string>")
+    known, forward = L.forward_index(asked, rows)
+    terms = L.bounded_terms(known, forward, 2_000)
+    weights = L.term_weights(terms)
+    essential = L.essential_terms(terms, forward, weights, 8, 2)
+    made = L.scored_pairs(essential, forward, weights, 1).count()
+    assert made == 50 * 20 and made < 50 * 2_000 / 50
+    assert {r.passage_id % 100 for r in L.lexical_hits(asked, rows).collect()} == {0}
+
+
 def test_rerank_equals_the_plain_greedy(spark):
     rng = random.Random(4)
     rows = [
