@@ -9,17 +9,19 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions.features import BUCKET_SEED, SIGN_SEED, features_of, fnv1a, tally
 from ..functions.text import nfkc
-from ..session import cut, if_small, join_back, keyed, spread
+from ..session import cut, if_small, join_back, keyed, lookup, spread
 
-# Dimensions, neighbour count and floor, plane count, bands and seed.
+# Dimensions, neighbour count and floor, bands, bits of a band and seed.
 DIMENSIONS = 512
 NEIGHBOURS = 10
 FLOOR = 0.48
-PLANES, BANDS, BAND_BITS = 48, 4, 12
+BANDS, BAND_BITS = 4, 12
 PLANE_SEED = 3719
 
 # Rows of one side of a tile; a tile is the most one task multiplies at once.
 TILE_ROWS = 2_048
+# Pivots, the rings of like angles around one, and the coarser rings by which blocks meet.
+PIVOTS, RINGS, COARSE = 32, 1_024, 64
 
 
 def hashed_tfidf(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -75,15 +77,15 @@ def pending_vectors(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.dropDuplicates(["input_hash"]).join(cache, "input_hash", "left_anti")
 
 
-def planes(dimensions: int) -> np.ndarray:
-    """The 48 hyperplanes of the seeded 32-bit xorshift sequence."""
-    state, out = PLANE_SEED, np.empty(PLANES * dimensions)
+def planes(dimensions: int, count: int = BANDS * BAND_BITS) -> np.ndarray:
+    """The first hyperplanes of the seeded 32-bit xorshift sequence."""
+    state, out = PLANE_SEED, np.empty(count * dimensions)
     for at in range(out.size):
         state ^= (state << 13) & 0xFFFFFFFF
         state ^= state >> 17
         state ^= (state << 5) & 0xFFFFFFFF
         out[at] = state / 4294967296 - 0.5
-    return out.reshape(PLANES, dimensions)
+    return out.reshape(count, dimensions)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -91,15 +93,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def signature(vector, dimensions: int) -> Column:
-    """Four 12-bit band signatures of a vector."""
-    normals = planes(dimensions)
+def signature(vector, dimensions: int, bits: int = BAND_BITS) -> Column:
+    """A signature of `bits` bits in each of four bands of a vector."""
+    normals = planes(dimensions, BANDS * bits)
 
     @arrow_udf(T.ArrayType(T.IntegerType()))
     def bands(vectors: pa.Array) -> pa.Array:
-        side = (_matrix(vectors) @ normals.T >= 0).reshape(len(vectors), BANDS, BAND_BITS)
-        bits = (side * (1 << np.arange(BAND_BITS))).sum(axis=2)
-        return pa.array(bits.astype(np.int32).tolist(), pa.list_(pa.int32()))
+        side = (_matrix(vectors) @ normals.T >= 0).reshape(len(vectors), BANDS, bits)
+        packed = (side * (1 << np.arange(bits))).sum(axis=2)
+        return pa.array(packed.astype(np.int32).tolist(), pa.list_(pa.int32()))
 
     return bands(vector)
 
@@ -107,65 +109,143 @@ def signature(vector, dimensions: int) -> Column:
 def _tile_best(count: int, floor: float):
     def best(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
-        buckets, probe = cell["bucket"].to_numpy(), cell["probe"].to_numpy(zero_copy_only=False)
+        probe, bits = cell["probe"].to_numpy(zero_copy_only=False), cell["bits"].to_numpy()
         ids, vectors = cell["id"], _matrix(cell["vector"].combine_chunks())
         keys = ids.to_numpy(zero_copy_only=False)
-        src, dst, kept = [], [], []
-        order = np.argsort(buckets, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1):
-            left, right = rows[probe[rows]], rows[~probe[rows]]
-            if not len(left) or not len(right):
-                continue
+        left, right = np.flatnonzero(probe), np.flatnonzero(~probe)
+        src = dst = np.empty(0, dtype=np.int64)
+        kept = np.empty(0)
+        if len(left) and len(right):
             scores = vectors[left] @ vectors[right].T
             fits = np.isfinite(scores) & (scores >= floor) & (keys[left][:, None] != keys[right][None, :])
-            for row in np.flatnonzero(fits.any(axis=1)):
-                at = np.flatnonzero(fits[row])
-                at = at[np.lexsort((keys[right[at]], -scores[row, at]))][:count]
-                src.append(np.full(len(at), left[row]))
-                dst.append(right[at])
-                kept.append(scores[row, at])
-        flat = [np.concatenate(part) if part else np.empty(0, dtype=kind) for part, kind in ((src, np.int64), (dst, np.int64), (kept, np.float64))]
-        return pa.table({"src": ids.take(pa.array(flat[0])), "dst": ids.take(pa.array(flat[1])), "score": flat[2]})
+            # Signatures that differ in one bit at most; where there are none they are all 0.
+            apart = bits[left][:, None] ^ bits[right][None, :]
+            src, dst = np.nonzero(fits & (apart & (apart - 1) == 0))
+            kept = scores[src, dst]
+            order = np.lexsort((keys[right[dst]], -kept, src))
+            src, dst, kept = src[order], dst[order], kept[order]
+            place = np.arange(len(src)) - np.searchsorted(src, src)
+            src, dst, kept = left[src[place < count]], right[dst[place < count]], kept[place < count]
+        return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "score": kept})
 
     return best
 
 
-def _bucket_best(probes: DataFrame, pool: DataFrame, count: int, floor: float) -> DataFrame:
-    """Best `count` pool vectors per probe within equal buckets, as (src, dst, score).
+def _cells_best(both: DataFrame, count: int, floor: float) -> DataFrame:
+    """The best `count` of each probe over cells(cell, id, vector, bits, probe), as (src, dst, score).
 
-    Both sides of a bucket are cut into blocks of at most about TILE_ROWS rows, and each pair of blocks
-    is one tile. A tile returns only its best rows, so a bucket that holds a third of the table becomes
-    many tasks and never a list of all its pairs. Every bucket is a group of its own, whatever the
-    number of cores, so no group holds more than two blocks.
+    A cell holds two blocks at most and returns only its best rows, never a list of all its pairs.
     """
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("bucket").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias(name))
-
-    # At most BANDS * 2^BAND_BITS buckets exist, so this side has a fixed bound.
-    plan = F.broadcast(cut(blocks(probes, "rows").join(blocks(pool, "cols"), "bucket")))
-
-    def tiles(df: DataFrame, probe: bool) -> DataFrame:
-        own, other = ("rows", "cols") if probe else ("cols", "rows")
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
-        theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        placed = df.join(plan, "bucket").select("bucket", "id", "vector", "rows", "cols", mine.alias("mine"), theirs.alias("theirs"))
-        row, col = ("mine", "theirs") if probe else ("theirs", "mine")
-        return placed.select(F.concat_ws("-", "bucket", row, col).alias("cell"), "bucket", "id", "vector", F.lit(probe).alias("probe"))
-
-    both = tiles(probes, True).unionByName(tiles(pool, False))
-    kind = dict(probes.dtypes)["id"]
+    kind = dict(both.dtypes)["id"]
     found = keyed(both, "cell").groupBy("cell").applyInArrow(_tile_best(count, floor), f"src {kind}, dst {kind}, score double")
     rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
     merged = found.groupBy("src", "dst").agg(F.max("score").alias("score"))
     return merged.withColumn("place", rank).where(F.col("place") <= count).drop("place")
 
 
-def nearest_neighbours(vectors: DataFrame, count: int = NEIGHBOURS, floor: float = FLOOR, *, method: str) -> DataFrame:
+def half_signatures(signed: DataFrame, bits: int) -> DataFrame:
+    """(bucket, id, vector, bits): each band's signature under both of its halves.
+
+    Of two signatures that differ in one bit at most, one half is equal, so two copies a band meet all such pairs.
+    """
+    low = bits // 2
+    halves = F.explode(F.array(*(
+        F.struct(F.lit(side).alias("side"), (F.shiftright("bits", low) if side else F.col("bits").bitwiseAND((1 << low) - 1)).alias("half")) for side in (0, 1)
+    )))
+    return signed.select("id", "vector", "band", "bits", halves.alias("h")).select(
+        F.concat_ws("-", "band", "h.side", "h.half").alias("bucket"), "id", "vector", "bits"
+    )
+
+
+def _bucket_best(rows: DataFrame, count: int, floor: float) -> DataFrame:
+    """Best `count` others within equal buckets of rows(bucket, id, vector, bits).
+
+    A bucket is cut into blocks of about TILE_ROWS rows, and each pair of blocks is one tile, so a bucket that holds
+    a third of the table becomes many tasks.
+    """
+    plan = cut(rows.groupBy("bucket").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks")))
+    placed = lookup(rows, plan, ["bucket"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = placed.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def side(row: str, col: str, probe: bool) -> DataFrame:
+        return each.select(F.concat_ws("-", "bucket", row, col).alias("cell"), "id", "vector", "bits", F.lit(probe).alias("probe"))
+
+    return _cells_best(side("mine", "theirs", True).unionByName(side("theirs", "mine", False)), count, floor)
+
+
+def pivot_blocks(reps: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
+    """reps(id, vector) with `block`, of about `rows` vectors around one pivot at like angles, and all pivots' `angles`."""
+    chosen = reps.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+    pivots = np.array([r["vector"] for r in chosen], dtype=np.float64)
+
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def angles(vectors: pa.Array) -> pa.Array:
+        near = np.nan_to_num(_matrix(vectors) @ pivots.T)
+        return pa.array(np.arccos(np.clip(near, -1, 1)).tolist(), pa.list_(pa.float64()))
+
+    seen = cut(reps.withColumn("angles", angles("vector")))
+    nearest = seen.withColumn("least", F.array_min("angles")).withColumn("pivot", F.array_position("angles", F.col("least")).cast("int"))
+    nearest = nearest.withColumn("ring", F.floor(F.col("least") * (RINGS / np.pi)).cast("int"))
+    # At most PIVOTS * RINGS rings exist, whatever the number of vectors.
+    rings = nearest.groupBy("pivot", "ring").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("pivot").orderBy("ring"))
+    plan = cut(rings.select("pivot", "ring", F.floor((upto - F.col("n")) / rows).alias("group"), F.ceil(F.col("n") / rows).alias("parts")))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    return nearest.join(F.broadcast(plan), ["pivot", "ring"]).select(
+        "id", "vector", "angles", "pivot", F.concat_ws("-", "pivot", "group", F.when(F.col("parts") > 1, F.concat_ws(".", "ring", part))).alias("block")
+    )
+
+
+def near_blocks(blocks: DataFrame, floor: float) -> DataFrame:
+    """(a, b) of the blocks that can hold a pair at or above `floor`, by the triangle inequality over all pivots.
+
+    Both lie at angles to each pivot; where these differ by more than the floor's angle everywhere in two blocks, no
+    pair is close enough. Blocks meet by rings around the first one's own pivot, so no all-pairs join is made.
+    """
+    theta = float(np.arccos(max(-1.0, min(1.0, floor)))) + 1e-6
+    count = blocks.select(F.size("angles").alias("n")).first()
+    at = range(count["n"] if count else 0)
+    bounds = cut(blocks.groupBy("block").agg(
+        F.first("pivot").alias("pivot"), F.array(*(F.min(F.get("angles", F.lit(i))) for i in at)).alias("low"),
+        F.array(*(F.max(F.get("angles", F.lit(i))) for i in at)).alias("high"),
+    ))
+
+    def ring(angle):
+        return F.floor(angle * (COARSE / np.pi)).cast("int")
+
+    own = F.col("pivot") - 1
+    wanted = bounds.select(
+        F.col("block").alias("a"), F.col("low").alias("alow"), F.col("high").alias("ahigh"), "pivot",
+        F.explode(F.sequence(ring(F.greatest(F.get("low", own) - theta, F.lit(0.0))), ring(F.least(F.get("high", own) + theta, F.lit(float(np.pi)))))).alias("ring"),
+    )
+    spans = F.posexplode(F.arrays_zip("low", "high")).alias("p", "z")
+    offered = bounds.select(F.col("block").alias("b"), F.col("low").alias("blow"), F.col("high").alias("bhigh"), spans).select(
+        "b", "blow", "bhigh", (F.col("p") + 1).alias("pivot"), F.explode(F.sequence(ring(F.col("z.low")), ring(F.col("z.high")))).alias("ring")
+    )
+    gap = F.array_max(F.zip_with(F.zip_with("alow", "bhigh", lambda x, y: x - y), F.zip_with("blow", "ahigh", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
+    return join_back(wanted, offered, ["pivot", "ring"]).where(gap <= theta).select("a", "b").distinct()
+
+
+def _pruned_best(reps: DataFrame, count: int, floor: float) -> DataFrame:
+    """Best `count` others at or above `floor`, exactly: tiles of blocks that the pivots cannot keep apart."""
+    blocks = cut(pivot_blocks(reps))
+    pairs = cut(near_blocks(blocks, floor).withColumn("cell", F.concat_ws("|", "a", "b")))
+    rows = blocks.select("id", "vector", F.lit(0).alias("bits"), "block")
+
+    def side(mine: str, probe: bool) -> DataFrame:
+        placed = lookup(rows, pairs.select(F.col(mine).alias("block"), "cell"), ["block"])
+        return placed.select("cell", "id", "vector", "bits", F.lit(probe).alias("probe"))
+
+    return _cells_best(side("a", True).unionByName(side("b", False)), count, floor)
+
+
+def nearest_neighbours(
+    vectors: DataFrame, count: int = NEIGHBOURS, floor: float = FLOOR, *, method: str, bits: int = BAND_BITS
+) -> DataFrame:
     """(src, dst, score, place) for vectors(id, vector): the best `count` others at or above `floor`.
 
-    `method` is `exact`, which compares everything in tiles, or `buckets`, which compares bucket
-    candidates; the size of the table changes neither. Equal vectors are compared once: a group of copies is one row with its smallest ids, and each copy gets the shared
+    `method` is `exact`, which compares all blocks that pivots cannot keep apart, or `buckets`, which compares
+    vectors whose signatures of `bits` bits differ in one bit at most in some band. Equal vectors are compared once: a group of copies is one row with its smallest ids, and each copy gets the shared
     answer back with itself left out. No bucket and no candidate list is capped.
     """
     unit = cut(vectors.select("id", l2_normalize(F.transform("vector", lambda x: x.cast("double"))).alias("vector")))
@@ -188,18 +268,10 @@ def nearest_neighbours(vectors: DataFrame, count: int = NEIGHBOURS, floor: float
     heads = cut(heads)
     reps = heads.select(F.col("rep").alias("id"), "vector")
     if exact:
-        # One bucket for everything, from a column rather than a literal, which would fold the join away.
-        pool = reps.select(F.pmod(F.xxhash64("id"), F.lit(1)).cast("int").alias("bucket"), "id", "vector")
-        near = _bucket_best(pool, pool, count, floor)
+        near = _pruned_best(reps, count, floor)
     else:
-        signed = reps.select("id", "vector", F.posexplode(signature("vector", dimensions[0].d)).alias("band", "bits"))
-        signed = cut(signed)
-        pool = signed.select((F.col("band") * (1 << BAND_BITS) + F.col("bits")).alias("bucket"), "id", "vector")
-        flips = F.array(F.lit(0), *[F.lit(1 << bit) for bit in range(BAND_BITS)])
-        probes = signed.select("id", "vector", "band", "bits", F.explode(flips).alias("flip")).select(
-            (F.col("band") * (1 << BAND_BITS) + F.col("bits").bitwiseXOR(F.col("flip"))).alias("bucket"), "id", "vector"
-        )
-        near = _bucket_best(probes, pool, count, floor)
+        signed = reps.select("id", "vector", F.posexplode(signature("vector", dimensions[0].d, bits)).alias("band", "bits"))
+        near = _bucket_best(half_signatures(signed, bits), count, floor)
 
     members = heads.select(F.col("rep").alias("dst"), "ids")
     spread_out = near.join(members, "dst").select("src", F.explode("ids").alias("dst"), "score")

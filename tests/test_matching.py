@@ -20,6 +20,46 @@ def brute_neighbours(vectors, count, floor):
     return out
 
 
+def test_blocks_that_pivots_keep_apart_are_skipped(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 24))
+    vectors = {i: (centres[i % 40] / np.linalg.norm(centres[i % 40]) + rng.normal(size=24) * 0.03).tolist() for i in range(1_200)}
+    frame = spark.createDataFrame(list(vectors.items()), "id int, vector array<double>").repartition(4)
+    got = {}
+    for e in V.nearest_neighbours(frame, 5, 0.9, method="exact").collect():
+        got.setdefault(e.src, {})[e.place] = e.dst
+    assert {i: [p[k] for k in sorted(p)] for i, p in got.items()} == {i: b for i, b in brute_neighbours(vectors, 5, 0.9).items() if b}
+    unit = frame.select("id", V.l2_normalize("vector").alias("vector"))
+    blocks = V.cut(V.pivot_blocks(unit, 20))
+    many = blocks.select("block").distinct().count()
+    kept = V.near_blocks(blocks, 0.9)
+    pairs = {(r.a, r.b) for r in kept.collect()}
+    assert many >= 40 and len(pairs) < many * many / 3
+    # No pair above the floor lies in skipped blocks.
+    home = {r["id"]: r.block for r in blocks.select("id", "block").collect()}
+    assert all((home[i], home[j]) in pairs for i, b in brute_neighbours(vectors, 60, 0.9).items() for j in b)
+
+
+def test_half_signatures_meet_all_pairs_one_bit_apart(spark):
+    rows = spark.createDataFrame([(i, 0, i) for i in range(64)], "id int, band int, bits int").withColumn("vector", F.array(F.lit(1.0)))
+    halves = V.half_signatures(rows, 6)
+    assert halves.count() == 2 * 64
+    met = halves.select("bucket", F.col("id").alias("a")).join(halves.select("bucket", F.col("id").alias("b")), "bucket").select("a", "b").distinct().collect()
+    assert {(a, a ^ (1 << k)) for a in range(64) for k in range(6)} <= {(r.a, r.b) for r in met}
+
+
+@pytest.mark.parametrize("bits", [8, 12])
+def test_recall_of_buckets(spark, bits):
+    rng = np.random.default_rng(16)
+    base = rng.normal(size=(100, 32))
+    vectors = {i: (base[i % 100] + rng.normal(size=32) * 0.15).tolist() for i in range(600)}
+    frame = spark.createDataFrame(list(vectors.items()), "id int, vector array<double>")
+    got = {(e.src, e.dst) for e in V.nearest_neighbours(frame, 5, 0.48, method="buckets", bits=bits).collect()}
+    wanted = {(i, j) for i, b in brute_neighbours(vectors, 5, 0.48).items() for j in b}
+    assert len(got & wanted) >= 0.9 * len(wanted)
+
+
+
 @pytest.mark.parametrize("tile", [7, 2048])
 def test_neighbours_with_a_hot_group_of_copies(spark, monkeypatch, tile):
     monkeypatch.setattr(V, "TILE_ROWS", tile)
