@@ -302,7 +302,7 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
     first = _roots(tokens, range(ROOTS))
-    first = join_back(roots, first.select("node").distinct(), ["node"], "left_semi")
+    first = _stored(join_back(roots, first.select("node").distinct(), ["node"], "left_semi"), "first")
     small, big = first.where(F.col("n") <= BLOCK), first.where(F.col("n") > BLOCK)
     least = big.groupBy("node").agg(F.min("key").alias("key"))
     found = _stored(_edges(small.select("node", "key").union(_blocks(big, least)), texts), "edges")
@@ -311,8 +311,10 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     hubs = join_back(big.select("node", "key"), found.withColumnRenamed("b", "key"), ["key"]).groupBy("node").agg(
         F.max(F.struct("degree", "a"))["a"].alias("key")
     )
-    found = found.union(_stored(_edges(_blocks(big, hubs), texts), "edges"))
-    known = _labels(found)
+    hubs = _stored(_blocks(big, hubs), "blocks")
+    found = found.union(_stored(_edges(hubs, texts), "edges"))
+    # Written, as every level below looks it up; planned anew each time, it would fill the driver with plans.
+    known = _stored(_labels(found), "known")
 
     rows, tasks = roots.select("node", "key"), []
     for level in range(1, DEPTH + 1):
@@ -322,10 +324,10 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
         if big.isEmpty():
             break
         if level == DEPTH:
-            tasks.append(_tiles(big, known))
+            tasks.append(_stored(_tiles(big, known), "tiles"))
             break
-        rows = _children(big.select("node", "key"), tokens)
-    more = _edges(_union(spark, tasks, "node long, key binary"), texts)
+        rows = _stored(_children(big.select("node", "key"), tokens), "children")
+    more = _stored(_edges(_union(spark, tasks, "node long, key binary"), texts), "edges")
     return components(found.union(more))
 
 

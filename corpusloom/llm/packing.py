@@ -48,7 +48,7 @@ def _encoder(path: str) -> UnitEncoder:
     return UnitEncoder(encode)
 
 
-def _cut(path: str | None, most: int):
+def _cut(path: str | None, most: int, kept: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
         end = np.array([END], dtype="<u4").tobytes()
@@ -73,23 +73,22 @@ def _cut(path: str | None, most: int):
                     ],
                     ["doc_id", "start", "length", "ids", "doc_tokens"],
                 )
+        if kept is not None and len(encoder.held) > kept:
+            encoder.held.clear()
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, most: int = MOST) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, most: int = MOST, kept: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32 bits), doc_tokens, sequence_id, offset, bucket.
 
-    `path`: the tokenizer's file on the workers. `bucket` is the exponent of the length.
+    `path`: the tokenizer's file on the workers. `bucket` is the exponent of the length. `kept`: encoded units that a
+    worker may keep from task to task, where other stages need its memory too.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = docs.select("doc_id", "text").mapInArrow(_cut(path, most), SCHEMA.format(kind=kind))
+    pieces = docs.select("doc_id", "text").mapInArrow(_cut(path, most, kept), SCHEMA.format(kind=kind))
     return pieces.select(
         "*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
         F.log2("length").cast("int").alias("bucket"),
     )
-
-
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """A folder per length, so that a reader draws batches of equal sequences."""
-    pieces.write.partitionBy("bucket").parquet(path)

@@ -247,3 +247,18 @@ def test_registration():
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
     assert set(plans.ORACLES) <= set(plans.QUERIES)
     assert hashlib.sha256(plans.TRICKY.encode()).hexdigest() == plain.sha("\\### Assistant: </turn> ok")
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, n_removed long, kept_text string, label int, kept boolean, q_words string"
+
+
+@pytest.mark.parametrize("rows", [[], plain.odd_documents()])
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES) - 1))
+def test_stages_keep_clashing_columns(spark, stage, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7.0, 5, "k", 3, True, "q") for i, t in rows], CLASH).repartition(2)
+    got = corpus_pipeline.STAGES[stage][1](spark, docs, "/root/testdata/sf0.001")
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert len(kept) <= len(rows)
+    assert all((r.score, r.n_removed, r.kept_text, r.label, r.kept, r.q_words) == (7.0, 5, "k", 3, True, "q") for r in kept)
+    assert {(r.doc_id) for r in kept} <= {i for i, _ in rows}
