@@ -1,4 +1,9 @@
-"""A pipeline over `documents`: quality rules, toxicity, near-duplicates, repeated substrings, packing."""
+"""A pipeline over `documents`: quality rules, toxicity, near-duplicates, repeated substrings, packing.
+
+Defined results of every stage: null and empty texts are documents without words (quality rejects them), repeated
+rows are documents of their own, null ids stay, extra columns pass through under any name, an empty table gives an
+empty one; very long texts are read whole, and only packing changes the columns.
+"""
 
 from __future__ import annotations
 
@@ -18,10 +23,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs)
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The documents with columns under names that clash with no operator's, and `text` beside them; and those names."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)), F.col("text")), names
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below a half; the labels of `sf_dir` and the texts of this stage's input teach it."""
-    model = toxicity.fit(docs, load(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return toxicity.score(docs, model, *docs.columns).where("score < 0.5").select(*docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "toxic"))
+    held, names = _apart(docs)
+    kept = toxicity.score(held, model, *names).where("score < 0.5")
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +46,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that repeated windows cover; a text that loses none stays as it is."""
     ship(spark)
+    held, names = _apart(docs)
     changed = F.col("n_removed") > 0
-    return substring.dedupe(docs, *docs.columns, "text").withColumn(
-        "n_chars", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    ).withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).select(*docs.columns)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return substring.dedupe(held, *names, "text").select(
+        *(F.when(changed, new[c]).otherwise(F.col(n)).alias(c) if c in new else F.col(n).alias(c) for c, n in zip(docs.columns, names))
+    )
+
+
+# Encoded units that packing leaves in a worker: the next run's stages need the memory.
+KEPT_UNITS = 20_000
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two length: ids as an array, with the bucket that batches are drawn from."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, kept=KEPT_UNITS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
