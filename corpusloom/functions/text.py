@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -34,6 +35,9 @@ def nfkd(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, form="NFKD")
 
 
+_NOT_KEY = re.compile(r"[^a-z0-9]+")
+
+
 @arrow_udf(T.StringType())
 def normalize_casefold(text: pa.Array) -> pa.Array:
     """Ingestion key: NFKD, case folded, alphanumeric characters that are not combining marks."""
@@ -41,6 +45,8 @@ def normalize_casefold(text: pa.Array) -> pa.Array:
         [
             None
             if value is None
+            else _NOT_KEY.sub("", value.lower())
+            if value.isascii()
             else "".join(
                 c
                 for c in unicodedata.normalize("NFKD", value).casefold()

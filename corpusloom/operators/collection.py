@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import SPACE
 from ..functions.urls import canonical_url, host, host_in, path, path_in, target_id
-from ..session import cut, if_small, join_back
+from ..session import cut, if_small, join_back, lookup
 
 # Page limits, challenge wording, statuses that need no further work.
 MAX_BYTES = 32_000_000
@@ -125,23 +125,28 @@ def first_content(pages: DataFrame) -> DataFrame:
     )
 
 
-def discover(links: DataFrame, plan: DataFrame, families: DataFrame, published: DataFrame, target: int) -> DataFrame:
-    """New targets per family, URL order, up to the family quota and `target` in all.
+def discover(links: DataFrame, plan: DataFrame, families: DataFrame, published: DataFrame, target: int | None = None) -> DataFrame:
+    """New targets per family, URL order, up to the family's quota and `target` in all, if given.
 
-    links(family_id, url); plan(position, family_id, include, quota); families(family_id, hosts).
+    links(family_id, url); plan(position, family_id, include, quota), or `share` in place of the quota: the
+    hundredths of its new links that a family may bring, so that it grows with them; families(family_id, hosts).
     A family never repeats a URL an earlier family selected; only families that share a host with an
     earlier one need that comparison.
     """
-    rules = families.join(plan, "family_id").select("position", "family_id", "hosts", "include", "quota")
+    limit = "share" if "share" in plan.columns else "quota"
+    rules = families.join(plan, "family_id").select("position", "family_id", "hosts", "include", limit)
     known = published.select(canonical_url("url").alias("url")).where("url IS NOT NULL").distinct()
     listed = (
         links.join(if_small(rules), "family_id")
         .withColumn("url", canonical_url("url"))
         .where(host_in(host("url"), "hosts") & path_in(path("url"), "include"))
-        .select("position", "family_id", "quota", "url")
+        .select("position", "family_id", limit, "url")
         .distinct()
         .join(known, "url", "left_anti")
     )
+    if limit == "share":
+        sizes = listed.groupBy("position").agg(F.ceil(F.max("share") * F.count("*") / 100).alias("quota"))
+        listed = lookup(listed, sizes, ["position"])
     order = rules.orderBy("position").select("position", "hosts").collect()
     rank = F.row_number().over(W.partitionBy("position").orderBy("url"))
 
@@ -160,11 +165,8 @@ def discover(links: DataFrame, plan: DataFrame, families: DataFrame, published:
             chosen.where(F.col("position") < position).select("url"), "url", "left_anti"
         )
         chosen = chosen.unionByName(own.withColumn("place", rank).where("place <= quota"))
-    return (
-        chosen.orderBy("position", "url")
-        .limit(target)
-        .select("family_id", "url", target_id("family_id", "url").alias("target_id"))
-    )
+    chosen = chosen if target is None else chosen.orderBy("position", "url").limit(target)
+    return chosen.select("family_id", "url", target_id("family_id", "url").alias("target_id"))
 
 
 def listing_pages(plan: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import lookup
+
 # Blind salt, conditions, gate thresholds, latency target.
 BLIND_SALT = "quality-v2"
 CONDITIONS = ["baseline", "candidate"]
@@ -198,3 +200,18 @@ def usage_totals(costed: DataFrame, *by: str) -> DataFrame:
 def attribution_counts(rows: DataFrame, run: str, kind: str, kinds: list[str]) -> DataFrame:
     """One row per run with a zero-filled count per kind."""
     return rows.groupBy(run).agg(*[F.count_if(F.col(kind) == k).alias(k) for k in kinds])
+
+
+def best_observation(films: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The first observation of each request of which every film resolves.
+
+    films(request_id, observation_id, rank, film_id), ordered by (rank, observation_id); resolved(film_id). An
+    observation with a film that is null or not resolved never counts. Partial sums only, no list of a request's rows.
+    """
+    known = resolved.select("film_id").distinct().withColumn("_known", F.lit(True))
+    whole = (
+        lookup(films, known, ["film_id"], "left").groupBy("request_id", "observation_id")
+        .agg(F.min("rank").alias("rank"), F.bool_and(F.coalesce("_known", F.lit(False))).alias("whole"))
+    )
+    first = F.min(F.struct("rank", "observation_id"))["observation_id"]
+    return whole.where("whole").groupBy("request_id").agg(first.alias("observation_id"))

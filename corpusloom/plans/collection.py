@@ -17,12 +17,12 @@ FAMILIES = [
     ("net-family", ["example.net"], ["/"]),
     ("org-family", ["example.org"], ["/en/", "/de/", "/es/"]),
 ]
+# Position, family, path prefixes and the share of its links, in hundredths, that a family may bring.
 DISCOVERY = [
-    (1, "com-family", ["/a", "/e", "/t", "/I"], 60),
-    (2, "net-family", ["/"], 60),
-    (3, "org-family", ["/o", "/th", "/w"], 40),
+    (1, "com-family", ["/a", "/e", "/t", "/I"], 75),
+    (2, "net-family", ["/"], 75),
+    (3, "org-family", ["/o", "/th", "/w"], 50),
 ]
-TARGET_DOCUMENTS = 120
 
 
 def families(spark: SparkSession) -> DataFrame:
@@ -111,11 +111,10 @@ _LINK_SQL = f"""
           'https://' || {_HOST.replace('url', 'page_url')} || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url
         FROM raw WHERE page_url LIKE 'https://%'),
   f AS (SELECT family_id, url, {_PATH} AS path FROM u),
-  k AS (SELECT family_id, url, row_number() OVER (PARTITION BY family_id ORDER BY url) AS place FROM f
+  k AS (SELECT family_id, url, row_number() OVER (PARTITION BY family_id ORDER BY url) AS place, count(*) OVER (PARTITION BY family_id) AS n FROM f
         WHERE (family_id = 'com-family' AND regexp_matches(path, '^/[aetI]'))
           OR family_id = 'net-family' OR (family_id = 'org-family' AND regexp_matches(path, '^/(o|th|w)'))),
-  sel AS (SELECT family_id, url FROM k WHERE place <= CASE family_id WHEN 'org-family' THEN 40 ELSE 60 END
-        ORDER BY family_id, url LIMIT {TARGET_DOCUMENTS})"""
+  sel AS (SELECT family_id, url FROM k WHERE place <= ceil(n * CASE family_id WHEN 'org-family' THEN 50 ELSE 75 END / 100))"""
 
 
 @query(
@@ -127,8 +126,8 @@ _LINK_SQL = f"""
 def link_discovery(spark: SparkSession, folder: str) -> DataFrame:
     table = spread(load(spark, folder, "pages", "url", "html"))
     links = table.select(family_of("url").alias("family_id"), F.explode_outer(extract_links("html", "url")).alias("url"))
-    plan = spark.createDataFrame(DISCOVERY, "position int, family_id string, include array<string>, quota int")
-    return discover(links, plan, families(spark), load(spark, folder, "pages", "url"), TARGET_DOCUMENTS)
+    plan = spark.createDataFrame(DISCOVERY, "position int, family_id string, include array<string>, share int")
+    return discover(links, plan, families(spark), load(spark, folder, "pages", "url"))
 
 
 _TEXT_SQL = """

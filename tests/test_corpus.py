@@ -564,3 +564,21 @@ def test_late_rows_are_counted_and_percentiles_exact(spark, tmp_path):
     assert got == {len(v): (at_(v, 50), at_(v, 95)) for v in (first, rest)}
     late = spark.read.parquet(f"{root}/rows/*/kind=late")
     assert late.agg(F.sum("n")).first()[0] == len(rest)
+
+
+def test_best_observation_is_the_first_of_which_all_films_resolve(spark):
+    rows = [
+        ("r", "a", 1, "x"), ("r", "a", 1, "gone"), ("r", "b", 2, "x"), ("r", "b", 2, "y"), ("r", "c", 2, "x"), ("q", "d", 1, None), ("q", "e", 5, "y"),
+        ("q", "e", 5, "y"), ("none", "f", 1, "gone"),
+    ]
+    films = spark.createDataFrame(rows, "request_id string, observation_id string, rank int, film_id string")
+    known = spark.createDataFrame([("x",), ("y",), ("y",)], "film_id string")
+    assert {tuple(r) for r in Q.best_observation(films, known).collect()} == {("r", "b"), ("q", "e")}
+
+
+def test_casefolded_keys_of_plain_letters_equal_the_general_form(spark):
+    from corpusloom.functions.text import normalize_casefold
+
+    rows = [("The Two-Faces (1999)!",), ("ÉLAN  Ｖital",), ("Straße",), ("",), (None,), ("a_b",)]
+    got = [r.k for r in spark.createDataFrame(rows, "t string").select(normalize_casefold("t").alias("k")).collect()]
+    assert got == ["thetwofaces1999", "elanvital", "strasse", "", None, "ab"]
