@@ -243,7 +243,7 @@ def test_near_duplicate_stage_keeps_rows_with_odd_values(spark):
 
 def test_registration():
     names = [n for n in entry.queries() if n.startswith("op") and n[2:3].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
     assert set(plans.ORACLES) <= set(plans.QUERIES)
     assert hashlib.sha256(plans.TRICKY.encode()).hexdigest() == plain.sha("\\### Assistant: </turn> ok")
