@@ -6,16 +6,14 @@ then all segments finish at once. No ordered group has to fit one task.
 
 from __future__ import annotations
 
-import json
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut, keyed
+from .elements import elements, numbered
 
 SEGMENT_ROWS = 4_096
 
@@ -129,56 +127,43 @@ def reassemble(deltas: DataFrame, group: str, order: str, text: str, part_rows:
 TITLE_CHARS = 240
 FIRST_YEAR, LAST_YEAR = 1888, 2100
 
-_ROW = T.ArrayType(
-    T.StructType().add("t", T.StringType()).add("y", T.IntegerType()).add("d", T.StringType())
-)
-
-
-def _complete(text: str) -> list[dict]:
-    """Complete objects of the list under the key `r`, however much of the text is there."""
-    start = re.search(r'"r"\s*:\s*\[', text)
-    if not start:
-        return []
-    decoder, at, rows = json.JSONDecoder(), start.end(), []
-    while True:
-        while at < len(text) and text[at] in " \t\r\n,":
-            at += 1
-        if at >= len(text) or text[at] == "]":
-            return rows
-        try:
-            row, at = decoder.raw_decode(text, at)
-        except ValueError:
-            return rows
-        if (
-            isinstance(row, dict)
-            and isinstance(row.get("t"), str) and 0 < len(row["t"]) <= TITLE_CHARS
-            and type(row.get("y")) is int and FIRST_YEAR <= row["y"] <= LAST_YEAR
-            and isinstance(row.get("d"), str) and 0 < len(row["d"]) <= TITLE_CHARS
-        ):
-            rows.append({"t": row["t"], "y": row["y"], "d": row["d"]})
-
-
-@arrow_udf(_ROW)
-def complete_rows(text: pa.Array) -> pa.Array:
-    shape = pa.list_(pa.struct([("t", pa.string()), ("y", pa.int32()), ("d", pa.string())]))
-    return pa.array([None if v is None else _complete(v) for v in text.to_pylist()], shape)
-
-
-def reassemble_rows(deltas: DataFrame) -> DataFrame:
-    """deltas(request_id, seq, delta, event) as complete proposal rows and a status per request.
-
-    A stream without its `completed` event is INCOMPLETE, whatever rows arrived.
+
+def reassemble_rows(deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """deltas(request_id, seq, delta, event) as proposals(request_id, position, t, y, d) and statuses(request_id, status).
+
+    Proposals are the complete objects of the list under the key `r` that hold a title, a year and a director;
+    others are passed over. A stream without its `completed` event is INCOMPLETE, whatever rows arrived.
+    `seq` is a whole number that is unique in its request; a response is cut into parts of it, so its
+    deltas may be a third of all.
     """
-    sizes = deltas.groupBy("request_id").agg(
+    statuses = deltas.groupBy("request_id").agg(
         F.when(F.bool_or(F.col("event").isin("failed", "incomplete", "error")), "INCOMPLETE")
         .when(F.bool_or(F.col("event") == "completed"), "COMPLETE")
         .otherwise("INCOMPLETE")
         .alias("status"),
     )
-    whole = (
-        deltas.where(F.col("event") == "delta")
-        .groupBy("request_id")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("d"))
-        .select("request_id", complete_rows(F.array_join("d.delta", "")).alias("rows"))
+    kind = dict(deltas.dtypes)["request_id"]
+    texts = deltas.where((F.col("event") == "delta") & F.col("request_id").isNotNull())
+    texts = texts.select(F.col("request_id").cast("string").alias("group"), "seq", "delta")
+    part_rows = max(64, math.isqrt(texts.count()))
+    parts = reassemble(texts, "group", "seq", "delta", part_rows).select("group", F.col("part").cast("bigint").alias("part"), "text")
+    items, _ = elements(parts, "r")
+    # Years are read as decimals, so that 1990.5 is none; 1990.0 is one, as in JSON all numbers are alike.
+    value = F.try_parse_json(F.trim("item"))
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get("v", f"$.{name}", kind)
+
+    def is_a(name: str, kinds: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")).rlike(kinds)
+
+    rows = items.withColumn("v", value).where(F.schema_of_variant("v").startswith("OBJECT"))
+    year = field("y", "double")
+    kept = rows.where(
+        is_a("t", "^STRING$") & F.length(field("t", "string")).between(1, TITLE_CHARS)
+        & is_a("d", "^STRING$") & F.length(field("d", "string")).between(1, TITLE_CHARS)
+        & is_a("y", "^(BIGINT|DECIMAL.*|DOUBLE)$") & year.between(FIRST_YEAR, LAST_YEAR) & (year == F.floor(year))
     )
-    return sizes.join(whole, "request_id", "left").select("request_id", "status", "rows")
+    named = kept.select("group", "part", "idx", field("t", "string").alias("t"), year.cast("int").alias("y"), field("d", "string").alias("d"))
+    proposals = numbered(named).select(F.col("group").cast(kind).alias("request_id"), "position", "t", "y", "d")
+    return proposals, statuses

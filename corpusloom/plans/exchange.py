@@ -11,7 +11,7 @@ from ..operators.contract import apply_repairs, connections, decode_wire, output
 from ..operators.entities import canonicalize, match_by_authority
 from ..operators.projections import entity_films, provider_films
 from ..operators.sequences import reassemble_rows
-from ..session import cut, load, scratch_path, spread
+from ..session import cut, join_back, load, scratch_path, spread
 from ..sources.model_io import batch_lines, read_model_results, write_batch_requests
 from .registry import query
 from .texts import CHUNK_LIMIT, CHUNK_OVERLAP, CHUNKS_SQL
@@ -327,8 +327,8 @@ DELTA_CHARS = 40
 
 @query(
     "reassemble_proposals",
-    f"""WITH {_SLOTS} SELECT o AS request_id, CASE WHEN o_orderstatus = 'P' THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status, count(*) AS proposals,
-      sha256(string_agg('part ' || part, ',' ORDER BY slot)) AS titles_sha FROM s JOIN orders ON o_orderkey = o GROUP BY o, o_orderstatus""",
+    f"""WITH {_SLOTS} SELECT o AS request_id, CASE WHEN o_orderstatus = 'P' THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status, slot - 1 AS position,
+      'part ' || part AS title FROM s JOIN orders ON o_orderkey = o""",
 )
 def reassemble_proposals(spark: SparkSession, folder: str) -> DataFrame:
     """Wire outputs cut into deltas of forty characters and put together again; pending orders never complete."""
@@ -344,6 +344,5 @@ def reassemble_proposals(spark: SparkSession, folder: str) -> DataFrame:
     ends = orders.where("o_orderstatus != 'P'").join(outputs.select("request_id"), "request_id", "left_semi").select(
         "request_id", F.lit(1 << 40).alias("seq"), F.lit(None).cast("string").alias("delta"), F.lit("completed").alias("event")
     )
-    out = reassemble_rows(deltas.unionByName(ends))
-    titles = F.array_join(F.transform("rows", lambda r: r["t"]), ",")
-    return out.select("request_id", "status", F.size("rows").cast("bigint").alias("proposals"), F.sha2(titles, 256).alias("titles_sha"))
+    proposals, statuses = reassemble_rows(deltas.unionByName(ends))
+    return join_back(proposals, statuses, ["request_id"]).select("request_id", "status", "position", F.col("t").alias("title"))

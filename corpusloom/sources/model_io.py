@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.elements import SCALAR, elements, file_parts
 from ..schemas import CANDIDATE, MODEL_RESULT
+from ..session import cut, lookup
 
 # What one batch file may hold.
 BATCH_ROWS = 50_000
@@ -85,12 +91,47 @@ def read_model_results(spark: SparkSession, path: str, job_id: str, manifest: Da
 UNKNOWN_TIME = "unknown_legacy_cache"
 
 
-def read_vector_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON cache as (model, dimensions, input_hash, vector, generated_at)."""
-    schema = "model string, dimensions int, vectors map<string,array<double>>, generatedAt map<string,string>"
-    body = spark.read.schema(schema).option("multiLine", True).json(path)
-    times = body.select(F.explode("generatedAt").alias("input_hash", "at"))
-    rows = body.select("model", "dimensions", F.explode("vectors").alias("input_hash", "vector"))
-    return rows.join(times, "input_hash", "left").select(
+def read_vector_cache(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """JSON caches as (model, dimensions, input_hash, vector, generated_at).
+
+    Read in splits, one entry of a map after the other, so neither file nor map has to fit a task. A vector
+    without a time is from an unknown time.
+    """
+    entries, _ = elements(file_parts(spark, path, glob), "vectors", "generatedAt", scalars=True)
+    held = cut(entries.select("group", "key", F.concat(F.lit("{"), "item", F.lit("}")).alias("entry")))
+    header = F.from_json(F.when(F.col("key") == SCALAR, F.col("entry")), "model string, dimensions int")
+    headers = held.select("group", header.alias("h")).groupBy("group").agg(F.max("h.model").alias("model"), F.max("h.dimensions").alias("dimensions"))
+
+    def entry_of(key: str, kind: str, name: str) -> DataFrame:
+        return held.where(F.col("key") == key).select("group", F.explode(F.from_json("entry", f"map<string,{kind}>")).alias("input_hash", name))
+
+    dated = entry_of("vectors", "array<double>", "vector").join(entry_of("generatedAt", "string", "at"), ["group", "input_hash"], "left")
+    return lookup(dated, headers, ["group"], "left").select(
         "model", "dimensions", "input_hash", "vector", F.coalesce("at", F.lit(UNKNOWN_TIME)).alias("generated_at")
     )
+
+
+def write_vector_cache(vectors: DataFrame, path: str, model: str, dimensions: int) -> None:
+    """vectors(input_hash, vector, generated_at) as cache files below a new path, one per partition, an entry a line."""
+    opening = json.dumps({"model": model, "dimensions": dimensions, "vectors": {}})[:-2]
+    between = '}, "generatedAt": {'
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, timed = opening, False
+        for batch in batches:
+            out = []
+            for late, entry in zip(batch.column("late").to_pylist(), batch.column("entry").to_pylist()):
+                if late and not timed:
+                    lead, timed = (lead if lead == opening else "") + between, True
+                out.append(lead + entry)
+                lead = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": [(opening if lead == opening else "") + ("" if timed else between) + "}}"]})
+
+    def entry(late: bool, value: str) -> Column:
+        return F.struct(F.lit(late).alias("late"), F.to_json(F.create_map("input_hash", value)).alias("json"))
+
+    both = F.array(entry(False, "vector"), F.when(F.col("generated_at").isNotNull(), entry(True, "generated_at")))
+    rows = vectors.where("input_hash IS NOT NULL AND vector IS NOT NULL").select(F.explode(both).alias("e")).where("e IS NOT NULL")
+    bare = F.expr("substring(e.json, 2, length(e.json) - 2)").alias("entry")
+    rows.select("e.late", bare).sortWithinPartitions("late").mapInArrow(lines, "value string").write.mode("errorifexists").text(path)

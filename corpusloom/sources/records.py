@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import record_hash
+from ..operators.elements import elements, file_parts, numbered
 from ..schemas import RECORD, REGISTRY
+from ..session import cut, lookup
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Files of JSON arrays as (file, idx, raw, parsed fields, content_hash, parse_error).
 
-    A file that is no JSON array gives one row with `parse_error`; the other files go on. Whole files
-    cannot be split, so large collections should be landed once as Parquet.
+    A file that is no JSON array gives one row with `parse_error`; the other files go on. Large files are read
+    by many tasks; an element is what a task has to hold.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("body")
-    )
-    items = files.withColumn("items", F.from_json("body", "array<variant>"))
-    parsed = items.select(
-        "file",
-        F.posexplode_outer("items").alias("idx", "item"),
-        F.col("items").isNull().alias("parse_error"),
-    ).where("parse_error OR item IS NOT NULL")
-    raw = parsed.select("file", F.coalesce("idx", F.lit(0)).alias("idx"), F.to_json("item").alias("raw"), "parse_error")
+    items, verdicts = elements(file_parts(spark, path, glob))
+    read = cut(items.withColumn("json", F.try_parse_json(F.trim("item", F.lit(" \t\r\n")))))
+    broken = read.groupBy("group").agg(F.bool_or(F.col("json").isNull()).alias("broken"))
+    judged = verdicts.join(broken, "group", "left").select("group", (~F.col("is_array") | F.coalesce("broken", F.lit(False))).alias("parse_error"))
+    good = lookup(numbered(read.drop("item"), "idx_in_file"), judged.where("NOT parse_error"), ["group"])
+    rows = good.select(F.col("group").alias("file"), F.col("idx_in_file").cast("int").alias("idx"), F.to_json("json").alias("raw"), "parse_error")
+    bad = judged.where("parse_error").select(F.col("group").alias("file"), F.lit(0).alias("idx"), F.lit(None).cast("string").alias("raw"), "parse_error")
+    # JSON null is no record.
+    raw = rows.where("raw != 'null'").unionByName(bad)
     return raw.withColumn("r", F.from_json("raw", RECORD)).select(
         "file", "idx", "raw", "parse_error", record_hash("raw").alias("content_hash"), "r.*"
     )
 
 
+def write_records(raw: DataFrame, path: str) -> None:
+    """raw(raw) as files of JSON arrays below a new path, one per partition, an element a line."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            out = []
+            for value in batch.column(0).to_pylist():
+                out.append(lead + value)
+                lead = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": ["]" if lead == "," else "[]"]})
+
+    raw.select("raw").where("raw IS NOT NULL").mapInArrow(lines, "value string").write.mode("errorifexists").text(path)
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """A versioned identity registry as one row per entity."""
     body = spark.read.schema(REGISTRY).option("multiLine", True).json(path)

@@ -1,5 +1,6 @@
 """Segmented order-dependent work against plain replays, with one hot group over many segments."""
 
+import json
 import random
 
 import pytest
@@ -120,9 +121,23 @@ def test_reassemble_rows(spark):
     deltas = [("r1", i, text[i : i + 3], "delta") for i in range(0, len(text), 3)]
     deltas += [("r2", i, c, "delta") for i, c in enumerate('{"r":[{"t":"Z","y":1999,"d":"Q"}]}')] + [("r2", 900, None, "completed")]
     random.Random(1).shuffle(deltas)
-    got = S.reassemble_rows(spark.createDataFrame(deltas, "request_id string, seq int, delta string, event string"))
-    rows = {r.request_id: (r.status, [x.t for x in r["rows"]]) for r in got.collect()}
-    assert rows == {"r1": ("INCOMPLETE", ['A "x"', "C"]), "r2": ("COMPLETE", ["Z"])}
+    proposals, statuses = S.reassemble_rows(spark.createDataFrame(deltas, "request_id string, seq int, delta string, event string"))
+    assert {r.request_id: r.status for r in statuses.collect()} == {"r1": "INCOMPLETE", "r2": "COMPLETE"}
+    rows = sorted((r.request_id, r.position, r.t, r.y) for r in proposals.collect())
+    assert rows == [("r1", 0, 'A "x"', 1990), ("r1", 1, "C", 2000), ("r2", 0, "Z", 1999)]
+
+
+def test_a_hot_response_is_many_parts(spark):
+    row = [{"t": f"T{i}, \\ [{{\"", "y": 1900 + i % 100, "d": "D" * (i % 7)} for i in range(3000)]
+    text = json.dumps({"v": "x", "s": {"r": [{"t": "no", "y": 1990, "d": "no"}]}, "r": row})
+    deltas = [("hot", i, text[i * 9 : i * 9 + 9], "delta") for i in range(len(text) // 9 + 1)]
+    deltas += [(f"r{n}", i, c, "delta") for n in range(40) for i, c in enumerate(json.dumps({"r": row[n : n + 3]}))]
+    proposals, _ = S.reassemble_rows(spark.createDataFrame(deltas, "request_id string, seq bigint, delta string, event string").repartition(8))
+    got = {}
+    for r in proposals.orderBy("position").collect():
+        got.setdefault(r.request_id, []).append((r.t, r.y, r.d))
+    want = {n: [(r["t"], r["y"], r["d"]) for r in rows if r["d"]] for n, rows in [("hot", row), *((f"r{n}", row[n : n + 3]) for n in range(40))]}
+    assert got == want
 
 
 def test_reassemble_parts_are_the_whole(spark):
