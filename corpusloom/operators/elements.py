@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut, keyed, lookup
+from ..session import cut, keyed, lookup, spread
 
 # What is remembered of the text before a container: its key, which asked-for keys have to fit.
 KEY_BYTES = 200
@@ -52,7 +52,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states, steps = [], []
         for text in batch.column("text").to_pylist():
             raw = _bytes(text)
-            found = [_scan(raw, s) if len(raw) else (raw, raw, s) for s in range(4)]
+            found = [_scan(raw, s) if len(raw) else (raw, raw, s) for s in range(2)]
+            # A backslash before the part matters only to a quote or a backslash at its start.
+            found += [_scan(raw, s) for s in (2, 3)] if len(raw) and raw[0] in (_QUOTE, _SLASH) else found if len(raw) else [(raw, raw, 2), (raw, raw, 3)]
             states.append([f[2] for f in found])
             steps.append([int(f[0].sum()) if len(raw) else 0 for f in found])
         yield pa.RecordBatch.from_arrays(
@@ -189,10 +191,9 @@ def _pieces(base: int, keys: tuple[str, ...], scalars: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                found = list(of(row))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _PIECE)], schema=_PIECE)
+            found = [piece for row in batch.to_pylist() for piece in of(row)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _PIECE)], schema=_PIECE)
 
     return run
 
@@ -209,7 +210,7 @@ def elements(parts: DataFrame, *keys: str, scalars: bool = False) -> tuple[DataF
     if any(len(json.dumps(k, ensure_ascii=False).encode()) > KEY_BYTES // 2 for k in keys):
         raise ValueError(f"a key takes more than {KEY_BYTES // 2} bytes")
     base = 2 if keys else 1
-    held = cut(parts.select("group", "part", "text"))
+    held = spread(cut(parts.select("group", "part", "text")))
 
     def in_order(rows: DataFrame) -> DataFrame:
         return keyed(rows, "group").sortWithinPartitions("group", "part")

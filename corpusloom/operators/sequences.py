@@ -157,7 +157,7 @@ def reassemble_rows(deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
     def is_a(name: str, kinds: str) -> Column:
         return F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")).rlike(kinds)
 
-    rows = items.withColumn("v", value).where(F.schema_of_variant("v").startswith("OBJECT"))
+    rows = cut(items.select("group", "part", "idx", value.alias("v"))).where(F.schema_of_variant("v").startswith("OBJECT"))
     year = field("y", "double")
     kept = rows.where(
         is_a("t", "^STRING$") & F.length(field("t", "string")).between(1, TITLE_CHARS)
