@@ -7,7 +7,10 @@ sixth, and so on. The container with the most points, again discounted by link d
 that have a quarter of its points, as an article may be spread over wrapped sections. Its blocks are kept, and those of
 the sections beside it or beside one of its ancestors that score themselves.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are never part of
-the tree; they are known by element, role, or word in class and id. A word alone does not drop an `article` or an
+the tree; they are known by element, role, or word in class and id. Buttons and labels are text inside a sentence only.
+Articles beside the best one are kept from a quarter of its points on, unless their names are of noise; in an article
+a list of links is kept between two paragraphs and dropped at the edge. A form that holds ten times what stands
+outside, and a paragraph's points at least, is the page itself. A word alone does not drop an `article` or an
 element with itemprop articleBody, nor one that the points show to hold the article: most of the page's points where
 layouts use the word too (widget, share, ...), for other words ten times what any container outside has, and for
 comments only where no container outside has three points. Where words leave nothing scored, they do not count.
@@ -42,9 +45,13 @@ _BLOCK = frozenset(
 )
 _CONTAINERS = frozenset("article body center dd details div dl figure html main ol section table tbody td tr ul blockquote".split())
 _DROPPED = frozenset(
-    "aside button canvas datalist dialog footer form head iframe input label map math menu nav noembed noframes "
+    "annotation annotation-xml aside canvas datalist dialog footer head iframe input map menu nav noembed noframes "
     "noscript object option script search select style svg template textarea title audio video".split()
 )
+# Controls are text only inside what reads as a sentence.
+_CONTROLS = frozenset("button label".split())
+_SENTENCES = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p td th".split())
+_FORM_POINTS = 4.0  # a paragraph's worth, from which on a form may hold the article
 _DROPPED_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar tooltip".split()
 )
@@ -71,15 +78,25 @@ _P_SCOPE = frozenset("table td th button object template caption html".split())
 _SHARE = 0.25  # of the most points, from which on a container is a part of the article wherever it stands
 
 
+def _words(value: str) -> set[str]:
+    """Words of noise in a class or id."""
+    found = set()
+    for part in value.split():
+        words = _NAME.findall(_HUMP.sub(" ", part).lower())
+        if _NOISE.intersection(words) and not _LAYOUT.intersection(words):
+            found.update(_NOISE.intersection(words))
+    return found
+
+
 def _noise(tag: str, rest: str, inside_article: bool) -> bool | set[str]:
     """Whether an element and all in it are no part of the article, or the words by which it seems so."""
     if tag in _DROPPED:
         return True
     if tag == "header" and not inside_article:
         return True
+    found, body = {"form"} if tag == "form" else set(), tag == "article"
     if not rest or tag in ("html", "body", "main"):
-        return False
-    found, body = set(), tag == "article"
+        return found
     for name, *values in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -91,13 +108,15 @@ def _noise(tag: str, rest: str, inside_article: bool) -> bool | set[str]:
         if name == "itemprop":
             body |= "articlebody" in value.lower().split()
         if name in ("class", "id"):
-            for part in value.split():
-                words = _NAME.findall(_HUMP.sub(" ", part).lower())
-                if _NOISE.intersection(words) and not _LAYOUT.intersection(words):
-                    found.update(_NOISE.intersection(words))
+            found |= _words(value)
     return False if body else found
 
 
+def _sounds(rest: str) -> bool:
+    """Whether class or id hold a word of noise."""
+    return any(_words(v) for name, *values in _ATTRIBUTE.findall(rest) if name.lower() in ("class", "id") for v in values)
+
+
 def _classes(rest: str) -> list[str]:
     return sorted(c for name, *values in _ATTRIBUTE.findall(rest) if name.lower() == "class" for v in values for c in v.split())
 
@@ -116,6 +135,8 @@ class _Page:
         self.article = 0
         self.text: list[str] = []
         self.linked = 0
+        self.controls = 0
+        self.pressed = 0
         self.blocks: list[tuple[int, str, float]] = []  # (block element, text, share inside links)
 
     def flush(self) -> None:
@@ -124,13 +145,16 @@ class _Page:
             if words:
                 body = " ".join(words)
                 owner = next(n for n in reversed(self.stack) if n == 0 or self.tag[n] in _BLOCK)
-                self.blocks.append((owner, body, min(1.0, self.linked / len(body))))
-            self.text, self.linked = [], 0
+                # A block of nothing but controls is none.
+                if self.pressed < len(body.replace(" ", "")):
+                    self.blocks.append((owner, body, min(1.0, self.linked / len(body))))
+            self.text, self.linked, self.pressed = [], 0, 0
 
     def pop_to(self, depth: int) -> None:
         for node in self.stack[depth:]:
             tag = self.tag[node]
             self.links -= tag == "a"
+            self.controls -= tag in _CONTROLS
             self.article -= tag in ("article", "main")
             if self.skip and self.skip[-1] >= node:
                 self.skip = [s for s in self.skip if s < node]
@@ -169,10 +193,17 @@ class _Page:
                 self.named.append((node, noise))
             if noise is True or (self.spared is not None and node not in self.spared):
                 self.skip.append(node)
+        elif tag in _CONTROLS and not self.skip and not self._in_sentence():
+            self.skip.append(node)
         self.stack.append(node)
         self.links += tag == "a"
+        self.controls += tag in _CONTROLS
         self.article += tag in ("article", "main")
 
+    def _in_sentence(self) -> bool:
+        block = next((self.tag[n] for n in reversed(self.stack) if self.tag[n] in _BLOCK), "")
+        return block in _SENTENCES
+
     def close(self, tag: str) -> None:
         if tag in _BLOCK and not self.skip:
             self.flush()
@@ -192,6 +223,8 @@ class _Page:
             self.text.append(text)
             if self.links:
                 self.linked += len(" ".join(text.split()))
+            if self.controls:
+                self.pressed += len("".join(text.split()))
         elif raw and self.named and self.skip[0] == self.named[-1][0] and not raw.isspace():
             self.lost += raw.count(",") + (0.0 if self.links else 1 + min(len(raw) / 100, 3.0))
 
@@ -261,6 +294,8 @@ def _judged(source: str) -> _Page:
 
     def outweighs(node: int, left: float) -> bool:
         """Whether an element with the name of a kind that is no article is one beside so few points elsewhere."""
+        if "form" in named[node] and held[node] < _FORM_POINTS:
+            return False
         return not named[node] <= _VAGUE and left < min(3.0 if named[node] & _REPLIES else held[node], 0.1 * held[node])
 
     vague = {n for n, words in named.items() if words <= _VAGUE}
@@ -369,9 +404,14 @@ def main_text(source: str | None) -> str:
 
     def belongs(node: int) -> bool:
         """Whether a section beside the best container or an ancestor of it is article too."""
-        if whole or not chars.get(node):
+        if not chars.get(node):
             return False
         dense = linked[node] / chars[node]
+        if held and page.tag[best] == page.tag[node] == "article" and page.parent[node] == page.parent[best]:
+            # One page may be several articles; comments and teasers are marked up as such too.
+            return dense < 0.25 and not _sounds(page.rest[node]) and peak.get(node, 0.0) >= _SHARE * peak[best]
+        if whole:
+            return False
         if page.tag[node] in ("h1", "h2", "h3"):
             return dense < 0.5
         if page.tag[node] == "p":
@@ -381,7 +421,8 @@ def main_text(source: str | None) -> str:
         return dense < 0.25 and (alike or peak.get(node, 0.0) >= bound)
 
     chosen: dict[int, bool] = {}
-    kept = []
+    kept: list[str | None] = []
+    waiting: dict[int, str] | None = None  # lists of links since a paragraph of the article; None before the first
     for owner, text, density in page.blocks:
         top, menu, links = owner, False, False
         while top > 0 and top != best and top not in around and page.parent[top] not in around:
@@ -399,8 +440,16 @@ def main_text(source: str | None) -> str:
                 chosen[top] = belongs(top)
             under = chosen[top]
         if under and not menu:
+            if top == best and density < 0.25 and _worth(text, density) >= 2:
+                # A list of links between two paragraphs is a part of the text; one at the edge is a menu.
+                for place, line in (waiting or {}).items():
+                    kept[place] = line
+                waiting = {}
             kept.append(text)
-    return "\n".join(kept)
+        elif under and menu and held and top == best and waiting is not None:
+            waiting[len(kept)] = text
+            kept.append(None)
+    return "\n".join(text for text in kept if text is not None)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

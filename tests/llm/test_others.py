@@ -117,6 +117,38 @@ def test_long_comments_are_no_article(noise):
         assert extract.main_text(page.format(name)).split("\n") == parts
 
 
+def test_a_form_around_the_whole_page():
+    parts = [_paragraph(0, j) for j in range(3)]
+    body = "".join(f"<p>{p}</p>" for p in parts)
+    asked = "<form action=s><label>Mail</label><input type=email><p>Subscribe, please, now</p><button>Go</button></form>"
+    page = "<body><form id=aspnetForm><input type=hidden><header><p>Site</p></header><nav><a href=/>Home</a></nav><div>{}</div><footer>f, g</footer></form>"
+    assert extract.main_text(page.format(body)).split("\n") == parts
+    assert extract.main_text(f"<article>{body}{asked}</article>").split("\n") == parts
+    assert extract.main_text(f"<body>{asked}</body>") == ""
+
+
+def test_several_articles():
+    parts = [[f"Head {i}", *(_paragraph(i, j) for j in range(2 + i))] for i in range(3)]
+    article = lambda name, ps: f"<article{name}><h2>{ps[0]}</h2>" + "".join(f"<p>{p}</p>" for p in ps[1:]) + "</article>"
+    whole = [p for ps in parts for p in ps]
+    for end in ("", "<article class=teaser><p>Other, story, with text, and more text than one, or two words.</p></article>",
+                "<article><a href=x>Another story, elsewhere, of some length</a></article>", article(" class=comment", parts[2])):
+        page = "<body><nav><a href=/>Home</a></nav><main>" + "".join(article("", ps) for ps in parts) + end + "</main>"
+        assert extract.main_text(page).split("\n") == whole
+
+
+def test_text_inside_sentences_and_lists_of_links():
+    first, last = _paragraph(1, 1), _paragraph(1, 2)
+    page = (
+        f"<article><ul><li><a href=t>Top</a></ul><p>{first}</p><p>Press <button>Save</button> to <label>go</label>, now.</p>"
+        "<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> is here.</p><p><button>Share</button></p><button>Like</button>"
+        f"<ul><li><a href=a>Source one</a><li><a href=b>Source two</a></ul><h2>End</h2><p>{last}</p><ul><li><a href=c>Related</a></ul></article>"
+    )
+    assert extract.main_text(page).split("\n") == [
+        first, "Press Save to go, now.", "Energy E=m is here.", "Source one", "Source two", "End", last,
+    ]
+
+
 def test_nested_names_of_noise_take_no_long_time():
     import time
 
