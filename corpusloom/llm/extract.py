@@ -420,6 +420,15 @@ def main_text(source: str | None) -> str:
         alike = page.tag[node] == page.tag[peer] and _classes(page.rest[node]) == _classes(page.rest[peer]) != []
         return dense < 0.25 and (alike or peak.get(node, 0.0) >= bound)
 
+    # Articles inside the best container that are comments or teasers by name or links, if there is text beside them.
+    minor = {
+        n for n in chars if held and page.tag[n] == "article" and n > best and best in path(n)
+        and (linked[n] >= 0.25 * chars[n] or _sounds(page.rest[n]))
+    }
+    if minor:
+        beside = sum(_worth(t, d) for owner, t, d in page.blocks if best in (up := path(owner)) and minor.isdisjoint(up))
+        minor = minor if beside >= 3.0 else set()
+
     chosen: dict[int, bool] = {}
     kept: list[str | None] = []
     waiting: dict[int, str] | None = None  # lists of links since a paragraph of the article; None before the first
@@ -428,6 +437,7 @@ def main_text(source: str | None) -> str:
         while top > 0 and top != best and top not in around and page.parent[top] not in around:
             # A list of nothing but links is a menu wherever it stands, and so is a section of links outside the core.
             menu |= page.tag[top] in ("ul", "ol") and linked[top] >= 0.9 * chars[top] and linked[top] > 0
+            menu |= top in minor
             links = top not in above and (links or (page.tag[top] in _CONTAINERS and linked[top] >= 0.5 * chars[top]))
             top = page.parent[top]
         if top == best:
@@ -446,7 +456,7 @@ def main_text(source: str | None) -> str:
                     kept[place] = line
                 waiting = {}
             kept.append(text)
-        elif under and menu and held and top == best and waiting is not None:
+        elif under and menu and held and top == best and waiting is not None and (not minor or minor.isdisjoint(path(owner))):
             waiting[len(kept)] = text
             kept.append(None)
     return "\n".join(text for text in kept if text is not None)
