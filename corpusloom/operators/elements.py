@@ -198,19 +198,21 @@ def _pieces(base: int, keys: tuple[str, ...], scalars: bool):
     return run
 
 
-def elements(parts: DataFrame, *keys: str, scalars: bool = False) -> tuple[DataFrame, DataFrame]:
+def elements(parts: DataFrame, *keys: str, scalars: bool = False, keep: bool = True) -> tuple[DataFrame, DataFrame]:
     """parts(group string, part bigint, text) as its elements and the verdict on each group.
 
     Elements are those of the root array, or with `keys` those of the containers that stand under these keys of the
     root object: (group, part, idx, key, item), in the order of part and idx; `key` is empty for a root array. The
     entries of an object are elements too, key and all. With `scalars` the entries of the root object itself come too,
-    their key being `SCALAR`; they are cut after 200 bytes, and of containers only the key is there. Verdicts are (group, is_array): whether the whole text is one
+    their key being `SCALAR`; they are cut after 200 bytes, and of containers only the key is there. The parts are
+    gone through three times: `keep` writes them once before, for parts that cost more than reading. Verdicts are (group, is_array): whether the whole text is one
     array with nothing but white space around it; its elements may still be no JSON.
     """
     if any(len(json.dumps(k, ensure_ascii=False).encode()) > KEY_BYTES // 2 for k in keys):
         raise ValueError(f"a key takes more than {KEY_BYTES // 2} bytes")
     base = 2 if keys else 1
-    held = spread(cut(parts.select("group", "part", "text")))
+    held = parts.select("group", "part", "text")
+    held = spread(cut(held)) if keep else held
 
     def in_order(rows: DataFrame) -> DataFrame:
         return keyed(rows, "group").sortWithinPartitions("group", "part")
@@ -246,11 +248,16 @@ def elements(parts: DataFrame, *keys: str, scalars: bool = False) -> tuple[DataF
     return whole.unionByName(joined), ends.select("group", is_array.alias("is_array"))
 
 
-def numbered(items: DataFrame, name: str = "position") -> DataFrame:
-    """Elements with their number in the group, from 0: counts of the parts before plus the rank in the part."""
+def numbered(items: DataFrame, name: str = "position", dense: bool = False) -> DataFrame:
+    """Elements with their number in the group, from 0: counts of the parts before plus the rank in the part.
+
+    `dense` says that no element of a root array has been left out, so that idx is the rank and only counts move.
+    """
     counts = items.groupBy("group", "part").agg(F.count("*").alias("_n"))
     before = W.partitionBy("group").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("group", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if dense:
+        return lookup(items, offsets, ["group", "part"]).withColumn(name, F.col("_before") + F.col("idx")).drop("_before")
     rank = F.row_number().over(W.partitionBy("group", "part").orderBy("idx"))
     return items.withColumn("_rank", rank).join(offsets, ["group", "part"]).withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_rank", "_before")
 

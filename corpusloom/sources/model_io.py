@@ -97,7 +97,7 @@ def read_vector_cache(spark: SparkSession, path: str, glob: str = "*.json") -> D
     Read in splits, one entry of a map after the other, so neither file nor map has to fit a task. A vector
     without a time is from an unknown time.
     """
-    entries, _ = elements(file_parts(spark, path, glob), "vectors", "generatedAt", scalars=True)
+    entries, _ = elements(file_parts(spark, path, glob), "vectors", "generatedAt", scalars=True, keep=False)
     held = cut(entries.select("group", "key", F.concat(F.lit("{"), "item", F.lit("}")).alias("entry")))
     header = F.from_json(F.when(F.col("key") == SCALAR, F.col("entry")), "model string, dimensions int")
     headers = held.select("group", header.alias("h")).groupBy("group").agg(F.max("h.model").alias("model"), F.max("h.dimensions").alias("dimensions"))

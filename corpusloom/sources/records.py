@@ -19,11 +19,11 @@ def read_records(spark: SparkSession, path: str, glob: str = "*.json") -> DataFr
     A file that is no JSON array gives one row with `parse_error`; the other files go on. Large files are read
     by many tasks; an element is what a task has to hold.
     """
-    items, verdicts = elements(file_parts(spark, path, glob))
-    read = cut(items.withColumn("json", F.try_parse_json(F.trim("item", F.lit(" \t\r\n")))))
+    items, verdicts = elements(file_parts(spark, path, glob), keep=False)
+    read = cut(items.select("group", "part", "idx", F.try_parse_json(F.trim("item", F.lit(" \t\r\n"))).alias("json")))
     broken = read.groupBy("group").agg(F.bool_or(F.col("json").isNull()).alias("broken"))
     judged = verdicts.join(broken, "group", "left").select("group", (~F.col("is_array") | F.coalesce("broken", F.lit(False))).alias("parse_error"))
-    good = lookup(numbered(read.drop("item"), "idx_in_file"), judged.where("NOT parse_error"), ["group"])
+    good = lookup(numbered(read, "idx_in_file", dense=True), judged.where("NOT parse_error"), ["group"])
     rows = good.select(F.col("group").alias("file"), F.col("idx_in_file").cast("int").alias("idx"), F.to_json("json").alias("raw"), "parse_error")
     bad = judged.where("parse_error").select(F.col("group").alias("file"), F.lit(0).alias("idx"), F.lit(None).cast("string").alias("raw"), "parse_error")
     # JSON null is no record.
