@@ -6,11 +6,12 @@ import os
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..session import scratch_path
 from ..sources.store import _exists
+from .state import Sliced
 
 
 def file_stream(spark: SparkSession, folder: str, table: str, files: int | None = None) -> DataFrame:
@@ -63,25 +64,43 @@ def states_on_disk(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def _as_text(types: dict[str, T.DataType]) -> Column:
+    """Key columns as one text, exact and with nulls; pandas would turn numbers with nulls into floats."""
+    return F.to_json(F.array(*((F.unix_micros(n) if t == T.TimestampType() else F.col(n)).cast("string") for n, t in types.items())))
+
+
+def _from_text(text: Column, kind: T.DataType) -> Column:
+    return F.timestamp_micros(text.cast("bigint")) if kind == T.TimestampType() else text.cast(kind)
+
+
 def keyed_state(
     events: DataFrame, late: str, reduce: Callable, reduced: str, processor: StatefulProcessor, label: str, root: str | None = None,
     mode: str = "update",
 ) -> DataFrame:
     """Run a keyed processor with event-time timers over events(ts, us, ...) and return its rows with their batch.
 
-    `reduce` shrinks the rows of an Arrow batch to `reduced` before they are shuffled to the processor's key. A
+    `reduce` shrinks the rows of an Arrow batch to `reduced` before they are shuffled to the processor's key, or to the
+    slice of keys that a `Sliced` processor holds together. A
     micro-batch is computed once and overwrites its own folder, split by `kind`, so a repeated batch leaves the same
     rows behind; running again with the same `root` resumes at the checkpoint.
     """
     spark = events.sparkSession
     root = root or scratch_path(spark, label)
     out = os.path.join(root, "rows")
-    keys = ", ".join(f"`{n}` {events.schema[n].dataType.simpleString()}" for n in processor.names)
+    types = {n: events.schema[n].dataType for n in processor.names}
+    keys = ", ".join(f"`{n}` {t.simpleString()}" for n, t in types.items())
     schema = f"{keys}, {processor.SCHEMA}"
-    stream = (
-        events.withWatermark("ts", late).drop("ts").mapInArrow(reduce, f"{keys}, {reduced}").groupBy(*processor.names)
-        .transformWithStateInPandas(processor, schema, mode, "EventTime")
-    )
+    stream = events.withWatermark("ts", late).drop("ts").mapInArrow(reduce, f"{keys}, {reduced}")
+    if isinstance(processor, Sliced):
+        carried = [c for c in stream.columns if c not in processor.names or c in processor.CARRIED]
+        processor.columns = ["key", *carried]
+        rows = stream.select(F.pmod(F.xxhash64(*types), F.lit(processor.SLICES)).cast("int").alias("_slice"), _as_text(types).alias("key"), *carried)
+        stream = rows.groupBy("_slice").transformWithStateInPandas(processor, f"key string, {processor.SCHEMA}", mode, "EventTime")
+        stream = stream.withColumn("key", F.from_json("key", "array<string>")).select(
+            *(_from_text(F.get("key", F.lit(at)), t).alias(n) for at, (n, t) in enumerate(types.items())), *stream.columns[1:]
+        )
+    else:
+        stream = stream.groupBy(*processor.names).transformWithStateInPandas(processor, schema, mode, "EventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.partitionBy("kind").mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))

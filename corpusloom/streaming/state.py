@@ -8,6 +8,8 @@ caller to count and to merge. Times are microseconds; a watermark of `ms` has pa
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,180 +31,213 @@ def _columns(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True)
 
 
-class Shared(StatefulProcessor):
-    """The first row of a key starts the work; others share it until the watermark is `span` microseconds past it."""
+class Sliced(StatefulProcessor):
+    """Keys are dealt to `SLICES` states, each read and written once a batch: a state call costs more than a key's work.
 
-    SCHEMA = "kind string, us long"
+    A subclass takes a batch's rows, which begin with their key as text, into `held`, a dict of plain values by key,
+    and says until when, in microseconds, a value is held. A slice has one timer, for the value that goes next.
+    """
 
-    def __init__(self, names: list[str], span: int):
-        self.names, self.span = names, span
+    SLICES = 1_024
+    # Key columns that the rows carry as numbers too.
+    CARRIED: tuple[str, ...] = ()
+    # The columns of a row, key first; set by who runs the stream.
+    columns: list[str]
+
+    def __init__(self, names: list[str]):
+        self.names = names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "us long")
+        self.state = handle.getValueState("held", "held binary, timer long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        us, mark, held = int(_columns(rows)["us"].min()), _mark(timerValues), self.first.get()
-        if held is not None:
-            if held[0] + self.span > mark:
-                return
-            # Timers fire after a batch's rows: what the watermark has passed counts as gone already.
-            self.handle.deleteTimer(_ms(held[0] + self.span))
-            self.first.clear()
-        late = us + self.span <= mark
-        if not late:
-            self.first.update((us,))
-            self.handle.registerTimer(_ms(us + self.span))
-        yield pd.DataFrame([[*key, "late" if late else "row", us]], columns=[*self.names, "kind", "us"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.first.clear()
-        return iter(())
+    def take(self, held: dict, rows: Iterator[tuple], mark: int) -> list[tuple]:
+        raise NotImplementedError
 
+    def until(self, value) -> int:
+        raise NotImplementedError
 
-class Progress(StatefulProcessor):
-    """The latest stage and the step counts of a (request, window); a window's state goes when the watermark passes its end."""
-
-    VALUES = ["us", "seq", "stage", "steps", "terminal_steps"]
-    SCHEMA = "kind string, us long, seq long, stage string, steps long, terminal_steps long"
+    def expire(self, held: dict, mark: int) -> list[tuple]:
+        for key in [k for k, v in held.items() if self.until(v) <= mark]:
+            del held[key]
+        return []
 
-    def __init__(self, names: list[str]):
-        # The window's end, in microseconds, is the last of the key columns.
-        self.names = names
+    def _frame(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            columns = ["key", *(c.split()[0] for c in self.SCHEMA.split(", "))]
+            yield pd.DataFrame(dict(zip(columns, map(list, zip(*out)))))
+
+    def _keep(self, held: dict, timer: int | None, mark: int) -> None:
+        """A timer that the watermark has passed fires after this batch's rows and is set anew then."""
+        if timer is None or timer * 1000 > mark:
+            due = min((_ms(self.until(v)) for v in held.values()), default=None)
+            if due != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if due is not None:
+                    self.handle.registerTimer(due)
+                timer = due
+        if timer is None:
+            self.state.clear()
+        else:
+            self.state.update((pickle.dumps(held), timer))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "us long, seq long, stage string, steps long, terminal_steps long")
+    def _held(self) -> tuple[dict, int | None]:
+        found = self.state.get()
+        return ({}, None) if found is None else (pickle.loads(bytes(found[0])), found[1])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        part = _columns(rows)
-        best = part.sort_values(["us", "seq"], kind="stable").iloc[-1]
-        row = [int(best["us"]), int(best["seq"]), best["stage"], int(part["steps"].sum()), int(part["terminal_steps"].sum())]
-        kind = "late"
-        if int(key[-1]) > _mark(timerValues):
-            kind, held = "row", self.last.get()
-            if held is None:
-                self.handle.registerTimer(_ms(int(key[-1])))
-            else:
-                if (held[0], held[1]) > (row[0], row[1]):
-                    row[:3] = held[:3]
-                row[3:] = [row[3] + held[3], row[4] + held[4]]
-            self.last.update(tuple(row))
-        yield pd.DataFrame([[*key, kind, *row]], columns=[*self.names, "kind", *self.VALUES])
+        mark, (held, timer) = _mark(timerValues), self._held()
+        each = (row for part in rows for row in zip(*(part[c].tolist() for c in self.columns)))
+        out = self.take(held, each, mark)
+        self._keep(held, timer, mark)
+        yield from self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        return iter(())
-
+        mark, (held, _) = _mark(timerValues), self._held()
+        out = self.expire(held, mark)
+        self._keep(held, None, mark)
+        yield from self._frame(out)
 
-class Seen(StatefulProcessor):
-    """Films that a session shows for the first time. Undoing or trimming a path takes none back; `keep` idle microseconds do."""
 
-    SCHEMA = "kind string, film string, us long"
-
-    def __init__(self, names: list[str], keep: int):
-        self.names, self.keep = names, keep
+class Shared(Sliced):
+    """The first row of a key starts the work; others share it until the watermark is `span` microseconds past it."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.films = handle.getMapState("films", "film string", "us long")
-        self.active = handle.getValueState("active", "us long")
+    SCHEMA = "kind string, us long"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        part = _columns(rows).groupby("film", dropna=False)["us"].agg(["min", "max"])
-        mark, held = _mark(timerValues), self.active.get()
-        if held is not None and held[0] + self.keep <= mark:
-            self.handle.deleteTimer(_ms(held[0] + self.keep))
-            self.films.clear()
-            self.active.clear()
-            held = None
-        known = {k[0] for k in self.films.keys()} if held is not None else set()
-        out, latest = [], held[0] if held is not None else None
-        for film, low, high in zip(part.index, part["min"].tolist(), part["max"].tolist()):
-            film = None if pd.isna(film) else film
-            if film in known:
-                latest = max(latest, high)
-            elif latest is None and high + self.keep <= mark:
-                out.append(("late", film, low))
-            else:
-                self.films.updateValue((film,), (low,))
-                latest = high if latest is None else max(latest, high)
-                out.append(("row", film, low))
-        if latest is not None and (held is None or latest > held[0]):
-            if held is not None:
-                self.handle.deleteTimer(_ms(held[0] + self.keep))
-            self.active.update((latest,))
-            self.handle.registerTimer(_ms(latest + self.keep))
-        if out:
-            frame = pd.DataFrame(out, columns=["kind", "film", "us"])
-            for at, name in enumerate(self.names):
-                frame[name] = [key[at]] * len(frame)
-            yield frame[[*self.names, "kind", "film", "us"]]
+    def __init__(self, names: list[str], span: int):
+        super().__init__(names)
+        self.span = span
+
+    def until(self, value: int) -> int:
+        return value + self.span
+
+    def take(self, held, rows, mark):
+        first, out = {}, []
+        for key, us in rows:
+            if us < first.get(key, us + 1):
+                first[key] = us
+        for key, us in first.items():
+            # Timers fire after a batch's rows: what the watermark has passed counts as gone already.
+            if key in held:
+                if self.until(held[key]) > mark:
+                    continue
+                del held[key]
+            late = us + self.span <= mark
+            if not late:
+                held[key] = us
+            out.append((key, "late" if late else "row", us))
+        return out
+
+
+class Progress(Sliced):
+    """The latest stage and the step counts of a (request, window); a window's state goes when the watermark passes its end."""
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.films.clear()
-        self.active.clear()
-        return iter(())
+    SCHEMA = "kind string, us long, seq long, stage string, steps long, terminal_steps long"
+    # The window's end, in microseconds, is one of the key columns.
+    CARRIED = ("span_end",)
+
+    def until(self, value: tuple) -> int:
+        return value[0]
+
+    def take(self, held, rows, mark):
+        part: dict = {}
+        for key, end, us, seq, stage, steps, terminal in rows:
+            was = part.get(key)
+            at = (us, seq, stage) if was is None or (us, seq) >= was[1][:2] else was[1]
+            part[key] = (end, at, steps + (was[2] if was else 0), terminal + (was[3] if was else 0))
+        out = []
+        for key, (end, at, steps, terminal) in part.items():
+            kind = "late"
+            if end > mark:
+                kind, was = "row", held.get(key)
+                if was is not None:
+                    at = was[1] if was[1][:2] > at[:2] else at
+                    steps, terminal = steps + was[2], terminal + was[3]
+                held[key] = (end, at, steps, terminal)
+            out.append((key, kind, *at, steps, terminal))
+        return out
+
+
+class Seen(Sliced):
+    """Films that a session shows for the first time. Undoing or trimming a path takes none back; `keep` idle microseconds do."""
 
+    SCHEMA = "kind string, film string, us long"
 
-class Sessions(StatefulProcessor):
+    def __init__(self, names: list[str], keep: int):
+        super().__init__(names)
+        self.keep = keep
+
+    def until(self, value: tuple) -> int:
+        return value[0] + self.keep
+
+    def take(self, held, rows, mark):
+        part: dict = {}
+        for key, film, us in rows:
+            films = part.setdefault(key, {})
+            low, high = films.get(film, (us, us))
+            films[film] = (min(low, us), max(high, us))
+        out = []
+        for key, films in part.items():
+            was = held.get(key)
+            if was is not None and self.until(was) <= mark:
+                was = None
+                del held[key]
+            latest, known = was if was is not None else (None, {})
+            for film, (low, high) in sorted(films.items(), key=lambda f: (f[0] is None, f[0] or "")):
+                if film in known:
+                    latest = max(latest, high)
+                elif latest is None and high + self.keep <= mark:
+                    out.append((key, "late", film, low))
+                else:
+                    known[film] = low
+                    latest = high if latest is None else max(latest, high)
+                    out.append((key, "row", film, low))
+            if latest is not None:
+                held[key] = (latest, known)
+        return out
+
+
+class Sessions(Sliced):
     """Activity sessions of a key, closed by a timer once the watermark has passed their end.
 
-    Partial sessions that touch are one. Kinds: `closed`, a whole session; `late`, a partial one that ended before the
-    watermark and touches nothing open; `open`, what an open session spans after it grew backwards behind the
-    watermark, where closed ones lie that it may touch.
+    Partial sessions that touch are one; those held of a key lie apart, in order. Kinds: `closed`, a whole session;
+    `late`, a partial one that ended before the watermark and touches nothing open; `open`, what an open session spans
+    after it grew backwards behind the watermark, where closed ones lie that it may touch.
     """
 
     SCHEMA = "kind string, start long, end long, steps long, finished boolean"
 
-    def __init__(self, names: list[str]):
-        self.names = names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "start array<long>, end array<long>, steps array<long>, finished array<boolean>")
-
-    def _held(self) -> list[tuple]:
-        held = self.open.get()
-        return [] if held is None else [tuple(s) for s in zip(*(list(c) for c in held))]
-
-    def _keep(self, sessions: list[tuple]) -> None:
-        if sessions:
-            self.open.update(tuple([s[i] for s in sessions] for i in range(4)))
-        else:
-            self.open.clear()
-
-    def _frame(self, key, out: list[tuple]) -> Iterator[pd.DataFrame]:
-        if out:
-            yield pd.DataFrame([[*key, *row] for row in out], columns=[*self.names, "kind", "start", "end", "steps", "finished"])
+    def until(self, value: list[tuple]) -> int:
+        return value[0][1]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark, held, out = _mark(timerValues), self._held(), []
-        before = {s[1] for s in held}
-        part = _columns(rows).sort_values("start", kind="stable")
-        for start, end, steps, finished in zip(*(part[c].tolist() for c in ("start", "end", "steps", "finished"))):
-            touched = [s for s in held if s[0] <= end and start <= s[1]]
+    def take(self, held, rows, mark):
+        out = []
+        for key, start, end, steps, finished in sorted(rows, key=lambda r: r[1]):
+            own = held.get(key, [])
+            low = bisect_left(own, start, key=lambda s: s[1])
+            touched = own[low : bisect_right(own, end, key=lambda s: s[0])]
             if not touched and end <= mark:
-                out.append(("late", start, end, steps, bool(finished)))
+                out.append((key, "late", start, end, steps, bool(finished)))
                 continue
             whole = [(start, end, steps, bool(finished)), *touched]
             one = (min(s[0] for s in whole), max(s[1] for s in whole), sum(s[2] for s in whole), any(s[3] for s in whole))
-            if one[0] <= mark and (not touched or one[0] < min(s[0] for s in touched)):
-                out.append(("open", one[0], one[1], 0, False))
-            held = [s for s in held if s not in touched] + [one]
-        after = {s[1] for s in held}
-        for end in {_ms(e) for e in before} - {_ms(e) for e in after}:
-            self.handle.deleteTimer(end)
-        for end in {_ms(e) for e in after} - {_ms(e) for e in before}:
-            self.handle.registerTimer(end)
-        self._keep(held)
-        yield from self._frame(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark, held = _mark(timerValues), self._held()
-        over = [s for s in held if s[1] <= mark]
-        self._keep([s for s in held if s[1] > mark])
-        yield from self._frame(key, [("closed", *s) for s in over])
+            if one[0] <= mark and (not touched or one[0] < touched[0][0]):
+                out.append((key, "open", one[0], one[1], 0, False))
+            own[low : low + len(touched)] = [one]
+            held[key] = own
+        return out
+
+    def expire(self, held, mark):
+        out = []
+        for key, own in list(held.items()):
+            over = bisect_right(own, mark, key=lambda s: s[1])
+            out += [(key, "closed", *s) for s in own[:over]]
+            if over == len(own):
+                del held[key]
+            else:
+                held[key] = own[over:]
+        return out
 
 
 class Latency(StatefulProcessor):
