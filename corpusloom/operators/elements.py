@@ -128,6 +128,9 @@ _OWNED = pa.schema([("group", pa.string()), ("part", pa.int64()), ("state", pa.i
 _OWNED_SQL = "group string, part bigint, state int, depth bigint, tail binary, owner bigint"
 
 
+_WHOLE = pa.schema([("group", pa.string()), ("part", pa.int64()), ("text", pa.string()), ("state", pa.int32()), ("depth", pa.int64()), ("tail", pa.binary()), ("owner", pa.int64())])
+
+
 def _chain_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group, tail, owner = None, b"", None
     for batch in batches:
@@ -248,6 +251,24 @@ def elements(parts: DataFrame, *keys: str, scalars: bool = False, keep: bool = T
     return whole.unionByName(joined), ends.select("group", is_array.alias("is_array"))
 
 
+def whole_elements(texts: list[str], key: str) -> list[list[str]]:
+    """The elements under `key` of texts that are whole, in order and as `elements` would give them."""
+    base, blank = 2, " \t\r\n"
+    out: list[list[str]] = [[] for _ in texts]
+    shut = []
+    for text in texts:
+        raw = _bytes(text)
+        step, _, state = _scan(raw, 0) if len(raw) else (raw, raw, 0)
+        shut.append(state % 2 == 0 and int(step.sum()) == base)
+    rows = [dict(group=str(at), part=0, text=t, state=0, depth=0, tail=b"", owner=None) for at, t in enumerate(texts)]
+    for batch in _pieces(base, (key,), False)(iter([pa.RecordBatch.from_pylist(rows, _WHOLE)])):
+        for piece in batch.to_pylist():
+            at, bare = int(piece["group"]), not piece["text"].strip(blank)
+            if not (bare and piece["alone"] == 2) if piece["ended"] else shut[at] and not bare:
+                out[at].append(piece["text"])
+    return out
+
+
 def numbered(items: DataFrame, name: str = "position", dense: bool = False) -> DataFrame:
     """Elements with their number in the group, from 0: counts of the parts before plus the rank in the part.
 

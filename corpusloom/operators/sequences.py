@@ -6,14 +6,17 @@ then all segments finish at once. No ordered group has to fit one task.
 
 from __future__ import annotations
 
+import json
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut, keyed
-from .elements import elements, numbered
+from ..session import cut, keyed, lookup
+from .elements import elements, numbered, whole_elements
 
 SEGMENT_ROWS = 4_096
 
@@ -128,42 +131,132 @@ TITLE_CHARS = 240
 FIRST_YEAR, LAST_YEAR = 1888, 2100
 
 
+# Years are read as decimals, so that 1990.5 is none; 1990.0 is one, as in JSON all numbers are alike.
+def _field(v: Column, name: str, kind: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", kind)
+
+
+def _proposes(v: Column) -> Column:
+    """Whether an element is an object with a title, a year and a director."""
+
+    def is_a(name: str, kinds: str) -> Column:
+        return F.schema_of_variant(_field(v, name, "variant")).rlike(kinds)
+
+    year = _field(v, "y", "double")
+    return F.coalesce(
+        F.schema_of_variant(v).startswith("OBJECT")
+        & is_a("t", "^STRING$") & F.length(_field(v, "t", "string")).between(1, TITLE_CHARS)
+        & is_a("d", "^STRING$") & F.length(_field(v, "d", "string")).between(1, TITLE_CHARS)
+        & is_a("y", "^(BIGINT|DECIMAL.*|DOUBLE)$") & year.between(FIRST_YEAR, LAST_YEAR) & (year == F.floor(year)),
+        F.lit(False),
+    )
+
+
+def _proposal(v: Column) -> list[Column]:
+    return [_field(v, "t", "string").alias("t"), _field(v, "y", "double").cast("int").alias("y"), _field(v, "d", "string").alias("d")]
+
+
+# What a text may hold if another parser shall read it the same way: no escaped code units, no endless numbers.
+_ODD = re.compile(r"\\u|[0-9.]{100}")
+_NESTED = 200
+_SHORT = pa.schema([
+    ("group", pa.string()), ("found", pa.list_(pa.struct([("t", pa.string()), ("y", pa.int32()), ("d", pa.string())]))), ("items", pa.list_(pa.string())),
+])
+_SHORT_SQL = "group string, found array<struct<t: string, y: int, d: string>>, items array<string>"
+
+
+def _unique(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key repeats")
+    return out
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(name)
+
+
+_STRICT = json.JSONDecoder(object_pairs_hook=_unique, parse_constant=_no_number)
+
+
+def _read_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def good(text) -> bool:
+        return type(text) is str and 1 <= len(text) <= TITLE_CHARS
+
+    for batch in batches:
+        texts, found, odd = batch.column("text").to_pylist(), [], []
+        for at, text in enumerate(texts):
+            try:
+                root = None if _ODD.search(text) or text.count("{") + text.count("[") > _NESTED else _STRICT.decode(text)
+            except ValueError:
+                root = None
+            if type(root) is not dict:
+                odd.append(at)
+                found.append(None)
+                continue
+            rows = root.get("r")
+            found.append([
+                (r["t"], int(r["y"]), r["d"]) for r in (rows if type(rows) is list else ())
+                if type(r) is dict and good(r.get("t")) and good(r.get("d")) and type(r.get("y")) in (int, float)
+                and FIRST_YEAR <= r["y"] <= LAST_YEAR and r["y"] == int(r["y"])
+            ])
+        items: list = [None] * len(texts)
+        for at, own in zip(odd, whole_elements([texts[at] for at in odd], "r")):
+            items[at] = own
+        flat = [f for own in found for f in own or ()]
+        offsets = np.cumsum([0, *(len(own or ()) for own in found)]).astype(np.int32)
+        values = pa.StructArray.from_arrays(
+            [pa.array([f[i] for f in flat], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["t", "y", "d"]
+        )
+        missing = pa.array([own is None for own in found], pa.bool_())
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=missing)
+        yield pa.RecordBatch.from_arrays([batch.column("group"), lists, pa.array(items, pa.list_(pa.string()))], schema=_SHORT)
+
+
+def _short_proposals(parts: DataFrame) -> DataFrame:
+    """(group, position, t, y, d) of responses that are one part: they are parsed where they stand.
+
+    What is no plain JSON object (cut off, repeated keys, escaped code units) goes element by element, as `elements` does.
+    """
+    read = parts.select("group", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_read_short, _SHORT_SQL)
+    parsed = F.transform("items", lambda i: F.try_parse_json(F.trim(i)))
+    rest = F.transform(F.filter(parsed, _proposes), lambda v: F.struct(*_proposal(v)))
+    return read.select("group", F.posexplode(F.coalesce("found", rest)).alias("position", "p")).select(
+        "group", F.col("position").cast("bigint").alias("position"), "p.*"
+    )
+
+
 def reassemble_rows(deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """deltas(request_id, seq, delta, event) as proposals(request_id, position, t, y, d) and statuses(request_id, status).
 
     Proposals are the complete objects of the list under the key `r` that hold a title, a year and a director;
     others are passed over. A stream without its `completed` event is INCOMPLETE, whatever rows arrived.
     `seq` is a whole number that is unique in its request; a response is cut into parts of it, so its
-    deltas may be a third of all.
+    deltas may be a third of all. Most responses are one part and are parsed as they are.
     """
-    statuses = deltas.groupBy("request_id").agg(
-        F.when(F.bool_or(F.col("event").isin("failed", "incomplete", "error")), "INCOMPLETE")
-        .when(F.bool_or(F.col("event") == "completed"), "COMPLETE")
-        .otherwise("INCOMPLETE")
-        .alias("status"),
+    delta = F.col("event") == "delta"
+    streams = cut(
+        deltas.groupBy("request_id").agg(
+            F.when(F.bool_or(F.col("event").isin("failed", "incomplete", "error")), "INCOMPLETE")
+            .when(F.bool_or(F.col("event") == "completed"), "COMPLETE")
+            .otherwise("INCOMPLETE")
+            .alias("status"),
+            F.count_if(delta).alias("n"), F.min(F.when(delta, F.col("seq"))).alias("lo"), F.max(F.when(delta, F.col("seq"))).alias("hi"),
+        )
     )
-    kind = dict(deltas.dtypes)["request_id"]
-    texts = deltas.where((F.col("event") == "delta") & F.col("request_id").isNotNull())
-    texts = texts.select(F.col("request_id").cast("string").alias("group"), "seq", "delta")
-    part_rows = max(64, math.isqrt(texts.count()))
+    statuses, kind = streams.select("request_id", "status"), dict(deltas.dtypes)["request_id"]
+    group = F.col("request_id").cast("string").alias("group")
+    texts = deltas.where(delta & F.col("request_id").isNotNull()).select(group, "seq", "delta")
+    part_rows = max(64, math.isqrt(streams.agg(F.sum("n")).first()[0] or 0))
     parts = reassemble(texts, "group", "seq", "delta", part_rows).select("group", F.col("part").cast("bigint").alias("part"), "text")
-    items, _ = elements(parts, "r")
-    # Years are read as decimals, so that 1990.5 is none; 1990.0 is one, as in JSON all numbers are alike.
-    value = F.try_parse_json(F.trim("item"))
+    long = streams.where(F.col("request_id").isNotNull() & (F.floor(F.col("lo") / part_rows) != F.floor(F.col("hi") / part_rows))).select(group)
 
-    def field(name: str, kind: str) -> Column:
-        return F.try_variant_get("v", f"$.{name}", kind)
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("group").cast(kind).alias("request_id"), "position", "t", "y", "d")
 
-    def is_a(name: str, kinds: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")).rlike(kinds)
-
-    rows = cut(items.select("group", "part", "idx", value.alias("v"))).where(F.schema_of_variant("v").startswith("OBJECT"))
-    year = field("y", "double")
-    kept = rows.where(
-        is_a("t", "^STRING$") & F.length(field("t", "string")).between(1, TITLE_CHARS)
-        & is_a("d", "^STRING$") & F.length(field("d", "string")).between(1, TITLE_CHARS)
-        & is_a("y", "^(BIGINT|DECIMAL.*|DOUBLE)$") & year.between(FIRST_YEAR, LAST_YEAR) & (year == F.floor(year))
-    )
-    named = kept.select("group", "part", "idx", field("t", "string").alias("t"), year.cast("int").alias("y"), field("d", "string").alias("d"))
-    proposals = numbered(named).select(F.col("group").cast(kind).alias("request_id"), "position", "t", "y", "d")
-    return proposals, statuses
+    if long.isEmpty():
+        return named(_short_proposals(parts)), statuses
+    items, _ = elements(lookup(parts, long, ["group"], "left_semi"), "r")
+    rows = cut(items.select("group", "part", "idx", F.try_parse_json(F.trim("item")).alias("v")))
+    cut_up = numbered(rows.where(_proposes(F.col("v"))).select("group", "part", "idx", *_proposal(F.col("v"))))
+    return named(_short_proposals(lookup(parts, long, ["group"], "left_anti"))).unionByName(named(cut_up)), statuses
