@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import normalize_quote, valid_iso, word_count
 from ..functions.urls import public_http
-from ..session import join_back
+from ..session import cut, join_back
 from ..schemas import ACCESS, KINDS, RELATIONAL, RIGHTS, SOURCE_TYPES
 
 QUOTE_WORDS = 25
@@ -159,7 +159,8 @@ def audit_candidates(candidates: DataFrame) -> DataFrame:
         ).alias("indexes_valid"),
     )
     relational = F.col("o.kind").isin(RELATIONAL)
-    judged = checked.withColumn(
+    # Written once: texts are normalised for the blocks and for the rows alike, and what is left of them is small.
+    judged = cut(checked).withColumn(
         "eligible",
         F.col("admit")
         & ~F.col("abstract")

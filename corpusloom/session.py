@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows a side may have before it is no longer offered for broadcast.
 BROADCAST_ROWS = 1_000_000
+# Bytes of rows that a Python worker is handed at once; rows alone, 10,000 by default, do not bound whole texts.
+ARROW_BYTES = 4 << 20
+ARROW_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _SHIPPED: dict[str, str] = {}
 
@@ -46,9 +49,16 @@ def ship(spark: SparkSession) -> SparkSession:
         # Spark's file server hands the archive on; no executor reads this folder.
         context.addPyFile(shutil.make_archive(archive, "zip", os.path.join(folder, "package")))
         _SHIPPED["app"] = context.applicationId
+    bound_batches(spark)
     return spark
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches within ARROW_BYTES, unless the session has a bound other than Spark's own of 64 MB."""
+    if spark.conf.get(ARROW_BOUND, None) in (None, "67108864b"):
+        spark.conf.set(ARROW_BOUND, str(ARROW_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`, or on a local master a fresh local one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
