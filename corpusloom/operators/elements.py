@@ -24,6 +24,8 @@ from ..session import cut, keyed, lookup, spread
 # What is remembered of the text before a container: its key, which asked-for keys have to fit.
 KEY_BYTES = 200
 SCALAR = "."
+# Characters after which a run of records is cut into parts: a scan takes about a hundred bytes of memory a byte.
+PART_CHARS = 1 << 18
 _OPEN, _CLOSE = np.frombuffer(b"{[", np.uint8), np.frombuffer(b"}]", np.uint8)
 _QUOTE, _SLASH, _COMMA, _ARRAY, _ARRAY_END = b'"\\,[]'
 
@@ -287,10 +289,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, offset = None, 0
     for batch in batches:
         files, blocks = batch.column("file").to_pylist(), batch.column("block").to_pylist()
-        values, start, out = batch.column("value").to_pylist(), 0, []
+        values, start, out, size = batch.column("value").to_pylist(), 0, [], 0
         for i in range(1, len(values) + 1):
-            if i < len(values) and (files[i], blocks[i]) == (files[start], blocks[start]):
+            size += len(values[i - 1]) + 1
+            if i < len(values) and (files[i], blocks[i]) == (files[start], blocks[start]) and size < PART_CHARS:
                 continue
+            size = 0
             first = (files[start], blocks[start]) != at
             if first:
                 at, offset = (files[start], blocks[start]), blocks[start]
@@ -310,8 +314,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def file_parts(spark, path: str, glob: str = "*.json") -> DataFrame:
     """JSON files as (group, part, text), group being the file: read in splits at commas, so no task reads a whole file.
 
-    A part is a run of records of one split, its number the place where it begins. A comma at the very end of a file
-    is not seen.
+    A part is a run of records of one split, of about PART_CHARS or of one longer record, its number the place where
+    it begins. A comma at the very end of a file is not seen.
     """
     rows = spark.read.text(path, lineSep=",", pathGlobFilter=glob)
     named = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
