@@ -20,6 +20,9 @@ PLANE_SEED = 3719
 
 # Rows of one side of a tile; a tile is the most one task multiplies at once.
 TILE_ROWS = 2_048
+# Neighbouring blocks of a pivot and, in small tables, pivots that move together: a vector meets as many others each
+# time it is sent. Their product is at most 62, as a team's blocks are bits.
+TOGETHER, PIVOTS_TOGETHER = 8, 7
 # Pivots, the rings of like angles around one, and the coarser rings by which blocks meet.
 PIVOTS, RINGS, COARSE = 32, 1_024, 64
 
@@ -143,6 +146,44 @@ def _cells_best(both: DataFrame, count: int, floor: float) -> DataFrame:
     return merged.withColumn("place", rank).where(F.col("place") <= count).drop("place")
 
 
+def _best_of(src: np.ndarray, dst: np.ndarray, score: np.ndarray, keys: np.ndarray, count: int) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((keys[dst], -score, src))
+    src, dst, score = src[order], dst[order], score[order]
+    kept = np.arange(len(src)) - np.searchsorted(src, src) < count
+    return src[kept], dst[kept], score[kept]
+
+
+def _groups_best(count: int, floor: float):
+    def best(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        ids, vectors = cell["id"], _matrix(cell["vector"].combine_chunks())
+        keys, at = ids.to_numpy(zero_copy_only=False), cell["at"].to_numpy()
+        first, meets = cell["first"].to_numpy(zero_copy_only=False), cell["meets"].to_numpy()
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        # A group that meets itself comes once, and all its ordered pairs of blocks are gone through.
+        alone = not len(right)
+        right = left if alone else right
+        found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+        for i in np.unique(at[left]):
+            rows = left[at[left] == i]
+            for j in np.unique(at[right]):
+                if not meets[rows[0]] >> j & 1:
+                    continue
+                others = right[at[right] == j]
+                scores = vectors[rows] @ vectors[others].T
+                src, dst = np.nonzero(np.isfinite(scores) & (scores >= floor))
+                src, dst, score = rows[src], others[dst], scores[src, dst]
+                apart = src != dst
+                src, dst, score = src[apart], dst[apart], score[apart]
+                found.append(_best_of(src, dst, score, keys, count))
+                if not alone:
+                    found.append(_best_of(dst, src, score, keys, count))
+        src, dst, score = _best_of(*(np.concatenate(c) for c in zip(*found)), keys, count)
+        return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "score": score})
+
+    return best
+
+
 def half_signatures(signed: DataFrame, bits: int) -> DataFrame:
     """(bucket, id, vector, bits): each band's signature under both of its halves.
 
@@ -174,7 +215,10 @@ def _bucket_best(rows: DataFrame, count: int, floor: float) -> DataFrame:
 
 
 def pivot_blocks(reps: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
-    """reps(id, vector) with `block`, of about `rows` vectors around one pivot at like angles, and all pivots' `angles`."""
+    """reps(id, vector) with `block`, of about `rows` vectors around one pivot at like angles, and all pivots' `angles`.
+
+    Neighbouring blocks are a `team`, in which `at` numbers them.
+    """
     chosen = reps.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
     pivots = np.array([r["vector"] for r in chosen], dtype=np.float64)
 
@@ -191,8 +235,14 @@ def pivot_blocks(reps: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
     upto = F.sum("n").over(W.partitionBy("pivot").orderBy("ring"))
     plan = cut(rings.select("pivot", "ring", F.floor((upto - F.col("n")) / rows).alias("group"), F.ceil(F.col("n") / rows).alias("parts")))
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    # A ring that is cut into parts makes teams of its own.
+    cut_up, nth = F.col("parts") > 1, F.when(F.col("parts") > 1, part).otherwise(F.col("group"))
+    team = F.floor(nth / TOGETHER)
+    merged = max(1, min(PIVOTS_TOGETHER, TOGETHER * rows * PIVOTS // max(1, seen.count())))
     return nearest.join(F.broadcast(plan), ["pivot", "ring"]).select(
-        "id", "vector", "angles", "pivot", F.concat_ws("-", "pivot", "group", F.when(F.col("parts") > 1, F.concat_ws(".", "ring", part))).alias("block")
+        "id", "vector", "angles", "pivot", F.concat_ws("-", "pivot", "group", F.when(cut_up, F.concat_ws(".", "ring", part))).alias("block"),
+        F.when(cut_up, F.concat_ws("-", "pivot", "ring", team)).otherwise(F.concat_ws("-", F.floor(F.col("pivot") / merged), team)).alias("team"),
+        (F.when(cut_up, 0).otherwise(F.col("pivot") % merged * TOGETHER) + nth % TOGETHER).cast("int").alias("at"),
     )
 
 
@@ -227,16 +277,24 @@ def near_blocks(blocks: DataFrame, floor: float) -> DataFrame:
 
 
 def _pruned_best(reps: DataFrame, count: int, floor: float) -> DataFrame:
-    """Best `count` others at or above `floor`, exactly: tiles of blocks that the pivots cannot keep apart."""
-    blocks = cut(pivot_blocks(reps))
-    pairs = cut(near_blocks(blocks, floor).withColumn("cell", F.concat_ws("|", "a", "b")))
-    rows = blocks.select("id", "vector", F.lit(0).alias("bits"), "block")
+    """Best `count` others at or above `floor`, exactly: tiles of blocks that the pivots cannot keep apart.
 
-    def side(mine: str, probe: bool) -> DataFrame:
-        placed = lookup(rows, pairs.select(F.col(mine).alias("block"), "cell"), ["block"])
-        return placed.select("cell", "id", "vector", "bits", F.lit(probe).alias("probe"))
-
-    return _cells_best(side("a", True).unionByName(side("b", False)), count, floor)
+    Two teams of blocks with such a pair are a cell, once for both directions; no pair of vectors meets twice.
+    """
+    blocks = cut(pivot_blocks(reps))
+    places = cut(blocks.select("block", "team", "at").distinct())
+    near = near_blocks(blocks, floor)
+    named = near.join(places.selectExpr("block AS a", "team AS x", "at AS i"), "a").join(places.selectExpr("block AS b", "team AS y", "at AS j"), "b")
+    met = named.select("x", "y", "i", "j").union(named.select("y", "x", "j", "i")).where("x <= y")
+    cell = F.concat_ws("|", "x", "y").alias("cell")
+    meets = cut(met.groupBy("x", "y", "i").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("meets")))
+    firsts = meets.select(F.col("x").alias("team"), F.col("i").alias("at"), cell, "meets", F.lit(True).alias("first"))
+    seconds = cut(met.where("x < y").select(F.col("y").alias("team"), F.col("j").alias("at"), cell, F.lit(0).cast("long").alias("meets"), F.lit(False).alias("first")).distinct())
+    both = lookup(blocks.select("id", "vector", "team", "at"), firsts.union(seconds), ["team", "at"]).select("cell", "id", "vector", "at", "meets", "first")
+    kind = dict(reps.dtypes)["id"]
+    found = keyed(both, "cell").groupBy("cell").applyInArrow(_groups_best(count, floor), f"src {kind}, dst {kind}, score double")
+    rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
+    return found.withColumn("place", rank).where(F.col("place") <= count).drop("place")
 
 
 def nearest_neighbours(
