@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import keyed
+from ..session import cut, dealt, keyed, lookup
 
 # Edge qualities, list length, sources per row, similarity shares and penalties.
 DIRECT, GROUNDED, OTHER = 1.0, 0.78, 0.6
@@ -33,19 +33,17 @@ def edge_quality(relation) -> Column:
 
 def edge_candidates(context: DataFrame, edges: DataFrame) -> DataFrame:
     """(request_id, candidate, score, connections) over undirected edges(a, b, relation)."""
-    both = edges.select("a", "b", "relation").unionByName(
-        edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "relation")
-    )
+    edges = cut(edges.select("a", "b", "relation"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "relation"))
     weights = context_weights(context)
-    return (
-        weights.join(both, F.col("film_id") == F.col("a"))
-        .groupBy("request_id", F.col("b").alias("candidate"))
-        .agg(
-            F.round(F.sum(F.col("weight") * edge_quality("relation")), 9).alias("score"),
-            F.count("*").alias("connections"),
-        )
-        .join(weights.select("request_id", F.col("film_id").alias("candidate")), ["request_id", "candidate"], "left_anti")
+    met = lookup(both.withColumnRenamed("a", "film_id"), weights, ["film_id"]).select(
+        "request_id", F.col("b").alias("candidate"), (F.col("weight") * edge_quality("relation")).alias("worth")
+    )
+    # An edge mostly has one end in the context.
+    scored = dealt(met, edges.count(), "request_id", "candidate").groupBy("request_id", "candidate").agg(
+        F.round(F.sum("worth"), 9).alias("score"), F.count("*").alias("connections")
     )
+    return lookup(scored, weights.select("request_id", F.col("film_id").alias("candidate")), ["request_id", "candidate"], "left_anti")
 
 
 def top_candidates(candidates: DataFrame, keep: int = LIST) -> DataFrame:

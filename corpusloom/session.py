@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows a side may have before it is no longer offered for broadcast.
 BROADCAST_ROWS = 1_000_000
+# Rows that a task of `dealt` is meant to sort or group.
+TASK_ROWS = 200_000
 # Bytes of rows that a Python worker is handed at once; rows alone, 10,000 by default, do not bound whole texts.
 ARROW_BYTES = 4 << 20
 ARROW_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -118,6 +120,15 @@ def keyed(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Hash partitions for `rows` rows, so many that what a task sorts or groups does not grow with the table.
+
+    Adaptive execution would join partitions up to a size in compressed bytes, which bounds no memory.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // TASK_ROWS)), *keys)
+
+
 def join_back(rows: DataFrame, reduced: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join rows to an aggregate of their own keys, so that a hot key can be split.
 
