@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import identity_text
 from ..functions.urls import https_url
-from ..session import join_back
+from ..session import dealt, join_back
 
 # List length and the one-letter attribution codes of the wire form.
 SLOTS = 12
@@ -79,15 +79,18 @@ def output_violations(slots: DataFrame, anchors: DataFrame, passages: DataFrame)
 
     anchors(request_id, anchor_id), passages(request_id, passage_id).
     """
-    cited = slots.select("request_id", "slot", F.explode("evidence_ids").alias("passage_id"))
-    used = slots.select("request_id", F.explode("anchor_ids").alias("anchor_id")).distinct()
+    rows = slots.count()
+    cited = dealt(slots.select("request_id", F.explode("evidence_ids").alias("passage_id")), rows, "request_id", "passage_id")
+    used = dealt(slots.select("request_id", F.explode("anchor_ids").alias("anchor_id")), rows, "request_id", "anchor_id").distinct()
+    anchors = dealt(anchors.select("request_id", "anchor_id"), rows, "request_id", "anchor_id")
+    passages = dealt(passages.select("request_id", "passage_id"), rows, "request_id", "passage_id")
     sourced = F.size("evidence_ids") > 0
     proposal = F.col("attribution") == "model_proposal"
     counts = slots.groupBy("request_id").agg(F.count("*").alias("n"))
     parts = [
         counts.where(F.col("n") != SLOTS).select("request_id", F.lit("slot_count").alias("rule")),
         used.join(anchors, ["request_id", "anchor_id"], "left_anti").select("request_id", F.lit("unknown_anchor").alias("rule")),
-        cited.join(passages.select("request_id", "passage_id"), ["request_id", "passage_id"], "left_anti").select("request_id", F.lit("unknown_evidence").alias("rule")),
+        cited.join(passages, ["request_id", "passage_id"], "left_anti").select("request_id", F.lit("unknown_evidence").alias("rule")),
         slots.where(proposal & sourced).select("request_id", F.lit("proposal_has_evidence").alias("rule")),
         slots.where(~proposal & ~sourced).select("request_id", F.lit("sourced_lacks_evidence").alias("rule")),
         anchors.join(used, ["request_id", "anchor_id"], "left_anti").select("request_id", F.lit("incomplete_set_reading").alias("rule")),
@@ -230,18 +233,20 @@ def withdraw_evidence(snapshots: DataFrame, links: DataFrame, eligible: DataFram
     interpretation when the snapshot is historical or its film lost a source.
     """
     kept = links.join(eligible.select("source_id").distinct().withColumn("ok", F.lit(True)), "source_id", "left")
+    kept = dealt(kept, links.count(), "snapshot_id", "film_id")
     film = kept.groupBy("snapshot_id", "film_id").agg(F.bool_or(F.col("source_id").isNotNull() & F.col("ok").isNull()).alias("withdrew"))
     per = kept.groupBy("snapshot_id", "film_id", "anchor_id", "relation").agg(
         F.sort_array(F.collect_set(F.when(F.col("ok"), F.col("source_id")))).alias("source_ids")
     )
+    # Both answers are there before the snapshots are joined, so that sources move only if they are asked for.
+    bare, direct = F.size("source_ids") == 0, F.col("relation") == "direct_connection"
+    lowered = F.when(direct, "grounded_interpretation").otherwise(F.col("relation"))
+    judged = per.join(film, ["snapshot_id", "film_id"]).select(
+        "snapshot_id", "film_id", "anchor_id", "source_ids", F.when(bare, "ai_inference").when(F.col("withdrew"), lowered).otherwise(F.col("relation")).alias("now"),
+        F.when(bare, "ai_inference").otherwise(lowered).alias("past"),
+    )
     return (
-        per.join(film, ["snapshot_id", "film_id"])
-        .join(snapshots, "snapshot_id")
-        .withColumn(
-            "relation",
-            F.when(F.size("source_ids") == 0, "ai_inference")
-            .when((F.col("historical") | F.col("withdrew")) & (F.col("relation") == "direct_connection"), "grounded_interpretation")
-            .otherwise(F.col("relation")),
-        )
-        .drop("withdrew", "historical")
+        judged.join(snapshots, "snapshot_id")
+        .withColumn("relation", F.when(F.col("historical"), F.col("past")).otherwise(F.col("now")))
+        .drop("now", "past", "historical")
     )
