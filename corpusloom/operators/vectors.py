@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.features import BUCKET_SEED, SIGN_SEED, features_of, fnv1a, tally
-from ..functions.text import nfkc
+from ..functions.features import Tally, compacted, tally_texts
+from ..functions.text import nfkc, words
 from ..session import cut, if_small, join_back, keyed, lookup, spread
 
 # Dimensions, neighbour count and floor, bands, bits of a band and seed.
@@ -26,33 +28,118 @@ TOGETHER, PIVOTS_TOGETHER = 8, 7
 # Pivots, the rings of like angles around one, and the coarser rings by which blocks meet.
 PIVOTS, RINGS, COARSE = 32, 1_024, 64
 
+# Characters of the texts that one task tallies at once, teams whose features meet in a slice on average, and teams
+# whose counts may be broadcast.
+TEAM_CHARS, TEAMS_A_SLICE, BROADCAST_TEAMS = 2 << 20, 8, 16
+
+
+def _slices(features: Tally, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features in the order of their slices, and where each slice begins."""
+    at = (features.signs >> 1) % slices
+    order = np.argsort(at, kind="stable")
+    return order, np.searchsorted(at[order], np.arange(slices + 1))
+
+
+def _feature_counts(slices: int):
+    def run(team: pa.Table) -> pa.Table:
+        team = team.combine_chunks()
+        found = tally_texts(*(pa.concat_arrays(team[c].chunks) for c in ("tokens", "compact")))
+        order, ends = _slices(found, slices)
+        docs = np.bincount(found.feature, minlength=len(found.names))
+        offsets = pa.array(ends, pa.int32())
+        return pa.table(
+            {
+                "team": pa.array(np.full(slices, team["team"][0].as_py()), pa.int32()),
+                "slice": pa.array(np.arange(slices), pa.int32()),
+                "features": pa.ListArray.from_arrays(offsets, found.names.take(pa.array(order))),
+                "df": pa.ListArray.from_arrays(offsets, pa.array(docs[order], pa.int64())),
+            }
+        )
+
+    return run
+
+
+def _frequencies(parts: pa.Table) -> pa.Table:
+    parts = parts.combine_chunks()
+    features, df = (pa.concat_arrays(parts[c].chunks) for c in ("features", "df"))
+    codes = features.flatten().dictionary_encode().indices.to_numpy()
+    counts = np.bincount(codes, weights=df.flatten().to_numpy()).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(df).to_numpy())])
+    known = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counts[codes], pa.int64()))
+    return pa.table({"team": parts["team"], "slice": parts["slice"], "df": known})
+
+
+def _weights(total: int, slices: int, dimensions: int, kind: pa.DataType):
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, tokens, compact, known = (batch.column(c)[at].values for c in ("ids", "tokens", "compact", "known"))
+                found = tally_texts(tokens, compact)
+                order, _ = _slices(found, slices)
+                known = known.take(pc.sort_indices(known.field("slice")))
+                df = np.empty(len(order), dtype=np.int64)
+                df[order] = known.field("df").flatten().to_numpy()
+                weight = np.where(found.signs % 2 == 1, 1, -1) * (np.log((total + 1) / (df + 1)) + 1)
+                codes = ids.dictionary_encode(null_encoding="encode")
+                cell = codes.indices.to_numpy()[found.owner] * dimensions + (found.buckets % dimensions)[found.feature]
+                sums = np.bincount(cell, weights=weight[found.feature] * (1 + np.log(found.tf)))
+                own, bucket = np.divmod(np.flatnonzero(np.bincount(cell)), dimensions)
+                for low in range(0, len(own), 1 << 17):
+                    o, k = own[low : low + (1 << 17)], bucket[low : low + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            codes.dictionary.take(pa.array(o)).cast(kind), pa.array(k, pa.int32()),
+                            pa.array(sums[o * dimensions + k], pa.float64()),
+                        ],
+                        ["id", "bucket", "weight"],
+                    )
+
+    return run
+
 
 def hashed_tfidf(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """rows(id, text) as (id, bucket, weight): signed sums of (1 + ln tf) * idf."""
-    total = rows.agg(F.count("*")).scalar()
-    # Repeats are counted inside the row, so only distinct features become rows; with a small
-    # dictionary they meet it where they are, and at most `dimensions` partial sums per id move.
-    listed = spread(rows).select("id", features_of(F.lower(nfkc("text"))).alias("features"))
-    # The outer form spares an inferred size filter that would extract all features twice.
-    counted = listed.select("id", F.inline_outer(tally("features"))).where("feature IS NOT NULL")
-    dictionary = cut(
-        counted.groupBy("feature")
-        .agg(F.count("*").alias("df"))
-        .select(
-            "feature",
-            (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf"),
-            # Hashed once per distinct feature, not once per occurrence.
-            (fnv1a("feature", F.lit(BUCKET_SEED)) % dimensions).cast("int").alias("bucket"),
-            F.when(fnv1a("feature", F.lit(SIGN_SEED)) % 2 == 1, 1).otherwise(-1).alias("sign"),
-        )
+    """rows(id, text) as (id, bucket, weight): signed sums of (1 + ln tf) * idf.
+
+    Texts go in teams of about TEAM_CHARS, an id in one team. A team sends each of its distinct features once to the
+    feature's slice, which adds up the teams' counts and answers with them; no feature is a row of its own.
+    """
+    total, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    teams = max(least, -(-chars // TEAM_CHARS))
+    slices = -(-teams // TEAMS_A_SLICE)
+    lowered = F.lower(nfkc("text"))
+    placed = (
+        spread(rows.where("text IS NOT NULL"))
+        .select("id", F.pmod(F.xxhash64("id"), F.lit(teams)).cast("int").alias("team"), lowered.alias("lowered"))
+        .repartition(teams, "team")
+    )
+    counts = placed.select("team", words("lowered").alias("tokens"), compacted("lowered").alias("compact")).groupBy("team")
+    counts = counts.applyInArrow(_feature_counts(slices), "team int, slice int, features array<string>, df array<long>")
+    known = (
+        counts.repartition(max(least, slices), "slice")
+        .groupBy("slice")
+        .applyInArrow(_frequencies, "team int, slice int, df array<long>")
+        .repartition(teams, "team")
+        .groupBy("team")
+        .agg(F.collect_list(F.struct("slice", "df")).alias("known"))
     )
-    # Beyond the broadcast bound a hash join spares sorting the features; its keys are distinct.
-    known = if_small(dictionary)
-    known = dictionary.hint("shuffle_hash") if known is dictionary else known
+    known = cut(known)
+    near = if_small(known, BROADCAST_TEAMS)
+    kind = rows.schema["id"].dataType
     return (
-        counted.join(known, "feature")
-        .groupBy("id", "bucket")
-        .agg(F.sum(F.col("sign") * (1 + F.log("tf")) * F.col("idf")).alias("weight"))
+        placed.groupBy("team")
+        .agg(F.collect_list(F.struct("id", "lowered")).alias("docs"))
+        .join(known.hint("shuffle_hash") if near is known else near, "team")
+        .select(
+            F.col("docs.id").alias("ids"),
+            F.transform("docs.lowered", words).alias("tokens"),
+            F.transform("docs.lowered", compacted).alias("compact"),
+            "known",
+        )
+        .mapInArrow(
+            _weights(total, slices, dimensions, to_arrow_type(kind)),
+            T.StructType().add("id", kind).add("bucket", T.IntegerType()).add("weight", T.DoubleType()),
+        )
     )
 
 
