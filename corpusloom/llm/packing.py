@@ -23,6 +23,8 @@ from .pieces import UnitEncoder
 
 MOST = 1024
 END = 0
+# Units that the tokenizer is given as one text.
+JOINT = 256
 SCHEMA = "doc_id {kind}, start long, length long, ids binary, doc_tokens long"
 
 
@@ -40,10 +42,34 @@ def _encoder(path: str) -> UnitEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    # A byte-level token has a character for every byte.
+    width = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
+    for token, number in tokenizer.get_vocab().items():
+        width[number] = len(token)
+
+    def several(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, dtype="<u4") for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joint(units: list[str]) -> Iterator[bytes]:
+        """Units that begin with a space and end without: one text, whose ids are cut by their bytes."""
+        for ids, own in zip(several(["".join(units[i : i + JOINT]) for i in range(0, len(units), JOINT)]), range(0, len(units), JOINT)):
+            ends = np.cumsum([len(unit.encode()) for unit in units[own : own + JOINT]])
+            reached = np.cumsum(width[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if not np.array_equal(reached[cuts - 1], ends):
+                raise ValueError("a token reaches over two units")
+            body = ids.tobytes()
+            for low, high in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+                yield body[4 * low : 4 * high]
+
     def encode(units: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(units), 4096):
-            for found in tokenizer.encode_batch_fast(units[i : i + 4096], add_special_tokens=False):
-                yield np.array(found.ids, dtype="<u4").tobytes()
+        for i in range(0, len(units), 1 << 14):
+            some = units[i : i + (1 << 14)]
+            apart = [unit for unit in some if unit[0] != " " or unit[-1].isspace()]
+            found = dict(zip(apart, (ids.tobytes() for ids in several(apart)), strict=True))
+            rest = [unit for unit in some if unit not in found]
+            found.update(zip(rest, joint(rest), strict=True))
+            yield from map(found.__getitem__, some)
 
     return UnitEncoder(encode)
 
